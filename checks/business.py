@@ -87,7 +87,7 @@ def _behavior(name: str) -> str:
     return with_(LINES, TX, baskets) + _BEHAVIOR
 
 
-_TOP5 = with_(LINES) + f"""
+TOP5 = with_(LINES) + f"""
 SELECT sede_unificada, producto, {money('revenue')} AS ingresos_producto, CAST(ranking AS INTEGER) AS ranking
 FROM (SELECT *, row_number() OVER (PARTITION BY sede_unificada ORDER BY revenue DESC, producto) AS ranking
       FROM (SELECT {alias_case()} AS sede_unificada, description AS producto, SUM(gross) AS revenue
@@ -240,8 +240,8 @@ FROM lines WHERE {_NO_MANUAL} AND sold_at IS NOT NULL AND gross > 0 GROUP BY 1""
     "q09_loyalty_newest": _LOYALTY_VIEW + " ORDER BY mes_operacion DESC, nombre_sede LIMIT 20",
     "q10_purchase_behavior_raw": _behavior("description"),
     "q11_purchase_behavior_view": _behavior("COALESCE(description, '')"),
-    "q12_top5_products_raw": _TOP5,
-    "q13_top5_products_view": _TOP5,
+    "q12_top5_products_raw": TOP5,
+    "q13_top5_products_view": TOP5,
     "q14_payment_mix_raw": _mix(
         _SETTLED, "run_as NULLS LAST", "p.run_as = 'DEBIT'", "p.run_as = 'CREDIT'", "description", False
     ),

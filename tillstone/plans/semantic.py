@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,15 +57,19 @@ RENAMED_VIEWS = {
 }
 
 
-def publish(spark: SparkSession, shop: Shop, old_names: bool = False) -> list[str]:
-    """Register the views and the tables under them as temporary views.
+def publish(
+    spark: SparkSession, shop: Shop, old_names: bool = False, only: Collection[str] | None = None
+) -> list[str]:
+    """Register the views (or ``only`` the named ones) and the tables under them as
+    temporary views.
 
     Repeating it replaces them. ``old_names`` registers the six earlier names instead of
     the ones they moved to; ``migrate_views`` performs the move.
     """
     tables = {"tx": shop.tx, "lines": shop.lines, **shop.star.tables()}
     names = {new: old for old, new in RENAMED_VIEWS.items()} if old_names else {}
-    published = {names.get(name, name): build(shop) for name, build in VIEWS.items()}
+    chosen = VIEWS if only is None else {name: VIEWS[name] for name in only}
+    published = {names.get(name, name): build(shop) for name, build in chosen.items()}
     for name, df in {**tables, **published}.items():
         df.createOrReplaceTempView(name)
     return [*tables, *published]
@@ -172,7 +176,12 @@ def metric_from(view: DataFrame, name: str) -> DataFrame:
 
 def metric(spark: SparkSession, name: str) -> DataFrame:
     """A metric by name, from the published views."""
-    return metric_from(spark.table(_metric_source(name)[0]), name)
+    return metric_from(spark.table(metric_view(name)), name)
+
+
+def metric_view(name: str) -> str:
+    """The view that defines a metric."""
+    return _metric_source(name)[0]
 
 
 def _metric_source(name: str) -> tuple[str, str]:
