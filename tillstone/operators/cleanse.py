@@ -40,7 +40,7 @@ def _money(df: DataFrame, name: str) -> Column:
 
 def cleanse_lines(raw: DataFrame) -> DataFrame:
     """Line items: typed amounts, ``sold_at`` parsed from either date spelling and
-    ``sold_day_first`` telling whether the text had the day-first spelling."""
+    ``sold_day_first`` telling whether it was a readable day-first date."""
     if _is_text(raw, "sold_at"):
         text = _column(raw, "sold_at")
         sold_at, day_first = dates.parse_sold_at(text), dates.is_day_first(text)

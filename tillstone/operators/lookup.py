@@ -54,5 +54,6 @@ def with_single_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def keep_known(df: DataFrame, ids: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """Rows whose key occurs in ``ids``; duplicates there do not multiply rows."""
-    return df.join(ids.select(on), on, "left_semi")
+    """Rows whose key occurs in ``ids``. Ids are made distinct first: that shuffles on the
+    join key anyway, and a key repeated in a third of ``ids`` arrives once per map task."""
+    return df.join(ids.select(on).distinct(), on, "left_semi")

@@ -45,7 +45,7 @@ def peak_hours_raw(lines: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Distinct tickets per hour and counter branch; day-first dates only."""
     kept = lines.filter(
         contains_none(F.col("description"), (vocab.tip, vocab.manual_amount)) & F.col("sold_day_first")
-    ).filter(F.col("sold_at").isNotNull())
+    )
     flags = _flags(vocab.counter_branches, "account", branches.is_alias_of, "sede_")
     return _ticket_counts(kept, {"hora_del_dia": F.hour("sold_at")}, flags).orderBy("hora_del_dia")
 
@@ -66,7 +66,7 @@ def busy_hours(lines: DataFrame, vocab: Vocabulary, drop_blank_keys: bool = Fals
     """Distinct tickets per date, weekday and hour. ``drop_blank_keys`` is the view variant."""
     kept = lines.filter(
         contains_none(F.col("description"), (vocab.tip, vocab.manual_amount)) & F.col("sold_day_first")
-    ).filter(F.col("sold_at").isNotNull())
+    )
     if drop_blank_keys:
         kept = present(kept, "tx_id")
     flags = _flags(vocab.counter_branches, "account", branches.is_alias_of, "")

@@ -194,7 +194,7 @@ def fact_lines(
         "tx_id", "line_id", F.col("tx_id").alias("id_transaccion"),
         *[c for c in _FACT_LINES if c not in ("id_transaccion", "linea_ticket")],
     )
-    return number_lines(narrow).select(*_FACT_LINES)
+    return number_lines(narrow, ids=kept).select(*_FACT_LINES)
 
 
 def fact_lines_strict(
@@ -232,7 +232,7 @@ def fact_lines_strict(
         "tx_id", "line_id", F.col("tx_id").alias("id_transaccion"),
         *[c for c in _FACT_LINES if c not in ("id_transaccion", "linea_ticket")],
     )
-    return number_lines(narrow).select(*_FACT_LINES)
+    return number_lines(narrow, ids=measured).select(*_FACT_LINES)
 
 
 def fact_tx(

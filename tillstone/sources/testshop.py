@@ -150,17 +150,41 @@ FROM {events}
 """
 
 
+# Given schemas spare a job per table that would only read file footers.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey bigint, p_name string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "event_id bigint, user_id bigint, event_type string, value double, props string",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """Spread a table that lies in fewer files than there are cores, because turning it
+    into text is the dear part. A table of many files is read as it is."""
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("lineitem", "part", "supplier", "nation", "region")
-    return spark.sql(LINES_SQL, **{n: _table(spark, sf_dir, n) for n in names})
+    tables = {n: _table(spark, sf_dir, n) for n in names}
+    tables["lineitem"] = _spread(spark, tables["lineitem"], "l_orderkey")
+    return spark.sql(LINES_SQL, **tables)
 
 
 def raw_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TX_SQL, orders=_table(spark, sf_dir, "orders"))
+    orders = _spread(spark, _table(spark, sf_dir, "orders"), "o_orderkey")
+    return spark.sql(TX_SQL, orders=orders)
 
 
 def agent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
