@@ -6,13 +6,15 @@ so it is exact without relying on another engine's decimal division.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillstone.plans.star import Star, star_of
+from tillstone.plans.star import Star, build_star, read_star, store_clean
+from tillstone.session import ensure_checkpoint_dir
 from tillstone.sources import testshop
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,25 +34,62 @@ def plain(df: DataFrame) -> DataFrame:
     ])
 
 
+_stores: dict[tuple[str, str], str] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str, part: str, fill: Callable[[str], object]) -> str:
+    """Folder for tables derived from ``sf_dir``, filled on first use in this application.
+
+    Queries read stored typed tables, as dashboards read a loaded database. The folder is
+    under the cluster's checkpoint folder, which every executor can reach.
+    """
+    key = (spark.sparkContext.applicationId, f"{sf_dir}|{part}")
+    if key not in _stores:
+        root = f"{ensure_checkpoint_dir(spark)}/tillstone-{uuid.uuid4().hex}"
+        fill(root)
+        _stores[key] = root
+    return _stores[key]
+
+
+def clean_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, tx) of the test shop, cleaned and stored once."""
+    raw = testshop.raw_lines, testshop.raw_tx
+    root = _store(
+        spark, sf_dir, "clean",
+        lambda out: store_clean(spark, raw[0](spark, sf_dir), raw[1](spark, sf_dir), out),
+    )
+    return spark.read.parquet(f"{root}/lines"), spark.read.parquet(f"{root}/tx")
+
+
+def stored_star(spark: SparkSession, sf_dir: str) -> Star:
+    """The test shop's star, built and stored once."""
+    root = _store(
+        spark, sf_dir, "star",
+        lambda out: build_star(spark, *clean_tables(spark, sf_dir), out, VOCAB),
+    )
+    return read_star(spark, root)
+
+
 def of_lines(build: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf: plain(build(testshop.lines(spark, sf)))
+    return lambda spark, sf: plain(build(clean_tables(spark, sf)[0]))
 
 
 def of_tx(build: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf: plain(build(testshop.tx(spark, sf)))
+    return lambda spark, sf: plain(build(clean_tables(spark, sf)[1]))
 
 
 def of_both(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf: plain(build(testshop.tx(spark, sf), testshop.lines(spark, sf)))
-
-
-def of_star(build: Callable[[Star], DataFrame]) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return plain(build(star_of(testshop.lines(spark, sf), testshop.tx(spark, sf), VOCAB)))
+        lines, tx = clean_tables(spark, sf)
+        return plain(build(tx, lines))
 
     return run
 
 
+def of_star(build: Callable[[Star], DataFrame]) -> Query:
+    return lambda spark, sf: plain(build(stored_star(spark, sf)))
+
+
 def of_table(name: str, build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: plain(build(read(spark, sf, name)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.base import (
-    DIMS, FACT_LINES, FACT_TX, LINES, LINES_RAW, STAR, TX, VOCAB, cents, money, of_both, of_lines,
+    DIMS, FACT_LINES, FACT_TX, LINES, LINES_RAW, STAR, TX, VOCAB, cents, clean_tables, money, of_both, of_lines,
     of_star, of_table, of_tx, plain, read, sk, with_,
 )
 from tillstone.operators import load, profile
@@ -17,15 +17,23 @@ from tillstone.sources.tables import LINE_HEADERS, capped_json_rows, rename_head
 
 
 def _strict_facts(spark: SparkSession, sf: str) -> DataFrame:
-    lines = testshop.lines(spark, sf)
+    lines, _ = clean_tables(spark, sf)
     return plain(star.fact_lines_strict(
         testshop.raw_lines(spark, sf), star.dim_product(lines, VOCAB), star.dim_branch(lines, VOCAB),
         star.dim_payment(lines, VOCAB), strict=False,
     ))
 
 
+def _fact_lines(spark: SparkSession, sf: str) -> DataFrame:
+    lines, tx = clean_tables(spark, sf)
+    return plain(star.fact_lines(
+        lines, star.dim_date(lines, tx), star.dim_product(lines, VOCAB), star.dim_branch(lines, VOCAB),
+        star.dim_payment(lines, VOCAB), VOCAB,
+    ))
+
+
 def _fact_tx(spark: SparkSession, sf: str) -> DataFrame:
-    lines, tx = testshop.lines(spark, sf), testshop.tx(spark, sf)
+    lines, tx = clean_tables(spark, sf)
     facts = star.fact_tx(
         tx, star.dim_date(lines, tx), star.dim_branch(lines, VOCAB), star.dim_card(tx, VOCAB), VOCAB
     )
@@ -46,8 +54,8 @@ def _insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
     def days(column: str, source: str):
         return lambda df: df.select(F.to_date(column).alias("day"), F.lit(source).alias("source"))
 
-    stored = days("created_at", "tx")(testshop.tx(spark, sf)).distinct()
-    return load.insert_ignore(stored, days("sold_at", "lines")(testshop.lines(spark, sf)), ["day"])
+    lines, tx = clean_tables(spark, sf)
+    return load.insert_ignore(days("created_at", "tx")(tx).distinct(), days("sold_at", "lines")(lines), ["day"])
 
 
 def _spanish_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,8 +72,8 @@ def _spanish_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "e00_cleanse_lines": of_lines(lambda l: present(l, "tx_id", "sold_at")),
-    "e00_cleanse_tx": of_tx(lambda t: present(t, "tx_id", "created_at")),
+    "e00_cleanse_lines": lambda spark, sf: plain(present(testshop.lines(spark, sf), "tx_id", "sold_at")),
+    "e00_cleanse_tx": lambda spark, sf: plain(present(testshop.tx(spark, sf), "tx_id", "created_at")),
     "e00_export_headers": _spanish_lines,
     "e01_scan_table": lambda spark, sf: scan_table(spark, f"{sf}/orders.parquet").select(
         "o_orderkey", "o_orderstatus"
@@ -79,13 +87,14 @@ QUERIES = {
         lambda l: star.dim_device(l, star.dim_branch(l, VOCAB), VOCAB, F.lit("2024-01-01").cast("date"))
     ),
     "e08_fact_lines_strict": _strict_facts,
-    "e09_fact_lines": of_star(lambda s: s.fact_lines),
+    "e09_fact_lines": _fact_lines,
     "e10_fact_tx": _fact_tx,
     "e11_surrogate_key": of_table("part", lambda p: p.select(
         "p_partkey", load.surrogate_key(F.col("p_name"), F.col("p_brand"), F.nullif("p_type", F.lit("SMALL"))).alias("sk")
     )),
     "e12_insert_ignore": _insert_ignore,
     "e13_upsert_update": lambda spark, sf: plain(load.upsert_update(*_prices(spark, sf), ["p_partkey"])),
+    "e14_full_reload": of_star(lambda s: s.fact_lines.drop("mes_key")),
     "e15_row_count_report": of_star(lambda s: profile.row_counts(s.tables())),
     "e15_unmatched_counts": of_star(
         lambda s: profile.unmatched_counts(s.fact_lines, ["fecha_key", "producto_sk", "sede_sk", "pago_sk"])
@@ -187,6 +196,8 @@ SELECT p_partkey, CAST(COALESCE(s.price, CAST(p_retailprice AS DECIMAL(12,2))) A
        CASE WHEN s.price IS NULL THEN 'list' ELSE 'sold' END AS source
 FROM part LEFT JOIN (SELECT l_partkey, MAX(CAST(l_extendedprice AS DECIMAL(12,2))) AS price
                      FROM lineitem GROUP BY 1) s ON l_partkey = p_partkey""",
+    "e14_full_reload": with_(LINES, TX, DIMS, FACT_LINES) + f"""
+SELECT id_transaccion, linea_ticket, fecha_key, producto_sk, sede_sk, pago_sk, {_FACT_MONEY} FROM fact_lines""",
     "e15_row_count_report": with_(*STAR) + _COUNTS,
     "e15_unmatched_counts": with_(*STAR) + " UNION ALL ".join(
         _unmatched(c) for c in ("fecha_key", "producto_sk", "sede_sk", "pago_sk")

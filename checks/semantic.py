@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks.base import LINES, TX, VOCAB, money, plain, with_
+from checks.base import LINES, TX, VOCAB, clean_tables, money, plain, stored_star, with_
 from checks.business import ORACLE as BUSINESS
 from tillstone.plans import semantic
-from tillstone.plans.star import star_of
-from tillstone.sources import testshop
 
 
 def _shop(spark: SparkSession, sf: str) -> semantic.Shop:
-    lines, tx = testshop.lines(spark, sf), testshop.tx(spark, sf)
-    return semantic.Shop(tx, lines, star_of(lines, tx, VOCAB), VOCAB)
+    lines, tx = clean_tables(spark, sf)
+    return semantic.Shop(tx, lines, stored_star(spark, sf), VOCAB)
 
 
 def _view(name: str):

@@ -80,17 +80,18 @@ def test_build_star_twice_adds_nothing(spark, tmp_path):
     from tillstone.sources import testshop
 
     sf = "/root/testdata/sf0.001"
-    raw = testshop.raw_lines(spark, sf), testshop.raw_tx(spark, sf)
-    first = star.build_star(spark, *raw, str(tmp_path / "one"), V)
-    second = star.build_star(spark, *raw, str(tmp_path / "two"), V, previous=str(tmp_path / "one"))
+    l, t = star.store_clean(spark, testshop.raw_lines(spark, sf), testshop.raw_tx(spark, sf), str(tmp_path / "clean"))
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    first = star.build_star(spark, l, t, one, V)
+    second = star.build_star(spark, l, t, two, V, previous=one)
     for name, df in first.tables().items():
         assert second.tables()[name].count() == df.count(), name
-    facts = second.fact_lines
-    assert facts.count() == testshop.lines(spark, sf).count()
+    facts = star.read_star(spark, two).fact_lines
+    assert facts.count() == l.count()
     assert facts.select("id_transaccion", "linea_ticket").distinct().count() == facts.count()
     assert second.fact_tx.select("id_transaccion").distinct().count() == second.fact_tx.count()
     with pytest.raises(ValueError):
-        star.build_star(spark, *raw, str(tmp_path / "one"), V, previous=str(tmp_path / "one"))
+        star.build_star(spark, l, t, one, V, previous=one)
 
 
 def test_export_headers_in_both_spellings(spark):

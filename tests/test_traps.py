@@ -65,7 +65,10 @@ def test_dates(spark):
     ))
     assert got == [
         ("2024-03-05 10:30:00", True), ("2024-03-05 10:30:00", True), (None, False), (None, False), (None, False),
-        ("2024-03-05 00:00:00", False), ("2024-03-05 07:08:09", False), (None, False), ("2024-03-05 00:00:00", False),
+        ("2024-03-05 00:00:00", False), ("2024-03-05 07:08:09", False), (None, True), (None, False),
+    ]
+    assert rows(texts(spark, "2024-03-05 nonsense", "bad").select(dates.parse_iso(F.col("t")).cast("string"))) == [
+        ("2024-03-05 00:00:00",), (None,),
     ]
 
 

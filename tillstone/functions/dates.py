@@ -8,30 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the line export writes "DD-MM-YYYY, HH24:MI", anything may follow.
-DAY_FIRST = r"^\d{2}-\d{2}-\d{4}, \d{2}:\d{2}"
-
-
-def _day_first(text: Column) -> Column:
-    """The timestamp of day-first text, NULL for any other text.
-
-    Cut and rearranged to ISO, so the cast checks the digits: cheaper per row than a
-    regular expression, and free of the session time zone.
-    """
-    shaped = (
-        (F.substring(text, 11, 2) == ", ")
-        & (F.substring(text, 3, 1) == "-")
-        & (F.substring(text, 6, 1) == "-")
-    )
-    rearranged = F.concat(
-        F.substring(text, 7, 4), F.lit("-"), F.substring(text, 4, 2), F.lit("-"),
-        F.substring(text, 1, 2), F.lit(" "), F.substring(text, 13, 5), F.lit(":00"),
-    )
-    return F.when(shaped, rearranged.try_cast("timestamp_ntz"))
+DAY_FIRST = r"^(\d{2})-(\d{2})-(\d{4}), (\d{2}:\d{2})"
 
 
 def is_day_first(text: Column) -> Column:
-    """True for a readable day-first date."""
-    return _day_first(text).isNotNull()
+    return F.coalesce(text.rlike(DAY_FIRST), F.lit(False))
 
 
 def parse_iso(text: Column) -> Column:
@@ -46,8 +27,13 @@ def parse_iso(text: Column) -> Column:
 
 
 def parse_sold_at(text: Column) -> Column:
-    """Line date in either spelling to a zone-less timestamp, NULL if unreadable."""
-    return F.coalesce(_day_first(text), parse_iso(text))
+    """Line date in either spelling to a zone-less timestamp, NULL if unreadable.
+
+    Day-first text is rearranged to ISO and ISO text left alone, so one cast reads both,
+    whatever the session time zone.
+    """
+    iso = F.regexp_replace(text, f"(?s){DAY_FIRST}.*", "$3-$2-$1 $4:00")
+    return iso.try_cast("timestamp_ntz")
 
 
 def date_key(day: Column) -> Column:

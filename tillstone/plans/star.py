@@ -298,15 +298,31 @@ def read_star(spark: SparkSession, root: str) -> Star:
     return Star(**{f.name: spark.read.parquet(f"{root}/{f.name}") for f in fields(Star)})
 
 
+def _stored(spark: SparkSession, df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
+    load.full_reload(df, path, by)
+    return spark.read.parquet(path)
+
+
+def store_clean(
+    spark: SparkSession, raw_lines: DataFrame, raw_tx: DataFrame, out: str
+) -> tuple[DataFrame, DataFrame]:
+    """Clean both exports once and store them typed under ``out``; returns (lines, tx).
+    Queries over the stored tables push their filters and columns into the scan."""
+    return (
+        _stored(spark, cleanse_lines(raw_lines), f"{out}/lines"),
+        _stored(spark, cleanse_tx(raw_tx), f"{out}/tx"),
+    )
+
+
 def build_star(
     spark: SparkSession,
-    raw_lines: DataFrame,
-    raw_tx: DataFrame,
+    lines: DataFrame,
+    tx: DataFrame,
     out: str,
     vocab: Vocabulary,
     previous: str | None = None,
 ) -> Star:
-    """Clean, load and store everything under ``out``.
+    """Load and store the whole star under ``out`` from the clean tables.
 
     ``previous`` names an earlier build: its dimension rows are kept and only new ones
     added. ``out`` must be another folder. Facts are reloaded in full, line facts
@@ -316,19 +332,13 @@ def build_star(
     if previous is not None and previous.rstrip("/") == out.rstrip("/"):
         raise ValueError("write a new build to a folder of its own")
 
-    def stored(name: str, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-        load.full_reload(df, f"{out}/{name}", by)
-        return spark.read.parquet(f"{out}/{name}")
-
     def merged(name: str, incoming: DataFrame) -> DataFrame:
         if previous is not None:
             incoming = load.insert_ignore(
                 spark.read.parquet(f"{previous}/{name}"), incoming, NATURAL_KEYS[name]
             )
-        return stored(name, incoming)
+        return _stored(spark, incoming, f"{out}/{name}")
 
-    lines = stored("lines", cleanse_lines(raw_lines))
-    tx = stored("tx", cleanse_tx(raw_tx))
     date_dim = merged("dim_date", dim_date(lines, tx))
     product_dim = merged("dim_product", dim_product(lines, vocab))
     branch_dim = merged("dim_branch", dim_branch(lines, vocab))
@@ -337,6 +347,10 @@ def build_star(
     device_dim = merged("dim_device", dim_device(lines, branch_dim, vocab))
     line_facts = fact_lines(lines, date_dim, product_dim, branch_dim, payment_dim, vocab)
     month = F.floor(F.col("fecha_key") / 100).cast("int").alias("mes_key")
+    # A rebalance brings a month's rows together, so that tasks do not each write a small
+    # file per month; AQE splits a month too large for one task.
+    by_month = line_facts.select("*", month).hint("rebalance", "mes_key")
+    tx_facts = fact_tx(tx, date_dim, branch_dim, card_dim, vocab)
     return Star(
         dim_date=date_dim,
         dim_product=product_dim,
@@ -344,6 +358,6 @@ def build_star(
         dim_payment=payment_dim,
         dim_card=card_dim,
         dim_device=device_dim,
-        fact_lines=stored("fact_lines", line_facts.select("*", month), ("mes_key",)),
-        fact_tx=stored("fact_tx", fact_tx(tx, date_dim, branch_dim, card_dim, vocab)),
+        fact_lines=_stored(spark, by_month, f"{out}/fact_lines", ("mes_key",)),
+        fact_tx=_stored(spark, tx_facts, f"{out}/fact_tx"),
     )
