@@ -13,6 +13,7 @@ from tillstone.operators.load import upsert_update
 from tillstone.plans import hours, loyalty, payments, products, sales
 from tillstone.plans.agentlog import EMPTY_RESULT, FORBIDDEN, READ_STARTS
 from tillstone.plans.star import Star
+from tillstone.sources.tables import capped_json_rows
 from tillstone.vocab import Vocabulary
 
 
@@ -288,11 +289,9 @@ def readonly_sql(spark: SparkSession, text: str, cap: int = 50) -> DataFrame:
     return spark.sql(text).limit(cap)
 
 
-def mark_empty(rows: DataFrame) -> DataFrame:
-    """JSON rows, or the single row 'EMPTY_RESULT' where there are none. For results
-    already capped by ``readonly_sql``."""
-    body = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
-    gathered = body.agg(F.collect_list("json").alias("all"))
+def mark_empty(rows: DataFrame, cap: int = 50) -> DataFrame:
+    """At most ``cap`` rows as JSON, or the single row 'EMPTY_RESULT' where there are none."""
+    gathered = capped_json_rows(rows, cap).agg(F.collect_list("json").alias("all"))
     filled = F.when(F.size("all") == 0, F.array(F.lit(EMPTY_RESULT))).otherwise(F.col("all"))
     return gathered.select(F.explode(filled).alias("json"))
 
