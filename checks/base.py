@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillstone.plans.star import Star, build_star, read_star, store_clean
+from tillstone.plans.star import Star, build_star, store_clean
 from tillstone.session import ensure_checkpoint_dir
 from tillstone.sources import testshop
 
@@ -34,40 +35,36 @@ def plain(df: DataFrame) -> DataFrame:
     ])
 
 
-_stores: dict[tuple[str, str], str] = {}
+Tables = TypeVar("Tables")
+_stores: dict[tuple[str, str, str], object] = {}
 
 
-def _store(spark: SparkSession, sf_dir: str, part: str, fill: Callable[[str], object]) -> str:
-    """Folder for tables derived from ``sf_dir``, filled on first use in this application.
+def _once(spark: SparkSession, sf_dir: str, part: str, store: Callable[[str], Tables]) -> Tables:
+    """Tables derived from ``sf_dir``, stored on first use in this application.
 
     Queries read stored typed tables, as dashboards read a loaded database. The folder is
     under the cluster's checkpoint folder, which every executor can reach.
     """
-    key = (spark.sparkContext.applicationId, f"{sf_dir}|{part}")
+    key = (spark.sparkContext.applicationId, sf_dir, part)
     if key not in _stores:
-        root = f"{ensure_checkpoint_dir(spark)}/tillstone-{uuid.uuid4().hex}"
-        fill(root)
-        _stores[key] = root
+        _stores[key] = store(f"{ensure_checkpoint_dir(spark)}/tillstone-{uuid.uuid4().hex}")
     return _stores[key]
 
 
 def clean_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(lines, tx) of the test shop, cleaned and stored once."""
-    raw = testshop.raw_lines, testshop.raw_tx
-    root = _store(
-        spark, sf_dir, "clean",
-        lambda out: store_clean(spark, raw[0](spark, sf_dir), raw[1](spark, sf_dir), out),
-    )
-    return spark.read.parquet(f"{root}/lines"), spark.read.parquet(f"{root}/tx")
+    def store(out: str) -> tuple[DataFrame, DataFrame]:
+        return store_clean(spark, testshop.raw_lines(spark, sf_dir), testshop.raw_tx(spark, sf_dir), out)
+
+    return _once(spark, sf_dir, "clean", store)
 
 
 def stored_star(spark: SparkSession, sf_dir: str) -> Star:
     """The test shop's star, built and stored once."""
-    root = _store(
-        spark, sf_dir, "star",
-        lambda out: build_star(spark, *clean_tables(spark, sf_dir), out, VOCAB),
-    )
-    return read_star(spark, root)
+    def store(out: str) -> Star:
+        return build_star(spark, *clean_tables(spark, sf_dir), out, VOCAB)
+
+    return _once(spark, sf_dir, "star", store)
 
 
 def of_lines(build: Callable[[DataFrame], DataFrame]) -> Query:
