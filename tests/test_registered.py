@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import business, etl, logs, primitives, semantic
 from checks.compare import connect, differences
 from tests.shopdata import rows
 
@@ -16,10 +17,11 @@ def oracle():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE)
+    own = {name for module in (business, etl, semantic, logs, primitives) for name in module.QUERIES}
+    assert own <= set(QUERIES) and own <= set(ORACLE) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n[0] in "qer"])
+@pytest.mark.parametrize("name", [n for module in (business, etl, logs) for n in module.QUERIES])
 def test_matches_sql(spark, oracle, name):
     assert differences(QUERIES[name](spark, SF), oracle, ORACLE[name]) == ""
 
