@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,7 @@ def pair_counts(df: DataFrame, vocabulary: list[bytes], text_col: str = "text")
     shipped, side = df.sparkSession.sparkContext.broadcast(vocabulary), len(vocabulary) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Numbers(zip(shipped.value, range(2, side)))
+        known = dict(zip(shipped.value, range(2, side)))
         table = np.zeros(side * side, np.int64)
         for batch in batches:
             for part in common.slices(batch, "text", common.SLICE_BYTES):
@@ -90,16 +91,9 @@ def pair_counts(df: DataFrame, vocabulary: list[bytes], text_col: str = "text")
     return table.reshape(side, side)
 
 
-class _Numbers(dict):
-    """Vocabulary word to number; any other word is 1."""
-
-    def __missing__(self, word: bytes) -> int:
-        return 1
-
-
 def _numbered(known: dict, words: list[bytes]) -> np.ndarray:
     out = np.zeros(len(words) + 1, np.int64)
-    out[:-1] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    out[:-1] = np.fromiter(map(known.get, words, repeat(1)), np.int64, len(words))
     return out
 
 
@@ -218,7 +212,7 @@ def score(df: DataFrame, train: DataFrame, vocabulary: int = VOCABULARY, classes
         out: dict[str, list] = {x.split()[0]: [] for x in SCHEMA.split(", ")[1:]}
         split = [words_of(x) for x in common.texts_of(batch)]
         for key, words in zip(batch.column("id").to_pylist(), split):
-            places = np.fromiter(map(known.__getitem__, words), np.int64, len(words))  # -1: beyond the head
+            places = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))  # -1: beyond the head
             numbers = np.concatenate((np.where((places >= 0) & (places + 2 < len(own.member)), places + 2, 1), [0]))
             path = np.concatenate(([0], own.member[numbers]))
             inside = places[places >= 0]
@@ -250,19 +244,12 @@ def score(df: DataFrame, train: DataFrame, vocabulary: int = VOCABULARY, classes
     ), model.tokens
 
 
-class _Places(dict):
-    """Head word to place; any other word is -1."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 _worker: dict[str, object] = {}
 
 
 def _tables(model: Model) -> tuple[dict, np.ndarray]:
     if _worker.get("model") is not model:
-        _worker.update(model=model, known=_Places(zip(model.head, range(len(model.head)))), logs=np.log10(model.head_n + 1))
+        _worker.update(model=model, known=dict(zip(model.head, range(len(model.head)))), logs=np.log10(model.head_n + 1))
     return _worker["known"], _worker["logs"]
 
 

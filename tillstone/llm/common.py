@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillstone.session import ensure_checkpoint_dir
 
@@ -38,7 +40,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` by workers that can import this package."""
     importable(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -96,6 +98,20 @@ def map_batches(
     return in_arrow(df, run, schema)
 
 
+def keep_rows(df: DataFrame, verdict: Callable[[list[bytes]], np.ndarray], column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+    """The rows whose text ``verdict`` accepts, with all their columns as they are."""
+    names = df.columns
+    place = names.index(column)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, f"c{place}", limit):
+                yield part.filter(pa.array(verdict(texts_of(part, f"c{place}")), pa.bool_()))
+
+    return in_arrow(plain, run, plain.schema).toDF(*names)
+
+
 _PA = {
     "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(),
     "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
@@ -151,11 +167,12 @@ class Interned(dict):
 class WordCache:
     """Per-word arrays of integers, each distinct word worked out once while it is held.
 
-    ``make`` gives the values of a list of new words. At ``limit`` words all are let go,
+    ``make`` gives the values of a list of new words: a list for each, or all values one after
+    another and how many each word has. At ``limit`` words all are let go,
     so memory stays bounded whatever the vocabulary.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], list], limit: int = 400_000, dtype: type = np.uint32) -> None:
+    def __init__(self, make: Callable[[list[bytes]], list], limit: int = 800_000, dtype: type = np.uint32) -> None:
         self.make, self.limit, self.dtype = make, limit, dtype
         self._clear()
 
@@ -167,13 +184,16 @@ class WordCache:
     def _learn(self) -> None:
         values = self.make(self.known.new)
         self.known.new = []
-        sizes = np.fromiter(map(len, values), np.int64, len(values))
-        more, total = len(values), int(sizes.sum())
+        if isinstance(values, tuple):
+            flat, sizes = values
+        else:
+            sizes = np.fromiter(map(len, values), np.int64, len(values))
+            flat = np.fromiter(chain.from_iterable(values), self.dtype, int(sizes.sum()))
+        more, total = len(sizes), len(flat)
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         while self.count + more > len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        flat = np.fromiter((v for word in values for v in word), self.dtype, total)
         self.flat[self.used:self.used + total] = flat
         self.starts[self.count:self.count + more] = self.used + np.cumsum(sizes) - sizes
         self.sizes[self.count:self.count + more] = sizes

@@ -168,14 +168,29 @@ class Ranker:
         return langs, scores
 
 
+def _ranker(learned: dict[str, list[str]], size: int) -> Ranker:
+    if _worker.get("of") != (learned, size):
+        _worker["of"], _worker["ranker"] = (learned, size), Ranker(learned, size)
+    return _worker["ranker"]
+
+
+def accepted(df: DataFrame, learned: dict[str, list[str]], size: int = PROFILE, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows in a learned language with at least ``min_score``, with all their columns."""
+    shipped = df.sparkSession.sparkContext.broadcast(learned)
+
+    def verdict(texts: list[bytes]) -> np.ndarray:
+        langs, scores = _ranker(shipped.value, size).predict(texts)
+        return np.array([x != UNDETERMINED and y >= min_score for x, y in zip(langs, scores)], bool)
+
+    return common.keep_rows(df, verdict, text_col)
+
+
 def predict(df: DataFrame, learned: dict[str, list[str]], size: int = PROFILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row; the score is 1 less the share of the largest distance."""
     shipped = df.sparkSession.sparkContext.broadcast(learned)  # ``size`` n-grams per language
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
-        if _worker.get("of") != (shipped.value, size):
-            _worker["of"], _worker["ranker"] = (shipped.value, size), Ranker(shipped.value, size)
-        langs, scores = _worker["ranker"].predict(common.texts_of(batch))
+        langs, scores = _ranker(shipped.value, size).predict(common.texts_of(batch))
         return {"id": batch.column("id"), "lang_pred": langs, "score": scores}
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -11,6 +11,8 @@ Nulls: a null text is empty: no words, no labels, score 0. Rows are scanned one
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -163,11 +165,6 @@ class Automaton:
         return sorted(out)
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-
 def places(numbers: np.ndarray, phrase: list[int]) -> np.ndarray:
     """Where the words of a phrase stand one after another."""
     n = len(numbers) - len(phrase) + 1
@@ -199,11 +196,11 @@ def scan(df: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, min_
         pairs = np.zeros((size, size), bool)
         pairs[:automaton.pairs.shape[0], :automaton.pairs.shape[1]] = automaton.pairs
         automaton.pairs = pairs
-        known = _Numbers(automaton.number)
+        known = automaton.number.get
         rows = []
         for key, text in zip(batch.column("id").to_pylist(), common.texts_of(batch)):
             words = words_of(text)
-            numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            numbers = np.fromiter(map(known, words, repeat(0)), np.int64, len(words))
             found = [(label, at) for phrase, label in phrases if len(at := places(numbers, phrase))]
             base = sorted({label for label, _ in found})
             covered = automaton.spans(numbers)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillstone.llm import bpe, brown, hosts, langid, licences, simple8b, toxicity, urls
+from tillstone.llm import bpe, brown, decontaminate, hosts, jaccard, langid, licences, simple8b, toxicity, urls
 from tillstone.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,12 @@ QUERIES: dict[str, Query] = {
     "op1_bpe": _documents(bpe.digests),
     "op2_toxicity": lambda spark, sf_dir: toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
     "op3_url_filter": lambda spark, sf_dir: urls.judged(read(spark, sf_dir, "pages")),
+    "op4_jaccard_join": _documents(jaccard.clustered),
     "op5_host_rules": _documents(hosts.judged),
     "op6_language_id": _documents(langid.identified),
     "op7_class_ngrams": _documents(brown.scored),
     "op8_licence_scan": _documents(licences.labelled),
     "op9_token_files": _documents(simple8b.round_trip),
+    "op10_decontaminate": lambda spark, sf_dir: decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
 }
 ORACLE: dict[str, str] = {}
