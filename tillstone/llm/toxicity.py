@@ -6,7 +6,7 @@ regression learns one weight per n-gram on features scaled by the ratio, so that
 sigmoid(sum ratio * weight + bias).
 
 The counts behind the ratios are over all labelled training texts. The weights are fitted on
-at most about ``FIT_ROWS`` of them (taken by a hash of the id, the same on every run), as
+at most about ``FIT_ROWS`` of either class (taken by a hash of the id, the same on every run), as
 ``SHARDS`` models on disjoint shares that are then averaged.
 
 Nulls: a null text is empty and is scored by the bias alone; rows with a null label or id are
@@ -27,17 +27,23 @@ from tillstone.llm import common
 
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 18
-FIT_ROWS = 16_000
-SHARDS = 8
-EPOCHS = 12
+#: At most about so many texts of either class are fitted on.
+FIT_ROWS = 8_000
+SHARDS = 4
+EPOCHS = 5
 RATE = 0.5
-L2 = 1e-6
+L2 = 1e-4
+SMOOTHING = 30.0
 _CHUNK = 1 << 12
 
 
 def features(text: bytes) -> np.ndarray:
-    """Buckets of the character n-grams of a text, in lower case, each once and in order."""
-    chars = np.frombuffer(f" {text.decode('utf-8', 'replace').lower()} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    """Buckets of the character n-grams of a text, each once and in order.
+
+    In lower case, and with one space for white space, before the text and after it.
+    """
+    plain = " ".join(text.decode("utf-8", "replace").lower().split())
+    chars = np.frombuffer(f" {plain} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
     present = np.zeros(BUCKETS, bool)
     with np.errstate(over="ignore"):
         rolling = chars + np.uint64(1)
@@ -88,9 +94,13 @@ def presence_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_ratios(counts: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """log of the smoothed shares of toxic and other texts that hold each n-gram; 0 where none does."""
-    share = (counts + 1) / (texts[:, None] + 2)
-    return np.where(counts.sum(0) > 0, np.log(share[1] / share[0]), 0.0)
+    """log of the ratio of the shares of toxic and other texts that hold each n-gram.
+
+    ``SMOOTHING`` texts with every n-gram are added in the classes' own proportion, so an
+    n-gram met a few times has a ratio near 0.
+    """
+    share = (counts + SMOOTHING * (texts / texts.sum())[:, None]) / texts[:, None]
+    return np.log(share[1] / share[0])
 
 
 def fit(texts: list[bytes], toxic: list[int], ratios: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> np.ndarray:
@@ -125,8 +135,9 @@ def train(rows: DataFrame) -> np.ndarray | None:
     spark = rows.sparkSession
     shipped = spark.sparkContext.broadcast(ratios.astype(np.float32))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    share = min(1.0, FIT_ROWS / float(texts.sum()))
-    chosen = rows.where(place < int(share * (1 << 30))).withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARDS)).cast("int"))
+    bounds = [int(min(1.0, FIT_ROWS / n) * (1 << 30)) for n in texts]
+    chosen = (rows.where(place < F.when(F.col("toxic") == 1, bounds[1]).otherwise(bounds[0]))
+              .withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARDS)).cast("int")))
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
