@@ -14,6 +14,7 @@ first in order. Rows are predicted one by one, repeated ids included.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ PROFILE = 400
 UNDETERMINED = "und"
 #: Below this score a text shares next to nothing with any profile.
 MIN_SCORE = 0.1
+#: Bytes of text at a time; the n-grams of its words take some hundred times as many.
+SLICE_BYTES = 1 << 20
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
@@ -51,7 +54,7 @@ class Grams:
     def reset(self) -> None:
         self.names: list[str] = []
         self._at: dict[str, int] = {}
-        self.cache = common.WordCache(lambda words: [self._of(w) for w in words])
+        self.cache = common.WordCache(lambda words: [self._of(w) for w in words], limit=300_000)
 
     def _of(self, word: bytes) -> list[int]:
         out = []
@@ -62,10 +65,8 @@ class Grams:
             out.append(at)
         return out
 
-    def trim(self) -> bool:
-        if full := len(self.names) > self.limit:
-            self.reset()
-        return full
+    def full(self) -> bool:
+        return len(self.names) > self.limit
 
 
 _worker: dict[object, object] = {}
@@ -80,31 +81,39 @@ def _grams() -> Grams:
 def profiles(df: DataFrame, size: int = PROFILE, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
     """The ``size`` most frequent n-grams of each language, ties in the n-grams' order.
 
-    Counted over all texts, added up per worker slice and then by Spark; what comes to the
+    Counted over all texts, added up per task and then by Spark; what comes to the
     driver is ``size`` n-grams per language.
     """
-    def work(batch: pa.RecordBatch) -> dict[str, object]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _grams()
-        own.trim()
-        split = [x.split() for x in common.texts_of(batch)]
-        langs = batch.column("lang").to_pylist()
-        flat, sizes = own.cache.values([w for words in split for w in words])
-        ends = np.cumsum(common.per_text(sizes, [len(words) for words in split]))
-        out: dict[str, list] = {"lang": [], "gram": [], "n": []}
         counts: dict[str, np.ndarray] = {}
-        for lang, a, b in zip(langs, np.concatenate(([0], ends[:-1])), ends):
-            own_counts = np.bincount(flat[a:b], minlength=len(own.names))
-            counts[lang] = counts[lang] + own_counts if lang in counts else own_counts
-        for lang, values in counts.items():
-            some = np.flatnonzero(values)
-            out["lang"] += [lang] * len(some)
-            out["gram"] += [own.names[i] for i in some.tolist()]
-            out["n"] += values[some].tolist()
-        return out
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, values in counts.items():
+                some = np.flatnonzero(values)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * len(some), pa.string()), pa.array([own.names[i] for i in some.tolist()], pa.string()),
+                    pa.array(values[some], pa.int64())], ["lang", "gram", "n"])
+            counts.clear()
+
+        for batch in batches:
+            for part in common.slices(batch, "text", SLICE_BYTES):
+                if own.full():
+                    yield from rows()
+                    own.reset()
+                split = [x.split() for x in common.texts_of(part)]
+                flat, sizes = own.cache.values([w for words in split for w in words])
+                ends = np.cumsum(common.per_text(sizes, [len(words) for words in split]))
+                for lang, a, b in zip(part.column("lang").to_pylist(), np.concatenate(([0], ends[:-1])), ends):
+                    more = np.bincount(flat[a:b], minlength=len(own.names))
+                    if (held := counts.get(lang)) is not None:
+                        more[:len(held)] += held
+                    counts[lang] = more
+        yield from rows()
 
     rows = df.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counted = common.map_batches(rows, work, "lang string, gram string, n long", limit=16 << 20)
+    counted = common.in_arrow(rows, run, "lang string, gram string, n long")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = (counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
            .withColumn("place", F.row_number().over(order)).where(F.col("place") <= size))
@@ -142,7 +151,8 @@ class Ranker:
         self._known = len(names)
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
-        if self.grams.trim():
+        if self.grams.full():
+            self.grams.reset()
             self._reset()
         split = [x.split() for x in texts]
         flat, sizes = self.grams.cache.values([w for words in split for w in words])
@@ -182,7 +192,7 @@ def accepted(df: DataFrame, learned: dict[str, list[str]], size: int = PROFILE,
         langs, scores = _ranker(shipped.value, size).predict(texts)
         return np.array([x != UNDETERMINED and y >= min_score for x, y in zip(langs, scores)], bool)
 
-    return common.keep_rows(df, verdict, text_col)
+    return common.keep_rows(df, verdict, text_col, SLICE_BYTES)
 
 
 def predict(df: DataFrame, learned: dict[str, list[str]], size: int = PROFILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,7 +204,7 @@ def predict(df: DataFrame, learned: dict[str, list[str]], size: int = PROFILE, i
         return {"id": batch.column("id"), "lang_pred": langs, "score": scores}
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return common.map_batches(rows, work, "id long, lang_pred string, score double")
+    return common.map_batches(rows, work, "id long, lang_pred string, score double", limit=SLICE_BYTES)
 
 
 def held_out(key: Column) -> Column:
