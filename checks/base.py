@@ -178,7 +178,8 @@ FACT_LINES = f"""fact_lines AS (
          (SELECT MIN(f.pago_sk) FROM dim_payment f WHERE f.forma_pago = l.pay_form) AS pago_sk,
          {fixed2('l.quantity')} AS cantidad, {fixed2('l.unit_price')} AS precio_unitario,
          {fixed2('l.gross')} AS precio_bruto, {fixed2('l.net')} AS precio_neto, {fixed2('l.vat')} AS iva_monto
-  FROM lines l
+  FROM (SELECT DISTINCT tx_id, line_id, sold_at, description, tax_type, branch_norm, pay_form,
+               quantity, unit_price, gross, net, vat FROM lines) l
   WHERE l.tx_id IS NOT NULL AND l.tx_id <> '' AND l.sold_at IS NOT NULL)"""
 
 FACT_TX = f"""fact_tx AS (

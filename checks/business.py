@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from checks.base import (
-    LINES, STAR, TX, VOCAB, account_case, alias_case, broad_case, money, of_both, of_lines, of_star,
-    pct, per_quantity, per_unit, with_,
+    LINES, STAR, TX, VOCAB, account_case, alias_case, broad_case, clean_tables, money, of_both, of_lines, of_star,
+    pct, per_quantity, per_unit, plain, stored_star, with_,
 )
 from tillstone.plans import hours, loyalty, payments, products, sales
-from tillstone.plans.star import dim_branch
+
+
+def _loyalty_view(spark: SparkSession, sf: str) -> DataFrame:
+    lines, tx = clean_tables(spark, sf)
+    return loyalty.loyalty_view(tx, lines, stored_star(spark, sf).dim_branch, VOCAB)
+
 
 QUERIES = {
     "q01_overview_tickets": of_both(lambda t, l: sales.overview_tickets(t, l, VOCAB)),
@@ -18,10 +25,8 @@ QUERIES = {
     "q06_peak_hours_raw": of_lines(lambda l: hours.peak_hours_raw(l, VOCAB)),
     "q07_peak_hours_view": of_lines(lambda l: hours.peak_hours_view(l, VOCAB)),
     "q08_loyalty_raw": of_both(lambda t, l: loyalty.loyalty_raw(t, l, VOCAB)),
-    "q09_loyalty_view": of_both(lambda t, l: loyalty.loyalty_view(t, l, dim_branch(l, VOCAB), VOCAB)),
-    "q09_loyalty_newest": of_both(
-        lambda t, l: loyalty.newest(loyalty.loyalty_view(t, l, dim_branch(l, VOCAB), VOCAB))
-    ),
+    "q09_loyalty_view": lambda spark, sf: plain(_loyalty_view(spark, sf)),
+    "q09_loyalty_newest": lambda spark, sf: plain(loyalty.newest(_loyalty_view(spark, sf))),
     "q10_purchase_behavior_raw": of_both(lambda t, l: sales.purchase_behavior(t, l, VOCAB)),
     "q11_purchase_behavior_view": of_both(
         lambda t, l: sales.purchase_behavior(t, l, VOCAB, keep_unnamed=True)

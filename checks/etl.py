@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.base import (
     DIMS, FACT_LINES, FACT_TX, LINES, LINES_RAW, STAR, TX, VOCAB, cents, clean_tables, money, of_both, of_lines,
-    of_star, of_table, of_tx, plain, read, sk, with_,
+    of_star, of_table, of_tx, plain, read, sk, stored_star, with_,
 )
 from tillstone.operators import load, profile
 from tillstone.operators.cleanse import cleanse_lines, present
@@ -17,26 +17,22 @@ from tillstone.sources.tables import LINE_HEADERS, capped_json_rows, rename_head
 
 
 def _strict_facts(spark: SparkSession, sf: str) -> DataFrame:
-    lines, _ = clean_tables(spark, sf)
+    stored = stored_star(spark, sf)
     return plain(star.fact_lines_strict(
-        testshop.raw_lines(spark, sf), star.dim_product(lines, VOCAB), star.dim_branch(lines, VOCAB),
-        star.dim_payment(lines, VOCAB), strict=False,
+        testshop.raw_lines(spark, sf), stored.dim_product, stored.dim_branch, stored.dim_payment, strict=False,
     ))
 
 
 def _fact_lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines, tx = clean_tables(spark, sf)
+    stored = stored_star(spark, sf)
     return plain(star.fact_lines(
-        lines, star.dim_date(lines, tx), star.dim_product(lines, VOCAB), star.dim_branch(lines, VOCAB),
-        star.dim_payment(lines, VOCAB), VOCAB,
+        clean_tables(spark, sf)[0], stored.dim_date, stored.dim_product, stored.dim_branch, stored.dim_payment, VOCAB,
     ))
 
 
 def _fact_tx(spark: SparkSession, sf: str) -> DataFrame:
-    lines, tx = clean_tables(spark, sf)
-    facts = star.fact_tx(
-        tx, star.dim_date(lines, tx), star.dim_branch(lines, VOCAB), star.dim_card(tx, VOCAB), VOCAB
-    )
+    stored = stored_star(spark, sf)
+    facts = star.fact_tx(clean_tables(spark, sf)[1], stored.dim_date, stored.dim_branch, stored.dim_card, VOCAB)
     return plain(facts.withColumn("fecha_transaccion", F.date_format("fecha_transaccion", "yyyy-MM-dd HH:mm:ss")))
 
 

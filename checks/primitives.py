@@ -80,9 +80,14 @@ def _whole_window(orders: DataFrame) -> DataFrame:
     return lookup.with_single_row(parts, everything)
 
 
-def _first_accounts(*order, n: int):
-    """Line counts of the first ``n`` accounts in an order that says where NULL goes."""
-    return lambda lines: lines.groupBy("account").agg(F.count("*").alias("n")).orderBy(*order).limit(n)
+def _placed(counts: DataFrame, *order) -> DataFrame:
+    """Every row with its place in ``order``. The window has no key: it sees one row per group."""
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+
+
+def _accounts_in(*order):
+    """Line counts of all accounts with their place in an order that says where NULL goes."""
+    return lambda lines: _placed(lines.groupBy("account").agg(F.count("*").alias("n")), *order)
 
 
 def _parts_of_date(df: DataFrame) -> DataFrame:
@@ -132,7 +137,7 @@ def _build() -> dict[str, Query]:
         "p8_any_case_equality": of_tx(_counts(
             low=F.lower("status") == "paid", up=F.upper(F.coalesce("run_as", F.lit(""))).isin("DEBIT", "DEBITO")
         )),
-        "p9_boolean_sort_key": of_lines(_first_accounts(acc.isNull(), F.desc("n"), "account", n=8)),
+        "p9_boolean_sort_key": of_lines(_accounts_in(acc.isNull(), F.desc("n"), "account")),
         "p10_positional_group": _positional,
         "p11_star_plus_column": of_table("nation", lambda n: n.select("*", (F.col("n_nationkey") % 2).alias("odd"))),
         "p12_cte_chain": of_both(_cte_chain),
@@ -177,11 +182,11 @@ def _build() -> dict[str, Query]:
         "j12_any_row": _tables(lambda t: lookup.with_single_row(
             t("region"), t("nation").agg(F.min("n_nationkey").alias("any_nation"))
         )),
-        "j13_case_key_lookup": of_lines(lambda l: lookup.first_match(
-            l.select(branch.dimension_name(norm, VOCAB).alias("k")),
+        "j13_case_key_lookup": of_lines(lambda l: lookup.first_match(  # reduced to its few keys first
+            l.groupBy(branch.dimension_name(norm, VOCAB).alias("k")).agg(F.count("*").alias("k_n")),
             l.select("branch_norm").filter("branch_norm <> ''").distinct(), {"branch_norm": F.col("k")}, "branch_norm",
             "found",
-        ).groupBy("found").agg(F.count("*").alias("n"))),
+        ).groupBy("found").agg(F.sum("k_n").alias("n"))),
         "j14_anti_join": _tables(lambda t: new_rows(
             t("lineitem").select(F.col("l_orderkey").alias("o_orderkey")), t("orders").select("o_orderkey"), ["o_orderkey"]
         )),
@@ -205,6 +210,10 @@ def _build() -> dict[str, Query]:
             l.groupBy("account").agg(F.count("*").alias("n"), F.sum("gross").alias("gross")),
             "account", "TOTAL", {"n": "n", "gross": "gross"},
         )),
+        "a5_rollup_of_nothing": of_lines(lambda l: grain.total_row(
+            l.filter(F.col("gross") < -1).groupBy("account").agg(F.count("*").alias("n"), F.sum("gross").alias("gross")),
+            "account", "TOTAL", {"n": "n", "gross": "gross"}, counts=("n",),
+        )),
         "a6_distinct_rows": of_table("lineitem", lambda l: l.select("l_suppkey", "l_returnflag").distinct()),
         "a7_distinct_on": of_tx(one_payment_per_ticket),
         "a8_group_as_dedupe": of_lines(lambda l: grain.per_ticket_branch(l, acc)),
@@ -221,12 +230,12 @@ def _build() -> dict[str, Query]:
         "w3_whole_result_window": of_table("orders", _whole_window),
         "w2_line_numbers": of_lines(lambda l: number_lines(l.select("tx_id", "line_id"))),
         # Sorts and limits
-        "t1_mixed_sort": of_table("supplier", lambda s: s.orderBy(
-            F.desc("s_nationkey"), F.asc("s_suppkey")
-        ).select("s_suppkey", "s_nationkey").limit(20)),
-        "t2_desc_nulls_first": of_lines(_first_accounts(F.desc_nulls_first("account"), n=2)),
-        "t3_asc_nulls_last": of_lines(_first_accounts(F.asc_nulls_last("account"), n=8)),
-        "t4_nulls_last_pick": of_tx(lambda t: t.select("run_as").distinct().orderBy(F.asc_nulls_last("run_as")).limit(3)),
+        "t1_mixed_sort": of_table("supplier", lambda s: _placed(
+            s.groupBy("s_nationkey").agg(F.count("*").alias("n")), F.desc("n"), F.asc("s_nationkey")
+        )),
+        "t2_desc_nulls_first": of_lines(_accounts_in(F.desc_nulls_first("account"))),
+        "t3_asc_nulls_last": of_lines(_accounts_in(F.asc_nulls_last("account"))),
+        "t4_nulls_last_pick": of_tx(lambda t: _placed(t.select("run_as").distinct(), F.asc_nulls_last("run_as"))),
         "t5_top_k": of_table("lineitem", lambda l: l.groupBy("l_partkey").agg(
             F.sum(cents("l_extendedprice")).alias("v")
         ).orderBy(F.desc("v"), "l_partkey").limit(50)),
@@ -337,7 +346,8 @@ WHERE regexp_matches(sold_at, '^[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}, [0-9]{{2}}:[0-
     "p8_any_case_equality": with_(TX) + f"""SELECT {_when("lower(status) = 'paid'", 'low')},
 {_when("upper(COALESCE(run_as, '')) IN ('DEBIT', 'DEBITO')", 'up')} FROM tx""",
     "p9_boolean_sort_key": with_(LINES) + """
-SELECT account, COUNT(*) AS n FROM lines GROUP BY 1 ORDER BY account IS NULL, n DESC, account LIMIT 8""",
+SELECT account, COUNT(*) AS n, row_number() OVER (ORDER BY account IS NULL, COUNT(*) DESC, account) AS place
+FROM lines GROUP BY 1""",
     "p10_positional_group": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY 1, 2 ORDER BY 1, 2",
     "p11_star_plus_column": "SELECT *, n_nationkey % 2 AS odd FROM nation",
     "p12_cte_chain": with_(
@@ -402,6 +412,10 @@ SELECT COUNT(CASE WHEN l_quantity > 25 THEN 1 END) AS big,
 SELECT CASE WHEN GROUPING(account) = 1 THEN 'TOTAL' ELSE account END AS account,
        CAST(GROUPING(account) AS TINYINT) AS is_total, COUNT(*) AS n, {money('SUM(gross)')} AS gross
 FROM lines GROUP BY ROLLUP(account)""",
+    "a5_rollup_of_nothing": with_(LINES) + f"""
+SELECT CASE WHEN GROUPING(account) = 1 THEN 'TOTAL' ELSE account END AS account,
+       CAST(GROUPING(account) AS TINYINT) AS is_total, COUNT(*) AS n, {money('SUM(gross)')} AS gross
+FROM lines WHERE gross < -10000 GROUP BY ROLLUP(account)""",
     "a6_distinct_rows": "SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem",
     "a7_distinct_on": with_(TX) + f"""
 SELECT DISTINCT ON (tx_id) tx_id, run_as, {money('fee')} AS fee FROM tx
@@ -425,12 +439,12 @@ FROM (SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY 1) p""",
     "w2_line_numbers": with_(LINES) + """
 SELECT tx_id, line_id, row_number() OVER (PARTITION BY tx_id ORDER BY line_id) AS linea_ticket FROM lines""",
     "t7_top_k_per_group": f"SELECT * FROM ({TOP5}) t WHERE ranking <= 2",
-    "t1_mixed_sort": "SELECT s_suppkey, s_nationkey FROM supplier ORDER BY s_nationkey DESC, s_suppkey LIMIT 20",
+    "t1_mixed_sort": "SELECT s_nationkey, COUNT(*) AS n, row_number() OVER (ORDER BY COUNT(*) DESC, s_nationkey) AS place FROM supplier GROUP BY 1",
     "t2_desc_nulls_first": with_(LINES) + """
-SELECT account, COUNT(*) AS n FROM lines GROUP BY 1 ORDER BY account DESC NULLS FIRST LIMIT 2""",
+SELECT account, COUNT(*) AS n, row_number() OVER (ORDER BY account DESC NULLS FIRST) AS place FROM lines GROUP BY 1""",
     "t3_asc_nulls_last": with_(LINES) + """
-SELECT account, COUNT(*) AS n FROM lines GROUP BY 1 ORDER BY account NULLS LAST LIMIT 8""",
-    "t4_nulls_last_pick": with_(TX) + "SELECT DISTINCT run_as FROM tx ORDER BY run_as NULLS LAST LIMIT 3",
+SELECT account, COUNT(*) AS n, row_number() OVER (ORDER BY account NULLS LAST) AS place FROM lines GROUP BY 1""",
+    "t4_nulls_last_pick": with_(TX) + "SELECT run_as, row_number() OVER (ORDER BY run_as NULLS LAST) AS place FROM tx GROUP BY 1",
     "t5_top_k": f"SELECT l_partkey, {_DOUBLE_SUM} AS v FROM lineitem GROUP BY 1 ORDER BY v DESC, l_partkey LIMIT 50",
     "t6_limit_whole_key": "SELECT * FROM nation ORDER BY n_name, n_nationkey LIMIT 10",
     "u1_union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",

@@ -10,8 +10,8 @@ from tillstone.functions import dates
 from tillstone.functions.money import pct_of_count, pct_of_money, per_unit, to_money
 from tillstone.functions.text import contains_none, initcap_words
 from tillstone.operators import grain, load, lookup, profile
-from tillstone.operators.numbering import number_lines
-from tillstone.plans import hours, loyalty, payments, products, sales, star
+from tillstone.operators.numbering import bucketed, number_lines
+from tillstone.plans import agentlog, hours, loyalty, payments, products, sales, star
 from tillstone.sources.testshop import VOCABULARY as V
 
 
@@ -202,15 +202,52 @@ def test_single_match_lookup_fails_on_two(spark):
         lookup.only_match(facts, dim, {"k": F.col("k")}, "sk").collect()
 
 
-def test_line_numbers_do_not_depend_on_the_slices(spark):
-    df = spark.range(1, 3001).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("tx_id"), F.col("id").alias("line_id")
-    )
-    plain = df.withColumn("want", F.row_number().over(Window.partitionBy("tx_id").orderBy("line_id")))
-    for span in (1, 7, 100, 1_000_000):
-        got = number_lines(plain, id_span=span)
-        assert got.count() == 3000
-        assert got.filter("want <> linea_ticket").count() == 0
+def test_line_numbers_split_a_hot_ticket_of_sparse_ids(spark):
+    """A third of the lines under one ticket, ids far apart or clumped."""
+    number = F.col("id")
+    for line_id in (number * 10_000_000_000 + F.pmod(F.xxhash64("id"), F.lit(10**9)), F.pow(number, 3).cast("long"), number):
+        df = spark.range(1, 3001).select(
+            F.when(number % 3 == 0, "hot").otherwise(number.cast("string")).alias("tx_id"), line_id.alias("line_id")
+        )
+        plain = df.withColumn("want", F.row_number().over(Window.partitionBy("tx_id").orderBy("line_id")))
+        for target in (1, 100, 1_000_000):
+            got = number_lines(plain, target=target)
+            assert got.count() == 3000
+            assert got.filter("want <> linea_ticket").count() == 0
+        parts = bucketed(plain, 100).groupBy("tx_id", "_bucket").count()
+        assert parts.filter("tx_id <> 'hot' AND _bucket > 0").count() == 0
+        assert parts.filter("tx_id = 'hot'").count() > 100 and parts.agg(F.max("count")).first()[0] < 50
+
+
+def test_a_line_exported_twice_counts_once(spark):
+    t, twice = tx(spark, pay("1")), line("1", line_id=7)
+    s = star.star_of(lines(spark, twice, twice, line("1", line_id=8)), t, V)
+    assert sorted(rows(s.fact_lines, "id_transaccion", "linea_ticket")) == [("1", 1), ("1", 2)]
+
+
+def test_totals_over_nothing(spark):
+    l, t = lines(spark, line("1")).limit(0), tx(spark, pay("1")).limit(0)
+    s = star.star_of(l, t, V)
+    for got in (sales.overview_tickets(t, l, V), sales.overview_star(s.fact_lines, s.dim_branch, s.fact_tx, V), sales.sales_by_branch(t, l, V)):
+        assert rows(got, "cuenta", "transacciones") in ([(V.overview_total, 0)], [(V.general_total, 0)])
+    assert rows(payments.payment_mix_raw(t, l, V), "total_transacciones", "ventas_totales") == [(0, None)]
+    assert rows(payments.payment_mix_view(t, l, V), "total_transacciones", "ventas_totales", "comision_total", "tasa_comision_pct") == [(0, 0, 0, 0)]
+    assert sorted(rows(profile.distinct_profile(l, ["tx_id", "account"]))) == [("account", 0), ("tx_id", 0)]
+
+
+def test_a_ticket_may_have_very_many_payment_rows(spark):
+    """The product in the purchase behaviour for a count given as a column."""
+    amount = (F.lit("12345.6789").cast("decimal(28,4)") * F.lit(300_000_000_000).cast("decimal(19,0)")).cast("decimal(38,4)")
+    assert str(spark.range(1).select(amount).first()[0]) == "3703703670000000.0000"
+
+
+def test_json_must_be_the_whole_text(spark):
+    good = ['{"a":1}', ' {"a": [1, 2]} ', '{"a":1,"a":2}', "NaN", '{"a": NaN}', "null", "3", '"x"', "[]", "[1, 2]", "true"]
+    bad = ['{"a":1} junk', '{"a":1}{"b":2}', "1, 2", "", " ", "{'a':1}", "{", '{"a":1', "abc", None]
+    for texts_, wanted in ((good, True), (bad, False)):
+        df = spark.createDataFrame([(x,) for x in texts_], "t string")
+        got = rows(df.select("t", agentlog._is_json(F.col("t"))))
+        assert [r for r in got if r[1] is not wanted] == []
 
 
 def test_loads_are_idempotent(spark):

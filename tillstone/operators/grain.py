@@ -7,7 +7,7 @@ a handful of rows per map task, and no join or window sees it at line grain.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,21 +44,23 @@ def first_branch_flag(ticket_branch: DataFrame, branch: str = "branch") -> DataF
     return ticket_branch.withColumn("lead", (F.col(branch) == first).cast("int"))
 
 
-def total_row(parts: DataFrame, key: str, label: str, sums: Mapping[str, str]) -> DataFrame:
-    """Roll partial sums up to one row per key plus a labelled total.
+def total_row(
+    parts: DataFrame, key: str, label: str, sums: Mapping[str, str], counts: Sequence[str] = ()
+) -> DataFrame:
+    """Sum partial sums up to one row per key plus a labelled total.
 
-    ``parts`` already holds one row per key, so the roll-up expands a small table, not
-    the data. ``sums`` maps an output column to the partial column summed for the key
-    rows; write ``a|b`` to sum ``b`` on the total row instead. ``is_total`` flags the
-    total by ``grouping``, which a NULL key cannot imitate.
+    ``parts`` already holds one row per key, so the total adds up a small table, not the
+    data. ``sums`` maps an output column to the partial column summed for the key rows;
+    write ``a|b`` to sum ``b`` on the total row instead. ``is_total`` flags the total.
+    The total is a global aggregate: it is there when ``parts`` has no rows, with 0 in the
+    columns named in ``counts``.
     """
-    columns = []
+    by_key, in_total = [], []
     for out, spec in sums.items():
-        by_key, _, by_total = spec.partition("|")
-        value = F.sum(by_key)
-        if by_total:
-            value = F.when(F.grouping(key) == 1, F.sum(by_total)).otherwise(value)
-        columns.append(value.alias(out))
-    rolled = parts.rollup(key).agg(F.grouping(key).alias("is_total"), *columns)
-    labelled = F.when(F.col("is_total") == 1, F.lit(label)).otherwise(F.col(key))
-    return rolled.withColumn(key, labelled)
+        own, _, whole = spec.partition("|")
+        total = F.sum(whole or own)
+        by_key.append(F.sum(own).alias(out))
+        in_total.append((F.coalesce(total, F.lit(0)) if out in counts else total).alias(out))
+    rows = parts.groupBy(key).agg(F.lit(0).cast("tinyint").alias("is_total"), *by_key)
+    total = parts.agg(F.lit(1).cast("tinyint").alias("is_total"), *in_total)
+    return rows.unionByName(total.withColumn(key, F.lit(label)))

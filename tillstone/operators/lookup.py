@@ -24,17 +24,12 @@ def first_match(
 def only_match(
     df: DataFrame, dim: DataFrame, on: Mapping[str, Column], value: str, alias: str | None = None
 ) -> DataFrame:
-    """Like ``first_match``, but the job fails if a key has more than one row."""
+    """Like ``first_match``, but the job fails if a key that is looked up has more than one row."""
     message = F.lit(f"more than one {value} for one key")
-    reduced = (
-        dim.groupBy(*on)
-        .agg(F.min(value).alias("_min"), F.count("*").alias("_rows"))
-        .select(
-            *on,
-            F.when(F.col("_rows") == 1, F.col("_min")).otherwise(F.raise_error(message)).alias("_value"),
-        )
-    )
-    return _left(df, reduced, on, alias or value)
+    found = F.struct(F.min(value).alias("value"), F.count("*").alias("rows"))
+    joined = _left(df, dim.groupBy(*on).agg(found.alias("_value")), on, "_found")
+    one = F.when(F.col("_found.rows") > 1, F.raise_error(message)).otherwise(F.col("_found.value"))
+    return joined.withColumn(alias or value, one).drop("_found")
 
 
 def _left(df: DataFrame, reduced: DataFrame, on: Mapping[str, Column], alias: str) -> DataFrame:
@@ -49,8 +44,12 @@ def _left(df: DataFrame, reduced: DataFrame, on: Mapping[str, Column], alias: st
 
 
 def with_single_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a global aggregate (exactly one row) to every row."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Attach the columns of a table of one row, such as a global aggregate, to every row.
+
+    The row is taken by an aggregate, so the side that is broadcast is one row whatever is given.
+    """
+    row = one_row.agg(*[F.first(c).alias(c) for c in one_row.columns])
+    return df.crossJoin(F.broadcast(row))
 
 
 def keep_known(df: DataFrame, ids: DataFrame, on: str | Sequence[str]) -> DataFrame:

@@ -5,38 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Lines of a ticket up to which one task numbers it.
+TARGET = 1_000_000
+BUCKETS = 256
 
-def number_lines(
-    lines: DataFrame,
-    id_span: int = 1_000_000,
-    alias: str = "linea_ticket",
-    ids: DataFrame | None = None,
-) -> DataFrame:
-    """Add 1, 2, 3 ... per ``tx_id`` in ``line_id`` order.
-
-    A ticket is cut into slices of ``id_span`` consecutive line ids. Rows are numbered
-    inside their slice, and slices after a ticket's first get the number of earlier lines
-    added. An ordinary ticket lies in one slice; a ticket that holds a third of all lines
-    is spread over as many tasks as it has slices. The result does not depend on
-    ``id_span``. ``ids`` may give the same (tx_id, line_id) pairs from a cheaper plan.
+
+def bucketed(lines: DataFrame, target: int = TARGET) -> DataFrame:
+    """Add ``_bucket``: 0, or for a ticket of over ``target`` lines its part of the line ids.
+
+    The bounds are percentiles of the ticket's own ids, so clumped and sparse ids split too.
+    Only large tickets have bounds, one row each.
     """
-    slice_of = F.expr(f"line_id div {id_span}L").alias("_slice")
-    pairs = (lines if ids is None else ids).select("tx_id", slice_of)
-    in_slice = Window.partitionBy("tx_id", "_slice").orderBy("line_id")
-    earlier = (
-        Window.partitionBy("tx_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    large = lines.groupBy("tx_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > target).select("tx_id")
+    steps = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    bounds = (
+        lines.select("tx_id", "line_id").join(large, "tx_id", "left_semi")
+        .groupBy("tx_id").agg(F.percentile_approx("line_id", steps, 10_000).alias("_bounds"))
+    )
+    below = F.size(F.filter("_bounds", lambda x: x < F.col("line_id")))
+    return (
+        lines.join(bounds, "tx_id", "left")
+        .withColumn("_bucket", F.when(F.col("_bounds").isNull(), 0).otherwise(below)).drop("_bounds")
     )
-    later_slices = (
-        pairs.groupBy("tx_id", "_slice")
-        .agg(F.count("*").alias("_n"))
+
+
+def number_lines(lines: DataFrame, target: int = TARGET, alias: str = "linea_ticket") -> DataFrame:
+    """Add 1, 2, 3 ... per ``tx_id`` in ``line_id`` order; the result does not depend on ``target``.
+
+    An ordinary ticket is numbered by one task. A ticket of over ``target`` lines is cut into
+    up to 256 ranges of line ids that are numbered apart, and a range gets the number of
+    lines in earlier ranges added.
+    """
+    parts = bucketed(lines, target)
+    in_bucket = Window.partitionBy("tx_id", "_bucket").orderBy("line_id")
+    earlier = Window.partitionBy("tx_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        parts.groupBy("tx_id", "_bucket").agg(F.count("*").alias("_n"))
         .withColumn("_before", F.sum("_n").over(earlier))
         .filter(F.col("_before") > 0)
-        .select("tx_id", "_slice", "_before")
+        .select("tx_id", "_bucket", "_before")
     )
     return (
-        lines.select("*", slice_of)
-        .withColumn("_row", F.row_number().over(in_slice))
-        .join(later_slices, ["tx_id", "_slice"], "left")
+        parts.withColumn("_row", F.row_number().over(in_bucket))
+        .join(offsets, ["tx_id", "_bucket"], "left")
         .withColumn(alias, (F.col("_row") + F.coalesce("_before", F.lit(0))).cast("bigint"))
-        .drop("_slice", "_row", "_before")
+        .drop("_bucket", "_row", "_before")
     )

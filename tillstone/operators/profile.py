@@ -27,14 +27,15 @@ def distinct_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = F.array(*[
         F.struct(F.lit(c).alias("info"), F.col(c).cast("string").alias("value")) for c in columns
     ])
-    values = (
+    none = df.sparkSession.createDataFrame([(c, None) for c in columns], "info string, value string")
+    return (
         df.select(F.explode(pairs).alias("p"))
         .select("p.info", "p.value")
+        .union(none)  # a row per column even where the table is empty
         .distinct()
         .groupBy("info")
         .agg(F.count(F.nullif("value", F.lit(""))).alias("conteo"))
     )
-    return values
 
 
 def distinct_sample(df: DataFrame, column: str, n: int = 10) -> DataFrame:

@@ -51,7 +51,15 @@ def log_sql_guard(log: DataFrame, column: str = "text") -> DataFrame:
 
 
 def _is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """Whether the whole text is one JSON value; doubled keys and NaN are let through.
+
+    As a member it must be readable, as an array it must have one element: so text after the
+    value does not pass. The literal null is no value to the reader and goes by itself.
+    """
+    strict = {"allowSingleQuotes": "false"}
+    member = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string", strict)["v"]
+    alone = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", strict)
+    return F.coalesce((F.trim(text) == "null") | (member.isNotNull() & (F.size(alone) == 1)), F.lit(False))
 
 
 def _after_first(text: Column, marker: str) -> Column:

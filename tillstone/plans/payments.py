@@ -43,7 +43,10 @@ def payment_mix_view(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> Data
     run_as = F.upper(F.coalesce("run_as", F.lit("")))
     media = _media(run_as.isin(*vocab.debit_words), run_as.isin(*vocab.credit_words), vocab)
     mix = _mix(tickets.join(payments, "tx_id"), media, vocab)
-    rates = ("participacion_transacciones_pct", "participacion_ventas_pct", "tasa_comision_pct")
+    rates = (
+        "participacion_transacciones_pct", "ventas_totales", "participacion_ventas_pct", "comision_total",
+        "tasa_comision_pct",
+    )
     return mix.withColumns({c: F.coalesce(c, F.lit(0).cast(mix.schema[c].dataType)) for c in rates})
 
 
@@ -62,7 +65,7 @@ def _mix(tickets: DataFrame, media: Column, vocab: Vocabulary) -> DataFrame:
         F.count("*").alias("n"), F.sum("gross").alias("gross"), F.sum(or_zero(F.col("fee"))).alias("fee")
     )
     rolled = grain.total_row(
-        parts, "medio_de_pago", vocab.general_total, {"n": "n", "gross": "gross", "fee": "fee"}
+        parts, "medio_de_pago", vocab.general_total, {"n": "n", "gross": "gross", "fee": "fee"}, counts=("n",)
     )
     # At most four rows reach this window: three media and the total.
     everything = Window.partitionBy()

@@ -43,7 +43,8 @@ def overview_tickets(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> Data
         F.sum("fee").alias("fee"),
     )
     rolled = grain.total_row(
-        parts, "cuenta", vocab.overview_total, {"n": "n", "gross": "gross", "net": "net", "fee": "fee"}
+        parts, "cuenta", vocab.overview_total,
+        {"n": "n", "gross": "gross", "net": "net", "fee": "fee"}, counts=("n",),
     )
     return _overview_columns(rolled, F.col("fee"))
 
@@ -77,7 +78,7 @@ def overview_star(
     )
     rolled = grain.total_row(
         parts, "cuenta", vocab.overview_total,
-        {"n": "n|n_total", "gross": "gross", "net": "net", "fee": "fee"},
+        {"n": "n|n_total", "gross": "gross", "net": "net", "fee": "fee"}, counts=("n",),
     )
     return _overview_columns(rolled, or_zero(F.col("fee"), "decimal(28,2)"))
 
@@ -110,7 +111,7 @@ def sales_by_branch(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> DataF
         F.count("*").alias("n"), F.sum("lead").alias("n_total"), F.sum("gross").alias("gross")
     )
     rolled = grain.total_row(
-        parts, "cuenta", vocab.general_total, {"n": "n|n_total", "gross": "gross"}
+        parts, "cuenta", vocab.general_total, {"n": "n|n_total", "gross": "gross"}, counts=("n",)
     )
     shaped = rolled.select(
         "is_total",
@@ -208,7 +209,8 @@ def purchase_behavior(
     tickets = reduced.join(payments, "tx_id").select(
         F.col("branch").alias("sede_unificada"),
         (F.col("line_n") * pay_n).alias("items"),
-        (F.col("gross") * pay_n.cast("decimal(8,0)")).alias("amount"),
+        # A count has up to 19 digits; the product keeps the four decimals.
+        (F.col("gross") * pay_n.cast("decimal(19,0)")).cast("decimal(38,4)").alias("amount"),
     )
     alone, together = F.col("items") == 1, F.col("items") > 1
     parts = tickets.groupBy("sede_unificada").agg(

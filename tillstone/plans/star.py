@@ -19,6 +19,7 @@ from tillstone.functions.text import keyword_category
 from tillstone.operators import load, lookup
 from tillstone.operators.cleanse import cleanse_lines, cleanse_tx, present
 from tillstone.operators.numbering import number_lines
+from tillstone.operators.profile import duplicate_keys
 from tillstone.vocab import Vocabulary
 
 NATURAL_KEYS = {
@@ -164,7 +165,8 @@ def fact_lines(
     payment_dim: DataFrame,
     vocab: Vocabulary,
 ) -> DataFrame:
-    """Line fact with first-match lookups; an unmatched lookup leaves a NULL key.
+    """Line fact with first-match lookups; an unmatched lookup leaves a NULL key. A row that
+    the export holds twice, line id included, counts once.
 
     Two lookups miss on purpose, as in the source: a line without a tax type looks for the
     missing-value word while the dimension stores NULL, and a branch is looked up under
@@ -194,7 +196,7 @@ def fact_lines(
         "tx_id", "line_id", F.col("tx_id").alias("id_transaccion"),
         *[c for c in _FACT_LINES if c not in ("id_transaccion", "linea_ticket")],
     )
-    return number_lines(narrow, ids=kept).select(*_FACT_LINES)
+    return number_lines(narrow.distinct()).select(*_FACT_LINES)
 
 
 def fact_lines_strict(
@@ -232,7 +234,7 @@ def fact_lines_strict(
         "tx_id", "line_id", F.col("tx_id").alias("id_transaccion"),
         *[c for c in _FACT_LINES if c not in ("id_transaccion", "linea_ticket")],
     )
-    return number_lines(narrow, ids=measured).select(*_FACT_LINES)
+    return number_lines(narrow).select(*_FACT_LINES)
 
 
 def fact_tx(
@@ -337,7 +339,11 @@ def build_star(
             incoming = load.insert_ignore(
                 spark.read.parquet(f"{previous}/{name}"), incoming, NATURAL_KEYS[name]
             )
-        return _stored(spark, incoming, f"{out}/{name}")
+        table = _stored(spark, incoming, f"{out}/{name}")
+        key = table.columns[0]  # a surrogate key is a hash: two rows with one must not pass unseen
+        if not duplicate_keys(table, key).isEmpty():
+            raise ValueError(f"{name}.{key} is not unique")
+        return table
 
     date_dim = merged("dim_date", dim_date(lines, tx))
     product_dim = merged("dim_product", dim_product(lines, vocab))

@@ -168,23 +168,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
-    """Spread a table that lies in fewer files than there are cores, because turning it
-    into text is the dear part. A table of many files is read as it is."""
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("lineitem", "part", "supplier", "nation", "region")
     tables = {n: _table(spark, sf_dir, n) for n in names}
-    tables["lineitem"] = _spread(spark, tables["lineitem"], "l_orderkey")
+    # Turning a table into text is the dear part, so its rows are spread evenly first.
+    tables["lineitem"] = tables["lineitem"].hint("rebalance")
     return spark.sql(LINES_SQL, **tables)
 
 
 def raw_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _spread(spark, _table(spark, sf_dir, "orders"), "o_orderkey")
-    return spark.sql(TX_SQL, orders=orders)
+    return spark.sql(TX_SQL, orders=_table(spark, sf_dir, "orders").hint("rebalance"))
 
 
 def agent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
