@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 from pathlib import Path
 
@@ -33,13 +34,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read again.
 
-    Unlike ``checkpoint`` it runs the plan a single time, and what is read is columnar.
+    Unlike ``checkpoint`` it runs the plan a single time, and what is read is columnar. The
+    shuffle files of the run go at its end, since nothing reads them again.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, what is run drops its shuffle files when it ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def in_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` by workers that can import this package."""
     importable(df.sparkSession)

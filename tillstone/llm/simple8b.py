@@ -157,11 +157,27 @@ def _encoder(path: str, spec: str) -> common.WordCache:
         own.no_truncation()
         own.no_padding()
 
-        def ids(words: list[bytes]) -> list[list[int]]:
-            texts = [w.decode("utf-8", "replace") for w in words]
-            return [x.ids for i in range(0, len(texts), 20_000)
-                    for x in own.encode_batch_fast(texts[i:i + 20_000], add_special_tokens=False)]
-
+        def ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            # Many words in one call, a mark between them; a word that holds the mark goes alone.
+            sizes, parts = np.empty(len(words), np.int64), []
+            for at in range(0, len(words), 1000):
+                some = words[at:at + 1000]
+                text = b" \0 ".join(some)
+                if text.count(b"\0") == len(some) - 1:
+                    got = np.array(encode(text.decode("utf-8", "replace")), np.uint32)
+                    bounds = np.flatnonzero(got == mark)
+                    sizes[at:at + len(some)] = np.diff(bounds, prepend=-1, append=len(got)) - 1
+                    parts.append(got[got != mark])
+                else:
+                    each = [encode(w.decode("utf-8", "replace")) for w in some]
+                    sizes[at:at + len(some)] = [len(x) for x in each]
+                    parts += [np.array(x, np.uint32) for x in each]
+            return np.concatenate(parts), sizes
+
+        def encode(text: str) -> list[int]:
+            return own.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+        (mark,) = encode("\0")
         _encoders[path] = common.WordCache(ids)
     return _encoders[path]
 
@@ -221,8 +237,8 @@ def write_token_file(
 
     rows = (df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
             .repartitionByRange("id").sortWithinPartitions("id", "text"))
-    (common.in_arrow(rows, run, BLOCK_SCHEMA)
-       .write.option("compression", "zstd").parquet(folder))
+    with common.shuffles_dropped(df.sparkSession):
+        common.in_arrow(rows, run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(folder)
 
 
 def read_token_file(spark, folder: str) -> DataFrame:
