@@ -35,7 +35,7 @@ from tillstone.llm.licences import words_of
 TABLES = 6
 BITS = 4
 STEPS = 13
-REACH = 8
+REACH = 5
 MAX_EDITS_PCT = 20
 #: Bytes of items searched for in one pass; a larger benchmark takes several passes.
 PASS_BYTES = 16 << 20
@@ -99,12 +99,14 @@ class Tables:
                 continue
             starts = np.arange(len(words) - REACH + 1)
             key, walk, keep = np.zeros(len(starts), np.int64), self._walk(words, starts, t), None
+            inside = np.ones(len(starts), bool)  # samples beyond the item's end are no use
             for _ in range(BITS):
-                key = key * self.side + (next(walk) if keep is None else walk.send(keep))
+                seen = next(walk) if keep is None else walk.send(keep)
+                key, inside = key * self.side + seen, inside & (seen > 0)
                 keep = np.ones(len(starts), bool)
-            keys.append(key)
-            owners.append(np.full(len(starts), k))
-            offsets.append(starts)
+            keys.append(key[inside])
+            owners.append(np.full(int(inside.sum()), k))
+            offsets.append(starts[inside])
         if not keys:
             none = np.empty(0, np.int64)
             return [none] * BITS, none, none, none
