@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillstone.llm import bpe, brown, decontaminate, hosts, jaccard, langid, licences, simple8b, toxicity, urls
+from tillstone.llm import bpe, brown, decontaminate, hosts, jaccard, langid, licences, oracles, simple8b, toxicity, urls
 from tillstone.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,4 +28,4 @@ QUERIES: dict[str, Query] = {
     "op9_token_files": _documents(simple8b.round_trip),
     "op10_decontaminate": lambda spark, sf_dir: decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_url_filter": oracles.url_filter(), "op5_host_rules": oracles.host_rules()}
