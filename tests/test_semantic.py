@@ -59,7 +59,8 @@ def test_readonly_sql(spark, shop):
     assert rows(semantic.readonly_sql(spark, " SELECT count(*) AS created_at FROM lines")) == [(3,)]
     assert semantic.readonly_sql(spark, "select * from range(100)").count() == 50
     assert rows(semantic.mark_empty(semantic.readonly_sql(spark, "select * from range(0)"))) == [("EMPTY_RESULT",)]
-    for text in ("drop view lines", "with x as (select 1) insert into t select * from x", "show tables"):
+    for text in ("drop view lines", "with x as (select 1) insert into t select * from x", "show tables",
+                 "select * from parquet.`/tmp/x`", "select reflect('java.lang.System', 'exit', 0)"):
         with pytest.raises(semantic.NotReadOnly):
             semantic.check_readonly(text)
     described = semantic.describe(spark)

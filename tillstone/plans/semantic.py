@@ -274,13 +274,16 @@ class NotReadOnly(ValueError):
 def check_readonly(text: str) -> None:
     """Accept statements that start with SELECT or WITH and hold no writing keyword as a
     whole word. (The log classifier matches substrings; here ``created_at`` may be read.)
+    Relations named by a file path and calls of Java methods are refused too.
     """
     lowered = text.strip().lower()
     if not lowered.startswith(READ_STARTS):
         raise NotReadOnly("only SELECT or WITH statements are allowed")
-    found = set(re.findall(r"\w+", lowered)) & set(FORBIDDEN)
+    found = set(re.findall(r"\w+", lowered)) & {*FORBIDDEN, "reflect", "try_reflect", "java_method"}
     if found:
         raise NotReadOnly(f"not allowed in a read: {', '.join(sorted(found))}")
+    if re.search(r"`[^`]*[/:\\][^`]*`", lowered):
+        raise NotReadOnly("only published views may be read, not files")
 
 
 def readonly_sql(spark: SparkSession, text: str, cap: int = 50) -> DataFrame:
