@@ -90,3 +90,14 @@ def test_bands_and_distances():
             least = next((s for s in range(a + 1) if jaccard.linked(s, a, b)), None)
             if least is not None:
                 assert a + b - 2 * least <= jaccard.largest_distance(a, b) and most == a
+
+
+def test_cells_never_promise_too_little():
+    rnd = random.Random(5)
+    for _ in range(200):
+        a = np.array(rnd.sample(range(1 << 62), rnd.choice([1, 50, 700, 1500, 4000])), np.uint64)
+        b = np.concatenate((a[rnd.randint(0, len(a) - 1):], np.array(rnd.sample(range(1 << 62), rnd.randint(0, 900)), np.uint64)))
+        most = jaccard.most_shared(jaccard.cells_of(a), jaccard.cells_of(b))
+        assert most is None or most >= len(np.intersect1d(a, b))
+    same = np.array([8 * 1024 * k for k in range(1, 600)], np.uint64)
+    assert jaccard.most_shared(jaccard.cells_of(same), jaccard.cells_of(same)) is None

@@ -43,6 +43,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 SKETCH_BITS = 20
 _CHUNK_BITS = 13
+_FILTER_BITS = 24
+#: Cells of the smallest sets.
 CELLS = 128
 SHORT_BITS = 40
 #: Bands with sets of PAIRS_FROM to PAIRS_TO shingles take subsets of two partitions.
@@ -98,15 +100,21 @@ def node_of(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) >> 1
 
 
+def cells_of(own: np.ndarray) -> bytes:
+    """Counts of a set's elements by their low bits, a cell for every four to eight elements."""
+    count = max(CELLS, min(1 << (len(own) // 4 - 1).bit_length(), 1 << 16)) if len(own) > 4 * CELLS else CELLS
+    return np.minimum(np.bincount((own & np.uint64(count - 1)).astype(np.int64), minlength=count), 255).astype(np.uint8).tobytes()
+
+
 def linked(shared: int, a: int, b: int) -> bool:
     return DENOMINATOR * shared >= NUMERATOR * (a + b - shared)
 
 
-def largest_partner(size: int) -> int:
+def largest_partner(size: int | np.ndarray) -> int | np.ndarray:
     return size * DENOMINATOR // NUMERATOR
 
 
-def largest_distance(size: int, partner: int) -> int:
+def largest_distance(size: int | np.ndarray, partner: int | np.ndarray) -> int | np.ndarray:
     """How many elements linked sets of these sizes may differ in."""
     total = size + partner
     return total - 2 * -(-NUMERATOR * total // (NUMERATOR + DENOMINATOR))
@@ -137,7 +145,6 @@ def common_class(sketch: np.ndarray | None, hashed: np.ndarray) -> np.ndarray:
 
 def signatures(flat: np.ndarray, sizes: np.ndarray, sketch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(signature, place of its set) for the sets given one after another."""
-    some = np.flatnonzero(sizes)
     band_of = np.searchsorted(_LOWS, sizes, "right") - 1
     owner = np.repeat(np.arange(len(sizes)), sizes)
     level = common_class(sketch, flat)
@@ -147,9 +154,7 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, sketch: np.ndarray | None =
         instance = np.maximum(band_of, 0) + up
         high = np.array([_BANDS[i][1] for i in instance.tolist()], np.int64)
         low = _LOWS[instance]
-        partner = np.minimum(high, sizes * DENOMINATOR // NUMERATOR)
-        total = sizes + partner
-        distance = total - 2 * -(-NUMERATOR * total // (NUMERATOR + DENOMINATOR))
+        distance = largest_distance(sizes, np.minimum(high, largest_partner(sizes)))
         pairs = (low >= PAIRS_FROM) & (high <= PAIRS_TO)
         take = distance + np.where(pairs, 2, 1)
         parts = np.where(high < SINGLES_BELOW, 0, high)
@@ -164,7 +169,7 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, sketch: np.ndarray | None =
         if not len(begin):
             continue
         with np.errstate(over="ignore"):
-            content = np.add.reduceat(common.mixed(h + np.uint64(instance.max() * 0)), begin)
+            content = np.add.reduceat(common.mixed(h), begin)
         part_owner = o[begin]
         rank = np.arange(len(begin)) - np.searchsorted(part_owner, part_owner)
         kept = rank < take[part_owner]
@@ -182,7 +187,7 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, sketch: np.ndarray | None =
                 with np.errstate(over="ignore"):
                     found_sigs.append(common.mixed(content[own[left]] + content[own[right]] * np.uint64(3)) if len(left) else content[own])
                 found_owners.append(np.full(len(left) if len(left) else len(own), part_owner[own[0]]))
-    if not found_sigs or not len(some):
+    if not found_sigs:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(found_sigs), np.concatenate(found_owners)
 
@@ -194,8 +199,8 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _measured(rows: DataFrame) -> DataFrame:
     """(id, n, node, cells) of every row, and rows with a chunk of the tasks' count sketches.
 
-    ``cells`` counts the shingles of a set by 128 classes: the sum of the lesser counts of two
-    sets is the most they can share.
+    ``cells`` counts the shingles of a set by classes: the sum of the lesser counts of two sets
+    is the most they can share.
     """
     schema = "id long, n long, node long, cells binary, chunk int"
     names = ["id", "n", "node", "cells", "chunk"]
@@ -208,15 +213,12 @@ def _measured(rows: DataFrame) -> DataFrame:
             for part in common.slices(batch, "text", common.SLICE_BYTES):
                 flat, sizes = shingle_sets(common.texts_of(part))
                 sketch += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                cells = np.bincount(owner * CELLS + (flat & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS * len(sizes))
-                cells = np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)
-                ends = np.cumsum(sizes).tolist()
-                nodes = [node_of(flat[b - s:b]) if s else None for s, b in zip(sizes.tolist(), ends)]
+                own = np.split(flat, np.cumsum(sizes)[:-1])
                 seen = True
                 yield pa.RecordBatch.from_arrays([
-                    part.column("id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                    pa.array([x.tobytes() if n else None for x, n in zip(cells, sizes)], pa.binary()), pa.nulls(len(sizes), pa.int32()),
+                    part.column("id").cast(pa.int64()), pa.array(sizes, pa.int64()),
+                    pa.array([node_of(x) if len(x) else None for x in own], pa.int64()),
+                    pa.array([cells_of(x) if len(x) else None for x in own], pa.binary()), pa.nulls(len(sizes), pa.int32()),
                 ], names)
         if seen:
             chunks = sketch.astype("<u4").reshape(-1, 1 << _CHUNK_BITS)
@@ -277,7 +279,7 @@ def _packed_signatures(rows: DataFrame, sketch: np.ndarray | None, buckets: int)
             "packed": [sigs[a:b].tobytes() + np.ascontiguousarray(short[a:b].view(np.uint8).reshape(-1, 8)[:, :SHORT_BITS // 8].T).tobytes() for a, b in zip(begin, stops)],
         }
 
-    return common.map_batches(rows.where(F.col("id").isNotNull()), work, "bucket int, packed binary", limit=16 << 20)
+    return common.map_batches(rows.where(F.col("id").isNotNull()), work, "bucket int, packed binary")
 
 
 def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -290,6 +292,7 @@ def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 _GROUP_SCHEMA = "gid long, size long, hub long, members array<long>"
 _MEMBERS = 512
+_PAIRS = 256
 
 
 def _groups(packed: DataFrame) -> DataFrame:
@@ -356,58 +359,115 @@ def _groups(packed: DataFrame) -> DataFrame:
     return common.in_arrow(packed.repartition("bucket"), run, _GROUP_SCHEMA)
 
 
+def most_shared(x: bytes, y: bytes) -> int | None:
+    """At most how many elements two sets with these cell counts share; None if that is not known.
+
+    The longer list is folded to the shorter one's cells, which are the low bits of its own.
+    """
+    if b"\xff" in x or b"\xff" in y:  # counts beyond 255 are not held
+        return None
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(u) != len(v):
+        u, v = (u, v) if len(u) < len(v) else (v, u)
+        v = v.reshape(-1, len(u)).sum(axis=0, dtype=np.int64)
+    return int(np.minimum(u, v).sum(dtype=np.int64))
+
+
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) node pairs, of (left, right) pairs of short numbers, that sizes and cells allow to link."""
-    sides = nodes.select("short", "node", "n", "cells")
-    a = sides.select(F.col("short").alias("left"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("cells").alias("cells_a"))
-    b = sides.select(F.col("short").alias("right"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("cells").alias("cells_b"))
+    a = nodes.select(F.col("short").alias("left"), F.col("node").alias("a"), F.col("n").alias("n_a"))
+    b = nodes.select(F.col("short").alias("right"), F.col("node").alias("b"), F.col("n").alias("n_b"))
     close = (DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
-    met = pairs.join(a, "left").join(b, "right").where(close).select("a", "b", "n_a", "n_b", "cells_a", "cells_b")
+    near = pairs.join(a, "left").join(b, "right").where(close).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("total")).distinct()
+    met = (near.join(nodes.select(F.col("node").alias("a"), F.col("cells").alias("cells_a")), "a")
+           .join(nodes.select(F.col("node").alias("b"), F.col("cells").alias("cells_b")), "b")
+           .select("a", "b", "total", "cells_a", "cells_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("cells_a", "cells_b"))
-            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            shared = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            full = (x == 255).any(axis=1) | (y == 255).any(axis=1)  # counts beyond 255 are not held
-            may = full | (DENOMINATOR * shared >= NUMERATOR * (total - shared))
-            a, b = batch.column("a").to_numpy()[may], batch.column("b").to_numpy()[may]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            keep = []
+            for total, x, y in zip(*(batch.column(c).to_pylist() for c in ("total", "cells_a", "cells_b"))):
+                shared = most_shared(x, y)
+                keep.append(shared is None or DENOMINATOR * shared >= NUMERATOR * (total - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return common.in_arrow(met, run, "a long, b long").distinct()
+    return common.in_arrow(met, run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose sets link; ``sets`` has (node, shingles)."""
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
+    """(a, b) of the pairs whose sets link; ``sets`` has (node, shingles).
+
+    Pairs around one node go to one place, ``_PAIRS`` of them at most about, and every set goes
+    there once, however many of the pairs it is in.
+    """
+    both = pairs.union(pairs.select("b", "a")).toDF("node", "other")
+    around = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("key"))
+    keyed = (pairs.join(around.toDF("a", "key_a"), "a").join(around.toDF("b", "key_b"), "b")
+             .select("a", "b", F.least("key_a", "key_b").alias("key")))
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / _PAIRS).alias("chunks"))
+    keyed = common.stored(
+        keyed.join(sizes, "key").select("key", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), "a", "b"), "keyed")
+    needed = keyed.select("key", "chunk", F.col("a").alias("node")).union(keyed.select("key", "chunk", "b")).distinct()
+    none = F.lit(None)
+    rows = needed.join(sets, "node").select(
+        "key", "chunk", F.col("node").alias("a"), none.cast("long").alias("b"), "shingles",
+    ).union(keyed.select("key", "chunk", "a", "b", none.cast("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, {}
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                own, other = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = np.sort(np.concatenate((own, other)), kind="stable")
-                keep.append(linked(int(np.count_nonzero(both[1:] == both[:-1])), len(own), len(other)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return common.in_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b"), run, "a long, b long")
+            found: tuple[list, list] = ([], [])
+            for key, chunk, a, b, shingles in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "a", "b", "shingles"))):
+                if (key, chunk) != place:
+                    place, held = (key, chunk), {}
+                if b is None:
+                    held[a] = np.frombuffer(shingles, "<u8")
+                else:
+                    own, other = held[a], held[b]
+                    joined = np.sort(np.concatenate((own, other)), kind="stable")
+                    if linked(int(np.count_nonzero(joined[1:] == joined[:-1])), len(own), len(other)):
+                        found[0].append(a)
+                        found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+    dealt = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.col("b").asc_nulls_first())
+    return common.in_arrow(dealt, run, "a long, b long")
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits of the places that the ids of ``ids`` hash to: 2^24 bits, whatever the number of ids."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << _FILTER_BITS))
+    words = (ids.select(F.shiftright(place, 5).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << _FILTER_BITS}) % 32 as int))").alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
+    out = np.zeros(1 << (_FILTER_BITS - 5), "<u4")
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little")
+
+
+def _sets(rows: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes in ``wanted``, made again from one text of each.
+
+    A bitmap of fixed size tells which documents to take, so that texts are not shuffled; a few
+    others that fall on the same bits come along and meet no pair.
+    """
+    ids = nodes.join(wanted, "node", "left_semi").select(F.col("first_id").alias("id"))
+    bits = rows.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(ids)))
 
+    def work(batch: pa.RecordBatch) -> dict[str, object] | None:
+        place = batch.column("place").to_numpy(zero_copy_only=False)
+        asked = (bits.value[place >> 3] >> (7 - (place & 7))) & 1
+        batch = batch.filter(pa.array(asked.astype(bool)))
+        flat, sizes = shingle_sets(common.texts_of(batch))
+        made = {node_of(x): x.astype("<u8").tobytes() for x in np.split(flat, np.cumsum(sizes)[:-1]) if len(x)}
+        return {"node": list(made), "shingles": list(made.values())} if made else None
 
-def _sets(rows: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the nodes in ``pairs``, made again from one text of each."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = nodes.join(wanted, "node", "left_semi").select(F.col("first_id").alias("id")).distinct()
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << _FILTER_BITS)).alias("place")
+    return common.map_batches(rows.where(F.col("id").isNotNull()).select("text", place), work, "node long, shingles binary")
 
-    def work(batch: pa.RecordBatch) -> dict[str, object]:
-        flat, sizes = shingle_sets(common.texts_of(batch))
-        own = np.split(flat, np.cumsum(sizes)[:-1])
-        return {"node": [node_of(x) if len(x) else None for x in own], "shingles": [x.astype("<u8").tobytes() for x in own]}
 
-    made = common.map_batches(rows.join(ids, "id", "left_semi").select("text"), work, "node long, shingles binary")
-    return made.where(F.col("node").isNotNull()).dropDuplicates(["node"])
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -447,22 +507,28 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
 
     first = common.stored(_plausible(
         groups.select(F.col("hub").alias("left"), F.explode("members").alias("right")).distinct(), nodes), "pairs")
-    found = common.stored(_verified(first, common.stored(_sets(rows, first, nodes), "sets")), "links")
+    wanted = common.stored(_ends(first), "wanted")
+    sets = common.stored(_sets(rows, wanted, nodes), "sets")
+    found = common.stored(_verified(first, sets), "links")
 
     # What is left: members of one group in different components, not compared yet.
     label = components(found)
-    named = nodes.join(label, "node", "left").select("short", F.coalesce("label", "node").alias("label"))
+    named = nodes.join(label, "node", "left").select("short", "n", F.coalesce("label", "node").alias("label"))
     large = groups.where(F.col("size") > 2)
     member = (large.select("gid", F.explode("members").alias("short"))
               .union(large.select("gid", F.col("hub").alias("short"))).distinct().join(named, "short"))
     open_ = member.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gid")
     member = common.stored(member.join(open_, "gid", "left_semi"), "members")
-    one = member.select("gid", F.col("short").alias("left"), F.col("label").alias("label_a"))
-    two = member.select("gid", F.col("short").alias("right"), F.col("label").alias("label_b"))
-    rest = one.join(two, "gid").where("label_a < label_b").select("left", "right").distinct()
+    one = member.select("gid", F.col("short").alias("left"), F.col("label").alias("label_a"), F.col("n").alias("n_a"))
+    two = member.select("gid", F.col("short").alias("right"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    close = DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b")
+    rest = one.join(two, "gid").where((F.col("label_a") < F.col("label_b")) & close).select("left", "right").distinct()
     more = common.stored(_plausible(rest, nodes).join(first, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        found = found.union(common.stored(_verified(more, common.stored(_sets(rows, more, nodes), "sets")), "links"))
+        new = _ends(more).join(wanted, "node", "left_anti")
+        if not new.isEmpty():
+            sets = sets.union(common.stored(_sets(rows, new, nodes), "sets"))
+        found = found.union(common.stored(_verified(more, sets), "links"))
     return docs, nodes, found
 
 
