@@ -36,7 +36,10 @@ def test_stages(spark, corpus):
         held = stage(spark, held, folder)
         assert held.columns == docs.columns and held.dtypes == docs.dtypes
         got = sorted(tuple(r) for r in held.select("doc_id", "text").collect())
-        if name == "quality rules":
+        if name == "language ID":  # one text is a single letter 40,000 times: like no language
+            assert {r[0] for r in kept} - {d for d, _ in got} == {21}
+            kept = [r for r in kept if r[0] != 21]
+        elif name == "quality rules":
             def base_failed(text):
                 n, _, _, _, repeats = measured(text)
                 return n < 20 or 100 * repeats > 30 * n
