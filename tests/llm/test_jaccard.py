@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from tests.llm import frames
-from tillstone.llm import jaccard
+from tillstone.llm import common, jaccard
 
 
 def shingles(text):
@@ -81,6 +81,38 @@ def test_linked_sets_share_a_signature_whatever_the_sketch():
         assert set(sigs[owners == 0].tolist()) & set(sigs[owners == 1].tolist()), (size, len(a), len(b), both)
 
 
+def test_linked_sets_share_a_signature_when_what_differs_comes_first():
+    pool = np.array(random.Random(3).sample(range(1, 1 << 62), 600), np.uint64)
+    pool = pool[np.argsort(common.mixed(pool ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]  # the order of signatures
+    cases, sets = [], []
+    for a in range(1, 201):
+        for b in range(a, jaccard.largest_partner(a) + 1):
+            least = next(s for s in range(a + 1) if jaccard.linked(s, a, b))
+            for shared in range(least, a + 1) if a <= 60 else (least,):
+                own, both = a - shared, a + b - 2 * shared
+                cases.append((a, b, shared))
+                sets += [np.concatenate((pool[:own], pool[both:both + shared])), pool[own:both + shared]]
+    for sketch in (None, np.zeros(1 << jaccard.SKETCH_BITS, np.int64)):
+        lost = []
+        for at in range(0, len(cases), 500):
+            some = sets[2 * at:2 * at + 1000]
+            sigs, owners = jaccard.signatures(np.concatenate(some), np.array([len(x) for x in some]), sketch)
+            of = [set(x.tolist()) for x in np.split(sigs[np.argsort(owners, kind="stable")], np.cumsum(np.bincount(owners, minlength=len(some)))[:-1])]
+            lost += [case for case, x, y in zip(cases[at:at + 500], of[::2], of[1::2]) if not x & y]
+        assert not lost
+
+
+def test_a_text_contained_in_a_longer_one_is_linked(spark):
+    rnd = random.Random(12)
+    rows = []
+    for k in range(40):
+        words = [f"w{k}x{rnd.randrange(10**6)}" for _ in range(12)]
+        cut = k % 3
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[cut:cut + 10]))]
+    got = {r[0]: (r[1], r[2]) for r in jaccard.clustered(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_bands_and_distances():
     for (low, high), (after, _) in zip(jaccard._BANDS[:40], jaccard._BANDS[1:41]):
         assert after == high + 1 and jaccard.largest_partner(low) == high

@@ -120,6 +120,14 @@ def largest_distance(size: int | np.ndarray, partner: int | np.ndarray) -> int |
     return total - 2 * -(-NUMERATOR * total // (NUMERATOR + DENOMINATOR))
 
 
+def distance_up_to(size: int | np.ndarray, partner: int | np.ndarray) -> int | np.ndarray:
+    """How many elements a set may differ in from linked sets of up to ``partner`` elements.
+
+    ``largest_distance`` is less for some larger partners (2 for sets of 8 and 6, 1 for 8 and 9).
+    """
+    return (size + partner) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+
+
 def bands(largest: int) -> list[tuple[int, int]]:
     """Size bands up to ``largest``: linked sets lie in one band or in neighbours."""
     out, low = [], 1
@@ -154,7 +162,7 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, sketch: np.ndarray | None =
         instance = np.maximum(band_of, 0) + up
         high = np.array([_BANDS[i][1] for i in instance.tolist()], np.int64)
         low = _LOWS[instance]
-        distance = largest_distance(sizes, np.minimum(high, largest_partner(sizes)))
+        distance = distance_up_to(sizes, np.minimum(high, largest_partner(sizes)))
         pairs = (low >= PAIRS_FROM) & (high <= PAIRS_TO)
         take = distance + np.where(pairs, 2, 1)
         parts = np.where(high < SINGLES_BELOW, 0, high)
