@@ -162,6 +162,60 @@ def test_exchange_ends_where_no_move_raises_the_likelihood():
             assert likelihood(pairs, moved) <= end + 1e-4
 
 
+def kinds_of_words(spark):
+    """Texts of 2,400 words of two kinds, each met five times: one follows "the", the other "they"."""
+    rnd, texts = random.Random(6), []
+    for _ in range(5):
+        words = [(f"{kind}{k}", kind) for kind in "nv" for k in range(1200)]
+        rnd.shuffle(words)
+        for at in range(0, len(words), 8):
+            texts.append(" ".join(f"the {w} is" if kind == "n" else f"they {w} it" for w, kind in words[at:at + 8]))
+    fit = [(i, t) for i, t in enumerate(texts * 2) if frames.fold(i, 7) != 2]
+    ids = [i for i in range(10_000, 11_000) if frames.fold(i, 7) == 2]
+    pairs = [(w, f"{a} {w} {z}") for w in ("n7", "n1100", "v7", "v1100") for a, z in (("the", "is"), ("they", "it"))]
+    asked = [(i, t) for i, (_, t) in zip(ids, pairs)]
+    return fit + asked + [(ids[-1], "the zzz is it"), (ids[-2], "")], asked
+
+
+def test_every_repeated_word_has_a_class(spark):
+    rows, asked = kinds_of_words(spark)
+    score = {r["doc_id"]: r["score"] for r in brown.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = [score[i] for i, _ in asked]
+    for fit, unfit in ((0, 1), (2, 3), (5, 4), (7, 6)):  # a noun after "the", a verb after "they"
+        assert got[fit] > got[unfit] + 1
+
+
+@pytest.mark.parametrize("head", [brown.HEAD, 40])
+def test_score_equals_brute_force_from_the_classes(spark, monkeypatch, head):
+    monkeypatch.setattr(brown, "HEAD", head)
+    rows, _ = kinds_of_words(spark)
+    rows.append((None, "v1 n1 v1"))
+    kept = []
+    make = brown.Model
+    monkeypatch.setattr(brown, "Model", lambda *a: kept.append(make(*a)) or kept[0])
+    got = sorted((r for r in brown.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=lambda r: (r["doc_id"] is not None, r["doc_id"]))
+    member = dict(zip((x.decode() for x in kept[0].head), kept[0].member.tolist()))
+    member.update((r["word"], r["class"]) for r in kept[0].others.collect())
+    train = [t.split() for i, t in rows if frames.fold(i, 7) != 2]
+    n = collections.Counter(w for t in train for w in t)
+    assert set(member) == set(n) and all((member[w] > 1) == (n[w] > 1) for w in n)
+    steps, size = collections.Counter(), collections.Counter()
+    path = lambda t: [0, *(member.get(w, 1) for w in t), 0]
+    for t in train:
+        steps.update(zip(path(t), path(t)[1:]))
+        size.update(path(t)[1:])
+    out, once, side = collections.Counter(), sum(n[w] == 1 for w in n), kept[0].classes
+    for (a, _), k in steps.items():
+        out[a] += k
+    for r, (_, text) in zip(got, sorted(rows, key=lambda r: (r[0] is not None, r[0]))):
+        words, expected = text.split(), 0.0
+        for w, (a, b) in zip([*words, None], zip(path(words), path(words)[1:])):
+            share = (size[b] + 1) / (sum(size.values()) + side)
+            expected += math.log10((steps[a, b] + brown.SMOOTHING * share) / (out[a] + brown.SMOOTHING))
+            expected += 0 if b == 0 else math.log10((n[w] + 1) / (size[1] + once + 1)) if b == 1 else math.log10(n[w] / size[b])
+        assert r["score"] == pytest.approx(expected)
+
+
 def test_class_model_beats_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     row = brown.scored(docs).where("held_out").selectExpr("sum(score)", "sum(base_score)").first()

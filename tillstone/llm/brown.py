@@ -1,14 +1,16 @@
 """Language-model scoring with Brown class-based bigrams.
 
 The most frequent words are put into classes by exchange: a word moves to the class that
-raises the likelihood of the class bigrams most, over and over. The words beyond these make
-one further class and the end of a text another. A text's probability is the product of
-class transitions, smoothed towards the class's own frequency, and of the words' emissions
-from their classes.
+raises the likelihood of the class bigrams most, over and over. Every other word that occurs
+more than once then goes to the class which the classes beside its places make likeliest, from
+an aggregate over the corpus. Words that occur once make one further class, which unseen words
+share, and the end of a text another. A text's probability is the product of class
+transitions, counted over all words and smoothed towards the class's own frequency, and of the
+words' emissions from their classes.
 
-What the clustering sees is bounded by ``vocabulary`` whatever the corpus; word counts are
-over all words of the corpus. Only words beyond the ``HEAD`` most frequent ones are looked up
-by a join; the others' counts travel with the tasks.
+``vocabulary`` bounds the words that start the classes, not those that have one. Counts and
+classes of the ``HEAD`` most frequent words travel with the tasks; those of the words
+beyond are looked up by a join.
 
 Nulls: a null text is empty and is the end token alone. A null id counts as the text ''
 when the training rows are chosen. Repeated rows are scored, and learned from, one by one.
@@ -16,19 +18,24 @@ when the training rows are chosen. Repeated rows are scored, and learned from, o
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillstone.llm import common
 
+#: Words clustered by exchange; the classes of all others follow from these.
 VOCABULARY = 1000
+#: Classes are single bytes in the paths, so 250 at most.
 CLASSES = 48
+#: From so many occurrences on a word has a class.
+REPEATED = 2
 SWEEPS = 6
 HEAD = 100_000
 #: Bytes of words that travel with the tasks; a word over 64 bytes is always looked up.
@@ -149,13 +156,117 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return member
 
 
+def context_counts(df: DataFrame, known: dict[bytes, int], total: int, text_col: str = "text") -> DataFrame:
+    """(word, contexts, times) of the words not in ``known``: the classes beside their places.
+
+    A class before the word counts under its number and one after it under ``total`` plus that. A
+    word has a row for each task or flush, whose parts are summed by ``assigned``.
+    """
+    shipped, width = df.sparkSession.sparkContext.broadcast(known), 2 * total
+    kinds = pa.list_(pa.int32()), pa.list_(pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of = {**shipped.value, b"": 0}
+        words, keys, times, held = common.Interned(), [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            key, n = _summed(keys, times)
+            word, context = key // width, key % width
+            lengths = np.bincount(word, minlength=len(words))
+            made = pa.RecordBatch.from_arrays([
+                pa.array(list(words), pa.binary()).cast(pa.string()),
+                common.nested(context, lengths, pa.int32()).cast(kinds[0]), common.nested(n, lengths, pa.int64()).cast(kinds[1]),
+            ], ["word", "contexts", "times"])
+            words.clear(), words.new.clear(), keys.clear(), times.clear()
+            return made
+
+        for batch in batches:
+            for part in common.slices(batch, "text", common.SLICE_BYTES):
+                flat = [b""]
+                for text in common.texts_of(part):
+                    flat += words_of(text)
+                    flat.append(b"")
+                classes = np.fromiter(map(class_of.get, flat, repeat(1)), np.int64, len(flat))
+                at = np.flatnonzero(classes == 1)
+                own = words.numbers([flat[i] for i in at.tolist()]) * width
+                key, n = np.unique(np.concatenate((own + classes[at - 1], own + total + classes[at + 1])), return_counts=True)
+                keys.append(key)
+                times.append(n)
+                held += len(key)
+                if held > 8 * _FLUSH:
+                    key, n = _summed(keys, times)
+                    keys[:], times[:], held = [key], [n], len(key)
+                if len(words) > _FLUSH or held > 6 * _FLUSH:
+                    yield rows()
+                    held = 0
+        if words:
+            yield rows()
+
+    rows = df.select(F.col(text_col).cast("string").alias("text"))
+    return common.in_arrow(rows, run, "word string, contexts array<int>, times array<long>")
+
+
+def _summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = np.concatenate(keys), np.concatenate(times)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[begin], np.add.reduceat(n, begin)
+
+
+def assigned(contexts: DataFrame, table: np.ndarray) -> DataFrame:
+    """(word, n, class) of the words in ``contexts``, given the class bigrams of the clustered words.
+
+    A word goes to the class in which the classes beside its places are likeliest, ties to the
+    lowest. A word met once stays in the class of rare words: it stands for those never met.
+    """
+    total = len(table)
+    before, after = table.sum(0) + 1, table.sum(1) + 1
+    to = np.log((table + SMOOTHING * before / before.sum()) / (table.sum(1, keepdims=True) + SMOOTHING))
+    fro = np.log((table + SMOOTHING * (after / after.sum())[:, None]) / (table.sum(0) + SMOOTHING))
+    weights = np.concatenate((fro, to.T))  # (class before or after, class of the word)
+    weights[:, :2] = -np.inf
+
+    def rows(words: list[str], counts: np.ndarray) -> pa.RecordBatch:
+        n = counts[:, :total].sum(1)
+        member = np.ones(len(words), np.int64)
+        if total > 2 and len(words):
+            member = np.where(n >= REPEATED, np.argmax(np.round(counts @ weights[:, 2:], 6), 1) + 2, 1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(words, pa.string()), pa.array(n.astype(np.int64)), pa.array(member, pa.int32())], ["word", "n", "class"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, np.zeros((1, 2 * total))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                words = part.column("word").to_pylist()
+                new = np.fromiter((x != y for x, y in zip(words, [last, *words])), bool, len(words))
+                group = np.cumsum(new)  # 0: the word carried over
+                lists = part.column("contexts")
+                cell = np.repeat(group, lists.value_lengths().to_numpy(zero_copy_only=False)) * 2 * total + lists.flatten().to_numpy()
+                counts = np.bincount(cell, part.column("times").flatten().to_numpy(), (group[-1] + 1) * 2 * total).reshape(-1, 2 * total)
+                counts[:1] += carried
+                own = [last, *(words[i] for i in np.flatnonzero(new).tolist())]
+                skip = int(last is None)
+                yield rows(own[skip:-1], counts[skip:-1])
+                last, carried = own[-1], counts[-1:].copy()
+        if last is not None:
+            yield rows([last], carried)
+
+    return common.in_arrow(contexts.repartition("word").sortWithinPartitions("word"), run, "word string, n long, class int")
+
+
 class Model:
-    """Class transitions and emissions, ready to score; its size does not depend on the corpus."""
+    """The words that travel with the tasks, and (word, n, class) of all others as a table."""
 
     def __init__(self, df: DataFrame, counts: DataFrame, vocabulary: int, classes: int) -> None:
         total = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
         self.tokens, self.types = total[0] or 0, total[1]
-        words = counts.where((F.col("word") != "") & (F.octet_length("word") <= HEAD_WORD_BYTES))
+        ends = counts.where(F.col("word") == "").first()
+        self.end = float(np.log10((ends["n"] if ends else 0) + 1))
+        short = F.octet_length("word") <= HEAD_WORD_BYTES
+        words = counts.where((F.col("word") != "") & short)
         # A histogram of log counts says from which count on at most HEAD words are left.
         band = F.floor(32 * F.log2("n"))
         bands = words.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("k")).collect()
@@ -171,92 +282,154 @@ class Model:
         frequent = self.head[:vocabulary]
         pairs = pair_counts(df, frequent)
         member = exchange(pairs, classes)
-        side = int(member.max(initial=1)) + 1
-        one = np.zeros((len(pairs), side))
+        self.classes = int(member.max(initial=1)) + 1
+        one = np.zeros((len(pairs), self.classes))
         one[np.arange(len(pairs)), member] = 1
-        table = one.T @ pairs @ one
-        ends = table.sum(0)
-        share = (ends + 1) / (ends.sum() + side)
-        self.step = np.log10((table + SMOOTHING * share) / (table.sum(1, keepdims=True) + SMOOTHING))
-        self.member = member
-        n = pairs.sum(0)
-        self.emit = np.log10(np.maximum(n, 1) / np.maximum(ends[member], 1))
-        # A word outside the vocabulary: add-one among such words and one unseen kind.
-        rare_types = max(self.types - 1 - len(frequent), 0)
-        self.rare = float(np.log10(n[1] + rare_types + 1))
+        class_of = dict(zip(frequent, member[2:].tolist()))
+        self.others = common.stored(
+            assigned(context_counts(df, class_of, self.classes), one.T @ pairs @ one), "classes")
+        near = self.others.where(short & (band >= least)).select("word", "class").toArrow()
+        class_of.update(zip((x.encode() for x in near.column("word").to_pylist()), near.column("class").to_pylist()))
+        self.member = np.array([class_of[x] for x in self.head], np.int64)
+        self.once = self.others.where(F.col("class") == 1).count()
         self.base = float(np.log10(self.tokens + self.types + 1))
 
+    def shipped(self) -> dict[str, object]:
+        return {"id": uuid.uuid4().hex, "head": self.head, "n": self.head_n, "member": self.member,
+                "tokens": self.tokens, "end": self.end, "base": self.base}
+
 
-SCHEMA = (
-    "row long, id long, n_tokens long, n_known long, base_score double, score double, "
-    "tail array<string>, tail_n array<int>"
+PATHS = (
+    "row long, id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, "
+    "path binary, tail array<string>, tail_at array<int>"
 )
+_FULL = "id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, path binary"
+_LATER = 255
 
 
-def score(df: DataFrame, train: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES,
-          id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """(id, n_tokens, n_known, base_score, score) of every row of ``df`` and the training tokens.
+def paths(df: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The class of every word of every row, one byte each, with what sums over its words.
 
-    ``base_score`` is the add-one unigram model's log10 probability, ``score`` the class
-    model's. The texts are scored but for the counts of rare words, which a join by word adds.
+    ``emission`` is the log10 of the words' counts, of rare words' counts plus one. A word beyond the
+    head has its class from a join by word.
     """
-    counts = common.stored(word_counts(train, text_col), "words")
-    model = Model(train.select(F.col(text_col).alias("text")), counts, vocabulary, classes)
-    ends = counts.where(F.col("word") == "").first()
-    model.end = float(np.log10((ends["n"] if ends else 0) + 1))
-    shipped = df.sparkSession.sparkContext.broadcast(model)
+    shipped = df.sparkSession.sparkContext.broadcast(model.shipped())
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
         own = shipped.value
-        known, logs = _tables(own)
-        out: dict[str, list] = {x.split()[0]: [] for x in SCHEMA.split(", ")[1:]}
+        known, logs, emit = _tables(own)
+        out: dict[str, list] = {x.split()[0]: [] for x in PATHS.split(", ")[1:]}
         split = [words_of(x) for x in common.texts_of(batch)]
-        for key, words in zip(batch.column("id").to_pylist(), split):
+        for key, held, words in zip(batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), split):
             places = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))  # -1: beyond the head
-            numbers = np.concatenate((np.where((places >= 0) & (places + 2 < len(own.member)), places + 2, 1), [0]))
-            path = np.concatenate(([0], own.member[numbers]))
-            inside = places[places >= 0]
-            rare = np.count_nonzero(numbers == 1)
-            mid = inside[inside + 2 >= len(own.member)]
-            tail = Counter([words[i] for i in np.flatnonzero(places < 0).tolist()])
+            inside, later = places[places >= 0], np.flatnonzero(places < 0)
+            path = np.zeros(len(words) + 1, np.uint8)
+            path[:-1][places >= 0] = own["member"][inside]
+            path[later] = _LATER
+            tail = common.Interned()
+            at = tail.numbers([words[i] for i in later.tolist()])
             n = len(words) + 1
             out["id"].append(key)
+            out["held_out"].append(held)
             out["n_tokens"].append(n)
-            out["n_known"].append(len(inside) + (own.tokens > 0))
-            out["base_score"].append(float(logs[inside].sum()) + own.end - n * own.base)
-            out["score"].append(float(own.step[path[:-1], path[1:]].sum() + own.emit[numbers[numbers != 1]].sum() + logs[mid].sum()) - rare * own.rare)
+            out["n_known"].append(len(inside) + (own["tokens"] > 0))
+            out["base_score"].append(float(logs[inside].sum()) + own["end"] - n * own["base"])
+            out["emission"].append(float(emit[inside].sum()))
+            out["path"].append(path.tobytes())
             out["tail"].append([x.decode("utf-8", "replace") for x in tail])
-            out["tail_n"].append(list(tail.values()))
+            out["tail_at"].append(at)
         return {**out, "row": [0] * len(split)}
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scored = common.stored(
-        common.map_batches(rows, work, SCHEMA).withColumn("row", F.monotonically_increasing_id()), "scored")
-    words = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("x")).select(
-        "row", F.col("x.tail").alias("word"), F.col("x.tail_n").alias("times"))
-    found = words.join(counts.where(F.col("word") != ""), "word").groupBy("row").agg(
-        F.sum("times").alias("found"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"))
-    joined = scored.drop("tail", "tail_n").join(found, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return joined.select(
-        "id", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"),
-    ), model.tokens
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, base, emission, filled = [], [], [], []
+            columns = ("n_known", "base_score", "emission", "path", "tail", "tail_at", "found")
+            for n_known, base_score, emitted, path, tail, tail_at, found in zip(*(batch.column(c).to_pylist() for c in columns)):
+                path, n, member = np.frombuffer(path, np.uint8).copy(), np.zeros(len(tail)), np.ones(len(tail), np.int64)
+                for x in found or ():
+                    n[x["k"]], member[x["k"]] = x["n"], x["class"]
+                at = np.array(tail_at, np.int64)
+                path[path == _LATER] = member[at]
+                known.append(n_known + int(np.count_nonzero(n[at])))
+                base.append(base_score + float(np.log10(n[at] + 1).sum()))
+                emission.append(emitted + float(np.log10(n[at] + (member[at] == 1)).sum()))
+                filled.append(path.tobytes())
+            yield pa.RecordBatch.from_arrays([
+                *(batch.column(c) for c in ("id", "held_out", "n_tokens")), pa.array(known, pa.int64()),
+                pa.array(base, pa.float64()), pa.array(emission, pa.float64()), pa.array(filled, pa.binary()),
+            ], [x.split()[0] for x in _FULL.split(", ")])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    begun = common.stored(common.map_batches(rows, work, PATHS).withColumn("row", F.monotonically_increasing_id()), "paths")
+    words = begun.select("row", F.posexplode("tail").alias("k", "word"))
+    found = words.join(model.others, "word").groupBy("row").agg(F.collect_list(F.struct("k", "n", "class")).alias("found"))
+    return common.stored(common.in_arrow(begun.join(found, "row", "left"), fill, _FULL), "paths")
+
+
+def class_pairs(walked: DataFrame, classes: int) -> np.ndarray:
+    """How often a class follows another in the rows that are not held out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                after = np.frombuffer(path, np.uint8).astype(np.int64)
+                table += np.bincount(np.concatenate(([0], after[:-1])) * classes + after, minlength=len(table))
+        some = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(table[some], pa.int64())], ["pair", "n"])
+
+    learned = walked.where(~F.col("held_out")).select("path")
+    summed = common.in_arrow(learned, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(classes * classes, np.float64)
+    table[summed.column("pair").to_numpy()] = summed.column("n").to_numpy()
+    return table.reshape(classes, classes)
+
+
+def score(df: DataFrame, held_out: Column, vocabulary: int = VOCABULARY, classes: int = CLASSES,
+          id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(id, held_out, n_tokens, n_known, base_score, score) of every row of ``df`` and the training tokens.
+
+    ``base_score`` is the add-one unigram model's log10 probability, ``score`` the class
+    model's, both learned from the rows that are not ``held_out``.
+    """
+    train = df.where(~held_out).select(F.col(text_col).alias("text"))
+    counts = common.stored(word_counts(train), "words")
+    model = Model(train, counts, vocabulary, classes)
+    walked = paths(df, model, held_out, id_col, text_col)
+    table = class_pairs(walked, model.classes)
+    ends = table.sum(0)
+    share = (ends + 1) / (ends.sum() + len(table))
+    step = np.log10((table + SMOOTHING * share) / (table.sum(1, keepdims=True) + SMOOTHING))
+    # Emissions divide by the class total; a rare word is add-one among such words and one unseen kind.
+    below = np.log10(np.maximum(ends, 1))
+    below[:2] = 0, np.log10(ends[1] + model.once + 1)
+    step -= below  # of the class stepped to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for emission, path in zip(batch.column("emission").to_pylist(), batch.column("path").to_pylist()):
+                after = np.frombuffer(path, np.uint8)
+                scores.append(emission + float(step[np.concatenate(([0], after[:-1])), after].sum()))
+            names = ["id", "held_out", "n_tokens", "n_known", "base_score"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, pa.float64())], [*names, "score"])
+
+    schema = _FULL.replace("emission double, path binary", "score double")
+    return common.in_arrow(walked, run, schema), model.tokens
 
 
 _worker: dict[str, object] = {}
 
 
-def _tables(model: Model) -> tuple[dict, np.ndarray]:
-    if _worker.get("model") is not model:
-        _worker.update(model=model, known=dict(zip(model.head, range(len(model.head)))), logs=np.log10(model.head_n + 1))
-    return _worker["known"], _worker["logs"]
+def _tables(own: dict) -> tuple[dict, np.ndarray, np.ndarray]:
+    if _worker.get("model") != own["id"]:
+        _worker.update(model=own["id"], known=dict(zip(own["head"], range(len(own["head"])))), logs=np.log10(own["n"] + 1),
+                       emit=np.log10(own["n"] + (own["member"] == 1)))
+    return _worker["known"], _worker["logs"], _worker["emit"]
 
 
 def scored(df: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of documents."""
-    held_out = common.fold(F.col("doc_id"), 7) == 2
-    out, tokens = score(df, df.where(~held_out))
+    out, tokens = score(df, common.fold(F.col("doc_id"), 7) == 2)
     return out.select(
-        F.col("id").alias("doc_id"), (common.fold(F.col("id"), 7) == 2).alias("held_out"), "n_tokens", "n_known",
+        F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known",
         F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
