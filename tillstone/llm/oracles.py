@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from tillstone.llm import hosts, urls
+from tillstone.llm import mixing as mixing_op
 
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -110,3 +113,41 @@ FROM e, bound"""
 
 def _md5_fold(column: str) -> str:
     return f"CAST(('0x' || substr(md5({column}), 1, 8)) AS BIGINT) % {urls.FOLDS}"
+
+
+def mixing() -> str:
+    """The targets, the random order and the words taken of ``mixing.shares``."""
+    weight = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mixing_op.WEIGHTS))
+    scale = math.prod(set(mixing_op.WEIGHTS))
+    digits = mixing_op.KEY_BITS // 4
+    return f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{mixing_op.WORD}')) AS BIGINT) AS size,
+         CAST(('0x' || substr(md5('{mixing_op.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, {digits})) AS BIGINT) AS key
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, {mixing_op.MAX_EPOCHS} * source_size AS bound,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing_op.WEIGHTS)} {weight} END AS weight FROM s),
+l AS (
+  SELECT *, bound * ({scale} // weight) AS ratio FROM w),
+c AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(bound) OVER before, 0) AS remaining,
+         sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS shared
+  FROM l WINDOW before AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (
+  SELECT ratio AS from_ratio, CAST(remaining AS HUGEINT) AS remaining, CAST(shared AS HUGEINT) AS shared
+  FROM c WHERE remaining * weight <= bound * shared ORDER BY ratio, source NULLS LAST LIMIT 1),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN ratio < from_ratio THEN CAST(bound AS DOUBLE)
+              ELSE CAST(weight * remaining AS DOUBLE) / CAST(shared AS DOUBLE) END AS target FROM l, f),
+b AS (
+  SELECT *, CAST(round(target) AS HUGEINT) AS budget,
+         CASE WHEN source_size > 0 THEN CAST(round(target) AS HUGEINT) // source_size ELSE 0 END AS epochs FROM t),
+o AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+SELECT doc_id, o.source, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(start AS BIGINT) AS start,
+       CAST(size * epochs + greatest(0, least(size, budget - epochs * source_size - start)) AS BIGINT) AS taken
+FROM o JOIN b ON o.source IS NOT DISTINCT FROM b.source"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillstone.llm import bpe, brown, decontaminate, hosts, jaccard, langid, licences, oracles, simple8b, toxicity, urls
+from tillstone.llm import bpe, brown, decontaminate, hosts, jaccard, langid, licences, mixing, oracles, simple8b, toxicity, urls
 from tillstone.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,5 +27,8 @@ QUERIES: dict[str, Query] = {
     "op8_licence_scan": _documents(licences.labelled),
     "op9_token_files": _documents(simple8b.round_trip),
     "op10_decontaminate": lambda spark, sf_dir: decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
+    "op11_source_mix": _documents(mixing.shares),
+}
+ORACLE: dict[str, str] = {
+    "op3_url_filter": oracles.url_filter(), "op5_host_rules": oracles.host_rules(), "op11_source_mix": oracles.mixing(),
 }
-ORACLE: dict[str, str] = {"op3_url_filter": oracles.url_filter(), "op5_host_rules": oracles.host_rules()}
