@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillstone.llm import bpe, brown, conversations, decontaminate, hosts, jaccard, langid, licences, mixing, oracles, simple8b, toxicity, urls
+from tillstone.llm import bpe, brown, conversations, decontaminate, hosts, jaccard, langid, licences, mixing, oracles, simple8b, spelling, toxicity, urls
 from tillstone.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op10_decontaminate": lambda spark, sf_dir: decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     "op11_source_mix": _documents(mixing.shares),
     "op12_conversation_repair": lambda spark, sf_dir: conversations.repair_audit(read(spark, sf_dir, "conversations")),
+    "op13_spelling_variants": _documents(spelling.grouped),
 }
 ORACLE: dict[str, str] = {
     "op3_url_filter": oracles.url_filter(), "op5_host_rules": oracles.host_rules(), "op11_source_mix": oracles.mixing(),
