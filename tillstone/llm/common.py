@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -77,8 +79,13 @@ def fold(key: Column, divisor: int) -> Column:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows holding about ``limit`` bytes of ``column``, one row at least."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    """Consecutive rows holding about ``limit`` bytes of ``column``, text or a list of numbers; one row at least."""
+    values = batch.column(column)
+    if pa.types.is_list(values.type):
+        sizes = pc.multiply(pc.list_value_length(values), values.type.value_type.bit_width // 8)
+    else:
+        sizes = pc.binary_length(values)
+    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False)
     ends, start = np.cumsum(sizes, dtype=np.int64), 0
     while start < len(sizes):
         done = int(ends[start - 1]) if start else 0
@@ -87,6 +94,29 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         start = stop
 
 
+_state: dict[str, object] = {}
+
+
+def only(owner: object, make: Callable[[], object]) -> object:
+    """The state that ``owner`` keeps in this worker process; what another one kept is let go first.
+
+    Workers are used again by later stages, so without it the caches of every operator add up.
+    """
+    if _state.get("owner") != owner:
+        _state.clear()
+        gc.collect()
+        _trim(0)
+        _state.update(owner=owner, value=make())
+    return _state["value"]
+
+
+def _trim(pad: int) -> None:
+    """Gives freed memory back to the system where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(pad)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts as UTF-8, a null as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
