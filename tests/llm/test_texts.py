@@ -298,3 +298,73 @@ def test_leaks_on_awkward_rows(spark):
     assert decontaminate.leaks(frames.docs(spark), benchmark.limit(0)).count() == 0
     assert decontaminate.leaks(frames.empty(spark), benchmark).count() == 0
     assert decontaminate.clean(frames.docs(spark), benchmark.limit(0)).columns == frames.docs(spark).columns
+
+
+def edited(rnd, words, others, n):
+    """``words`` with ``n`` of them replaced, dropped or doubled by another."""
+    words = list(words)
+    for _ in range(n):
+        at, kind = rnd.randrange(len(words)), rnd.randrange(3)
+        words[at:at + (kind != 2)] = [] if kind == 1 and len(words) > 1 else [rnd.choice(others)]
+    return words
+
+
+def recall(n, exact, items=200):
+    """The share of items of ``n`` words found in texts that hold them, as they are or with all edits allowed."""
+    rnd = random.Random(n)
+    words, others = [f"w{i}" for i in range(2000)], [f"w{i}" for i in range(3000)]
+    own = [[rnd.choice(words) for _ in range(n)] for _ in range(items)]
+    tables = decontaminate.Tables([(i, " ".join(x).encode()) for i, x in enumerate(own)])
+    texts = []
+    for x in own:
+        changed = x if exact else edited(rnd, x, others, n * decontaminate.MAX_EDITS_PCT // 100)
+        before, after = ([rnd.choice(others) for _ in range(rnd.randint(0, 60))] for _ in range(2))
+        texts.append(" ".join([*before, *changed, *after]).encode())
+    found = {(t, k) for t, k, *_ in tables.search(texts)}
+    return sum((i, i) in found for i in range(items)) / items
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 18, 20, 25, 30, 40, 60, 120])
+def test_recall_at_every_length(n):
+    assert recall(n, exact=True) == 1.0
+    assert recall(n, exact=False) == 1.0 if n < decontaminate.WALKED else recall(n, exact=False) >= 0.97
+
+
+def test_many_items_of_distinct_words():
+    items = [(i, " ".join(f"i{i}x{k}" for k in range(30)).encode()) for i in range(3000)]
+    tables = decontaminate.Tables(items)
+    found = [(t, k, edits) for t, k, edits, *_ in tables.search([b"before " + text + b" after" for _, text in items])]
+    assert found == [(i, i, 0) for i in range(3000)]
+    assert tables.held.nbytes + tables.counts.nbytes == 16 * 90_000  # as many entries as words, not items by words
+
+
+def every_match(items, texts):
+    """(text, item, edits) of all items within the bound, by the exact distance over every whole text."""
+    out = set()
+    for t, text in enumerate(texts):
+        part = licences.words_of(text)
+        for k, item in enumerate(items):
+            number = {}
+            a, b = (np.array([number.setdefault(w, len(number)) for w in x]) for x in (licences.words_of(item), part))
+            if len(b):
+                cost = decontaminate.nearest(a, b)[0]
+                if cost <= len(a) * decontaminate.MAX_EDITS_PCT // 100:
+                    out.add((t, k, cost))
+    return out
+
+
+def test_leaks_equal_the_exact_search(spark):
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(40)]  # few words, so that much is alike by chance
+    items = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 45))) for _ in range(40)]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 120))) for _ in range(60)]
+    for item in items:
+        own = item.split()
+        texts.append(" ".join([*edited(rnd, own, words, rnd.randint(0, len(own) // 5)), "tail", rnd.choice(items)]))
+    want = every_match([x.encode() for x in items], [x.encode() for x in texts])
+    got = {(r["doc_id"], r["item_id"], r["n_edits"]) for r in decontaminate.leaks(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+        spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert {x[:2] for x in got} <= {x[:2] for x in want}
+    assert len({x[:2] for x in want} - {x[:2] for x in got}) <= 0.02 * len(want)
+    assert len(got & want) >= 0.98 * len(got)  # the least distance, but for a few nearer places not met

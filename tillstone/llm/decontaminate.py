@@ -8,16 +8,20 @@ candidates, and ``TABLES`` tables with walks and samples of their own reach the
 
 Every word of a document begins a window. Walks of an item begin at its first word and at
 every later one that leaves ``REACH`` words, so an edit near the beginning spoils only some
-of them. Samples are compared step by step, and a window that differs from all items so far
-is not walked any further.
+of them. Samples are hashed one after another, and a window whose hash so far no item has
+is not walked any further. A walk never leaves an item that it begins at the first word of, so exact
+copies are always found.
+
+Items of under ``WALKED`` words are too short for samples to survive their edits. They are allowed
+so few edits that, cut into one part more, one part stands in any match as it is: their parts
+are looked up word for word, which misses nothing.
 
 A candidate is decided by the exact edit distance, in words, of the item to the part of the
 document around it that is nearest: at most ``MAX_EDITS_PCT`` per cent of the item's words.
-An item of under ``REACH`` words must stand there word for word.
 
 Words are letters, digits and non-ASCII characters, lower-cased (A-Z). Nulls: a null text has
 no words; an item without words or with a null id is never found. Repeated rows are each
-searched; of repeated items each is found.
+searched; of repeated items each is found. An empty table of documents or items gives no rows.
 """
 
 from __future__ import annotations
@@ -36,13 +40,86 @@ TABLES = 6
 BITS = 4
 STEPS = 13
 REACH = 5
+#: Items from this length are walked; it is no less than STEPS.
+WALKED = 15
 MAX_EDITS_PCT = 20
 #: Bytes of items searched for in one pass; a larger benchmark takes several passes.
 PASS_BYTES = 16 << 20
 
 
+class Table:
+    """Sampled words of walks, hashed: the sorted hashes after each sample, and whose the last ones are."""
+
+    def __init__(self, steps: list[int], bits: np.ndarray | None) -> None:
+        self.steps, self.bits = steps, bits  # without bits each step moves on
+
+    def walk(self, words: np.ndarray, starts: np.ndarray):
+        """The word at each sample for the windows at ``starts`` that are still wanted.
+
+        A generator: it gives the words at a sample and is sent which windows to go on with.
+        """
+        last = len(words) - 1
+        pointer = starts.copy()
+        for step in range(self.steps[-1] + 1):
+            seen = words[np.minimum(pointer, last)]
+            seen[pointer > last] = 0
+            if step in self.steps:
+                keep = yield seen
+                pointer, seen = pointer[keep], seen[keep]
+            pointer = pointer + (1 if self.bits is None else self.bits[step][seen])
+
+    def fill(self, items: list[np.ndarray], starts: dict[int, np.ndarray], side: int) -> Table:
+        """Takes in the windows of items at the places given for each."""
+        self.begins = np.zeros(side, bool)  # words of the first sample
+        keys, owners, offsets = [], [], []
+        for k, own in starts.items():
+            walk, keep = self.walk(items[k], own), np.ones(len(own), bool)
+            inside, hashes = keep.copy(), []  # samples beyond the item's end are no use
+            for i in range(len(self.steps)):
+                seen = next(walk) if i == 0 else walk.send(keep)
+                inside &= seen > 0
+                hashes.append(_hash(hashes[-1] if hashes else None, seen))
+                if i == 0:
+                    self.begins[seen] = True
+            keys.append(np.stack(hashes)[:, inside])
+            owners.append(np.full(int(inside.sum()), k))
+            offsets.append(own[inside])
+        self.begins[0] = False
+        key = np.concatenate(keys, axis=1)
+        order = np.argsort(key[-1], kind="stable")
+        self.prefixes = [np.unique(row) for row in key]
+        self.keys, self.owners, self.offsets = key[-1][order], np.concatenate(owners)[order], np.concatenate(offsets)[order]
+        return self
+
+    def hits(self, words: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """(place of the item's first word, item) in two rows, of windows at ``begin`` with all samples alike."""
+        at, walk, key = begin, self.walk(words, begin), None
+        for i, prefix in enumerate(self.prefixes):
+            if i == 0:
+                seen = next(walk)
+                keep = self.begins[seen]
+                key = _hash(None, seen[keep])
+            else:
+                seen = walk.send(keep)
+                key = _hash(key, seen)
+                keep = (seen > 0) & _in(key, prefix)
+                key = key[keep]
+            at = at[keep]
+            if not len(at):
+                break
+        low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        hit = common.spans(high - low, low)
+        return np.stack((np.repeat(at, high - low) - self.offsets[hit], self.owners[hit]))
+
+
+def _hash(before: np.ndarray | None, seen: np.ndarray) -> np.ndarray:
+    """64 bits that stand for the words sampled so far."""
+    with np.errstate(over="ignore"):
+        return common.mixed((0 if before is None else before * np.uint64(0x9E3779B97F4A7C15)) + seen.astype(np.uint64))
+
+
 class Tables:
-    """Walks of all items, ready to search texts."""
+    """Walks of all items, ready to search texts. What is held grows with the words of the items."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         self.ids, self.words = [], []
@@ -55,104 +132,43 @@ class Tables:
         self.side = len(number) + 1
         self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.most = self.lengths * MAX_EDITS_PCT // 100
-        self.held = np.zeros((len(self.words), self.side), bool)  # words of each item
-        for row, words in zip(self.held, self.words):
-            row[words] = True
-        self.counts = np.zeros((len(self.words), self.side), np.int16)
-        for row, words in zip(self.counts, self.words):
-            np.add.at(row, words, 1)
+        # Each item's words in order and how often it has them, all items one after another.
+        flat = np.concatenate(self.words).astype(np.int64) if self.words else np.empty(0, np.int64)
+        self.held, self.counts = np.unique(np.repeat(np.arange(len(self.words)), self.lengths) * self.side + flat, return_counts=True)
+        self.first = np.searchsorted(self.held, np.arange(len(self.words) + 1) * self.side)
         random = np.random.default_rng(20)
-        self.bits = random.integers(0, 2, (TABLES, STEPS, self.side), dtype=np.int8)
-        self.bits[:, :, 0] = 1  # a word of no item
-        self.steps = [sorted([0, *(random.choice(np.arange(1, STEPS), BITS - 1, replace=False)).tolist()]) if t % 2 == 0
-                      else sorted(random.choice(np.arange(STEPS), BITS, replace=False).tolist()) for t in range(TABLES)]
-        self.tables = [self._table(t) for t in range(TABLES)]
-        self.begins = np.zeros((TABLES, self.side), bool)
-        for row, (prefixes, *_) in zip(self.begins, self.tables):
-            row[prefixes[0]] = True
-        self.begins[:, 0] = False
-        self.short: dict[int, list[int]] = {}
-        for k, words in enumerate(self.words):
-            if len(words) < REACH:
-                self.short.setdefault(int(words[0]), []).append(k)
-
-    def _walk(self, words: np.ndarray, starts: np.ndarray, t: int):
-        """The word at each sampled step for the windows at ``starts`` that are still wanted.
-
-        A generator: it gives the words at a sample and is sent which windows to go on with.
-        """
-        last = len(words) - 1
-        pointer = starts.copy()
-        for step in range(self.steps[t][-1] + 1):
-            seen = words[np.minimum(pointer, last)]
-            seen[pointer > last] = 0
-            if step in self.steps[t]:
-                keep = yield seen
-                pointer, seen = pointer[keep], seen[keep]
-            pointer = pointer + self.bits[t, step][seen]
-
-    def _table(self, t: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """The samples' prefixes, and the sorted samples with their item and offset."""
-        keys, owners, offsets = [], [], []
-        for k, words in enumerate(self.words):
-            if len(words) < REACH:
-                continue
-            starts = np.arange(len(words) - REACH + 1)
-            key, walk, keep = np.zeros(len(starts), np.int64), self._walk(words, starts, t), None
-            inside = np.ones(len(starts), bool)  # samples beyond the item's end are no use
-            for _ in range(BITS):
-                seen = next(walk) if keep is None else walk.send(keep)
-                key, inside = key * self.side + seen, inside & (seen > 0)
-                keep = np.ones(len(starts), bool)
-            keys.append(key[inside])
-            owners.append(np.full(int(inside.sum()), k))
-            offsets.append(starts[inside])
-        if not keys:
-            none = np.empty(0, np.int64)
-            return [none] * BITS, none, none, none
-        key, owner, offset = map(np.concatenate, (keys, owners, offsets))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        prefixes = [np.unique(key // self.side ** (BITS - 1 - i)) for i in range(BITS)]
-        return prefixes, key, owner[order], offset[order]
+        bits = random.integers(0, 2, (TABLES, STEPS, self.side), dtype=np.int8)
+        bits[:, :, 0] = 1  # a word of no item
+        steps = [sorted([0, *(random.choice(np.arange(1, STEPS), BITS - 1, replace=False)).tolist()]) if t % 2 == 0
+                 else sorted(random.choice(np.arange(STEPS), BITS, replace=False).tolist()) for t in range(TABLES)]
+        walked = {k: np.arange(n - REACH + 1) for k, n in enumerate(self.lengths.tolist()) if n >= WALKED}
+        self.tables = [Table(own, b).fill(self.words, walked, self.side) for own, b in zip(steps, bits)] if walked else []
+        parts: dict[int, dict[int, list[int]]] = {}
+        for k, (n, most) in enumerate(zip(self.lengths.tolist(), self.most.tolist())):
+            if n < WALKED:
+                cuts = [n * i // (most + 1) for i in range(most + 2)]
+                for a, b in zip(cuts, cuts[1:]):
+                    parts.setdefault(b - a, {}).setdefault(k, []).append(a)
+        self.tables += [Table(list(range(size)), None).fill(self.words, {k: np.array(a) for k, a in own.items()}, self.side) for size, own in parts.items()]
 
     def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the item's first word, item) wherever a table has a window's sample."""
-        found = []
         begin = np.flatnonzero(words)
-        for t in range(TABLES if len(begin) else 0):
-            prefixes, keys, owners, offsets = self.tables[t]
-            if not len(keys):
-                continue
-            at, key, keep = begin, np.zeros(len(begin), np.int64), None
-            walk = self._walk(words, begin, t)
-            for i in range(BITS):
-                seen = next(walk) if keep is None else walk.send(keep)
-                key = key * self.side + seen
-                keep = self.begins[t][seen] if i == 0 else (seen > 0) & _in(key, prefixes[i])
-                at, key = at[keep], key[keep]
-                if not len(at):
-                    break
-            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            hit = common.spans(high - low, low)
-            found.append(np.stack((np.repeat(at, high - low) - offsets[hit], owners[hit])))
-        for first, ks in self.short.items():
-            at = np.flatnonzero(words == first)
-            for k in ks:
-                same = np.ones(len(at), bool)
-                for i, word in enumerate(self.words[k].tolist()):
-                    place = np.minimum(at + i, len(words) - 1)
-                    same &= (at + i < len(words)) & (words[place] == word)
-                found.append(np.stack((at[same], np.full(int(same.sum()), k))))
-        if not found:
+        if not len(begin) or not self.tables:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        place, item = np.concatenate(found, axis=1)
+        place, item = np.concatenate([t.hits(words, begin) for t in self.tables], axis=1)
         order = np.lexsort((place, item))
         place, item = place[order], item[order]
         new = np.ones(len(place), bool)
         new[1:] = (place[1:] != place[:-1]) | (item[1:] != item[:-1])
         return place[new], item[new]
 
+    def _held(self, item: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each item's entry for a word is, and whether it has one."""
+        key = item * self.side + words
+        at = np.minimum(np.searchsorted(self.held, key), len(self.held) - 1)
+        return at, (self.held[at] == key) & (words > 0)
+
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, first word, last word) of the nearest part for each item found."""
         split = [words_of(x) for x in texts]
@@ -174,14 +190,16 @@ class Tables:
         # Words of the part that are the item's: fewer than its length less the edits cannot do.
         width = np.maximum(high - low, 0)
         part = common.spans(width, low)
-        held = self.held[np.repeat(item, width), spread[part]]
+        _, held = self._held(np.repeat(item, width), spread[part].astype(np.int64))
         enough = common.per_text(held.astype(np.int64), width) >= self.lengths[item] - most
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
         done: dict[tuple[int, int], int] = {}
         for own, k, a, b, p in zip(*(x[enough].tolist() for x in (owner, item, low, high, place))):
             # The same by how often each word stands there, which is dearer to count.
-            both = np.minimum(np.bincount(spread[a:b], minlength=self.side), self.counts[k])
-            if both[1:].sum() < self.lengths[k] - self.most[k]:
+            at, has = self._held(k, spread[a:b].astype(np.int64))
+            first, last = self.first[k:k + 2].tolist()
+            both = np.minimum(np.bincount(at[has] - first, minlength=last - first), self.counts[first:last])
+            if both.sum() < self.lengths[k] - self.most[k]:
                 continue
             if done.get((own, k), -1) >= p or out.get((own, k), (1,))[0] == 0:
                 continue  # the part around the last place has this one in its middle, or no nearer is possible
@@ -193,6 +211,8 @@ class Tables:
 
 
 def _in(key: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(key), bool)
     at = np.searchsorted(ordered, key)
     at[at == len(ordered)] = 0
     return ordered[at] == key
@@ -224,13 +244,9 @@ def nearest(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end - 1
 
 
-_worker: dict[str, object] = {}
-
-
 def _tables(items: list[tuple[int, bytes]]) -> Tables:
-    if _worker.get("items") is not items:
-        _worker.update(items=items, tables=Tables(items))
-    return _worker["tables"]
+    """The tables of these items, once per worker process; the list is held so that its identity stays its own."""
+    return common.only(("items", id(items)), lambda: (items, Tables(items)))[1]
 
 
 def _passes(benchmark: DataFrame, id_col: str, text_col: str):
