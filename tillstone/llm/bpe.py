@@ -128,14 +128,9 @@ class Codec:
         return " ".join([self.tokens[i] for i in ids if 0 <= i < known])
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str, spec: str) -> Codec:
     """One codec per worker process and vocabulary."""
-    if path not in _codecs:
-        _codecs[path] = Codec(spec)
-    return _codecs[path]
+    return common.only(("codec", path), lambda: Codec(spec))
 
 
 def _shipped(df: DataFrame, path: str):

@@ -417,14 +417,9 @@ def score(df: DataFrame, held_out: Column, vocabulary: int = VOCABULARY, classes
     return common.in_arrow(walked, run, schema), model.tokens
 
 
-_worker: dict[str, object] = {}
-
-
 def _tables(own: dict) -> tuple[dict, np.ndarray, np.ndarray]:
-    if _worker.get("model") != own["id"]:
-        _worker.update(model=own["id"], known=dict(zip(own["head"], range(len(own["head"])))), logs=np.log10(own["n"] + 1),
-                       emit=np.log10(own["n"] + (own["member"] == 1)))
-    return _worker["known"], _worker["logs"], _worker["emit"]
+    return common.only(("classes", own["id"]), lambda: (
+        dict(zip(own["head"], range(len(own["head"])))), np.log10(own["n"] + 1), np.log10(own["n"] + (own["member"] == 1))))
 
 
 def scored(df: DataFrame) -> DataFrame:

@@ -63,14 +63,12 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
-
-
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each text, one after another, and the sets' sizes."""
     split = [x.translate(_LOWER).split() for x in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    hashed = np.fromiter(map(_hashes.__getitem__, (w for own in split for w in own)), np.uint64, int(sizes.sum()))
+    hashes = common.only("word hashes", _Hashes)
+    hashed = np.fromiter(map(hashes.__getitem__, (w for own in split for w in own)), np.uint64, int(sizes.sum()))
     counts = np.where(sizes == 0, 0, np.maximum(sizes - words + 1, 1))
     starts = np.cumsum(sizes) - sizes
     first = common.spans(counts, starts)

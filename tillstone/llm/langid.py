@@ -69,13 +69,8 @@ class Grams:
         return len(self.names) > self.limit
 
 
-_worker: dict[object, object] = {}
-
-
 def _grams() -> Grams:
-    if "grams" not in _worker:
-        _worker["grams"] = Grams()
-    return _worker["grams"]
+    return common.only("n-grams", Grams)
 
 
 def profiles(df: DataFrame, size: int = PROFILE, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
@@ -179,9 +174,7 @@ class Ranker:
 
 
 def _ranker(learned: dict[str, list[str]], size: int) -> Ranker:
-    if _worker.get("of") != (learned, size):
-        _worker["of"], _worker["ranker"] = (learned, size), Ranker(learned, size)
-    return _worker["ranker"]
+    return common.only(("ranker", learned, size), lambda: Ranker(learned, size))
 
 
 def accepted(df: DataFrame, learned: dict[str, list[str]], size: int = PROFILE, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
