@@ -275,7 +275,7 @@ def roots(forms: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(word, n, n_near, form, form_n, root) of every word."""
     words = common.stored(vocabulary(docs), "words")
-    pairs = near_words(words, block)
+    pairs = common.stored(near_words(words, block), "near-words")
     both = pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
     best = both.groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best"))
