@@ -6,7 +6,6 @@ so it is exact without relying on another engine's decimal division.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -14,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillstone.plans import refresh
 from tillstone.plans.star import Star, build_star, store_clean
-from tillstone.session import ensure_checkpoint_dir
+from tillstone.session import scratch
 from tillstone.sources import testshop
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +47,7 @@ def _once(spark: SparkSession, sf_dir: str, part: str, store: Callable[[str], Ta
     """
     key = (spark.sparkContext.applicationId, sf_dir, part)
     if key not in _stores:
-        _stores[key] = store(f"{ensure_checkpoint_dir(spark)}/tillstone-{uuid.uuid4().hex}")
+        _stores[key] = store(scratch(spark, part))
     return _stores[key]
 
 
@@ -67,6 +67,24 @@ def stored_star(spark: SparkSession, sf_dir: str) -> Star:
     return _once(spark, sf_dir, "star", store)
 
 
+def two_exports(spark: SparkSession, sf_dir: str) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """The clean tables as two exports that overlap by some months; the second has late rows of all months."""
+    lines, tx = clean_tables(spark, sf_dir)
+    sold, paid, late, late_tx = F.col("sold_at"), F.col("created_at"), F.col("line_id") % 50 == 0, F.crc32(F.col("tx_id").cast("binary")) % 50 == 0
+    first = (lines.where((sold < "1996-06-01") & ~late), tx.where((paid < "1996-06-01") & ~late_tx))
+    return first, (lines.where((sold >= "1996-03-01") | late), tx.where((paid >= "1996-03-01") | late_tx))
+
+
+def refreshed_star(spark: SparkSession, sf_dir: str) -> Star:
+    """The test shop's star after two incremental loads, done once."""
+    def store(out: str) -> Star:
+        for lines, tx in two_exports(spark, sf_dir):
+            refresh.load_increment(spark, lines, tx, out, VOCAB)
+        return refresh.stored_star(spark, out)
+
+    return _once(spark, sf_dir, "refreshed", store)
+
+
 def of_lines(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: plain(build(clean_tables(spark, sf)[0]))
 
@@ -105,20 +123,23 @@ AGENT_LOG = testshop.AGENT_LOG_SQL.format(**_NAMES)
 
 
 def units(text: str) -> str:
-    """Text amount to integer units of 1e-4; blank to NULL."""
-    return f"CAST(CAST(NULLIF({text}, '') AS DECIMAL(18,4)) * 10000 AS BIGINT)"
+    """Text amount to integer units of 1e-4; blank and unreadable to NULL."""
+    return f"CAST(TRY_CAST(NULLIF({text}, '') AS DECIMAL(18,4)) * 10000 AS BIGINT)"
 
 
 LINES = f"""lines AS (
   SELECT tx_id, line_id, account, branch_norm, description, tax_type, pay_form, device_serial,
-         sold_at AS sold_text, strptime(substr(sold_at, 1, 17), '%d-%m-%Y, %H:%M') AS sold_at,
+         sold_at AS sold_text,
+         COALESCE(regexp_matches(sold_at, '^\\d{{2}}-\\d{{2}}-\\d{{4}}, \\d{{2}}:\\d{{2}}'), FALSE) AS day_first,
+         COALESCE(TRY_STRPTIME(substr(sold_at, 1, 17), '%d-%m-%Y, %H:%M'), TRY_CAST(sold_at AS TIMESTAMP)) AS sold_at,
          {units('quantity')} AS quantity, {units('unit_price')} AS unit_price,
-         {units('gross')} AS gross, {units('net')} AS net, {units('vat')} AS vat
+         {units('gross')} AS gross, {units('net')} AS net, {units('vat')} AS vat, quantity AS quantity_text,
+         unit_price AS unit_price_text, gross AS gross_text, net AS net_text, vat AS vat_text
   FROM ({LINES_RAW}) r)"""
 
 TX = f"""tx AS (
   SELECT tx_id, status, run_as, account_email, card_last4, card_type, capture_mode, auth_code,
-         tx_type, pay_method, reference, CAST(created_at AS TIMESTAMP) AS created_at,
+         tx_type, pay_method, reference, TRY_CAST(created_at AS TIMESTAMP) AS created_at,
          {units('fee')} AS fee, {units('total')} AS total, {units('subtotal')} AS subtotal,
          {units('tax')} AS tax, {units('tip')} AS tip, {units('deposits')} AS deposits
   FROM ({TX_RAW}) r)"""

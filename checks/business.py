@@ -8,7 +8,10 @@ from checks.base import (
     LINES, STAR, TX, VOCAB, account_case, alias_case, broad_case, clean_tables, money, of_both, of_lines, of_star,
     pct, per_quantity, per_unit, plain, stored_star, with_,
 )
+from checks.etl import spanish_export
+from tillstone.operators.cleanse import cleanse_lines
 from tillstone.plans import hours, loyalty, payments, products, sales
+from tillstone.sources.tables import LINE_HEADERS, rename_headers
 
 
 def _loyalty_view(spark: SparkSession, sf: str) -> DataFrame:
@@ -16,6 +19,12 @@ def _loyalty_view(spark: SparkSession, sf: str) -> DataFrame:
     return loyalty.loyalty_view(tx, lines, stored_star(spark, sf).dim_branch, VOCAB)
 
 
+def _top5_of_export(spark: SparkSession, sf: str) -> DataFrame:
+    """The view's variant of the data: the text export under its own headers, not the typed tables."""
+    lines = cleanse_lines(rename_headers(spanish_export(spark, sf), LINE_HEADERS))
+    return plain(products.top_products(lines, VOCAB))
+
+
 QUERIES = {
     "q01_overview_tickets": of_both(lambda t, l: sales.overview_tickets(t, l, VOCAB)),
     "q02_overview_star": of_star(lambda s: sales.overview_star(s.fact_lines, s.dim_branch, s.fact_tx, VOCAB)),
@@ -32,7 +41,7 @@ QUERIES = {
         lambda t, l: sales.purchase_behavior(t, l, VOCAB, keep_unnamed=True)
     ),
     "q12_top5_products_raw": of_lines(lambda l: products.top_products(l, VOCAB)),
-    "q13_top5_products_view": of_lines(lambda l: products.top_products(l, VOCAB)),
+    "q13_top5_products_view": _top5_of_export,
     "q14_payment_mix_raw": of_both(lambda t, l: payments.payment_mix_raw(t, l, VOCAB)),
     "q15_payment_mix_view": of_both(lambda t, l: payments.payment_mix_view(t, l, VOCAB)),
     "q16_hourly_sales_raw": of_both(lambda t, l: hours.hourly_sales(t, l, VOCAB)),
@@ -149,7 +158,7 @@ SELECT {day} AS dia,
        {_distinct_when("account IN ('north', 'north@shop.example')", 'north')},
        {_distinct_when("account IN ('South', 'south@shop.example')", 'south')},
        {_distinct_when("account IN ('East', 'east@shop.example')", 'east')}
-FROM lines WHERE {_NO_MANUAL} AND sold_at IS NOT NULL AND {where}
+FROM lines WHERE {_NO_MANUAL} AND day_first AND sold_at IS NOT NULL AND {where}
 GROUP BY 1, 2, 3"""
 
 

@@ -255,7 +255,7 @@ def _build() -> dict[str, Query]:
             F.sum(F.nullif(F.col("fee").try_cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))).alias("v"),
             F.count(no_zero(F.length("tip"))).alias("tips"),
         )),
-        "f3_casts": _raw_tx(lambda t: t.groupBy(F.col("created_at").cast("date").alias("d")).agg(
+        "f3_casts": _raw_tx(lambda t: t.groupBy(F.col("created_at").try_cast("date").alias("d")).agg(
             F.sum(to_money(F.col("fee"))).alias("fee"), F.sum(F.col("total").cast("decimal(18,4)").cast("bigint")).alias("whole")
         )),
         "f4_round_half_up": of_table("lineitem", lambda l: l.agg(
@@ -284,9 +284,7 @@ def _build() -> dict[str, Query]:
             month=dates.padded_name(F.col("o_orderdate"), "MMMM"), day=dates.padded_name(F.col("o_orderdate"), "EEEE")
         )),
         "f18_date_of_timestamp": of_table("events", _count_by(day=F.to_date("ts"))),
-        "f19_days_since": of_table("orders", lambda o: o.agg(
-            F.count(F.when(F.to_date("o_orderdate") <= F.current_date(), 1)).alias("past")
-        )),
+        "f19_days_since": of_table("orders", _count_by(days=dates.days_since(F.to_date("o_orderdate"), F.lit("1996-02-29").cast("date")))),
         "f20_weekend": of_table("events", _count_by(weekend=dates.is_weekend(F.col("ts")))),
         "f21_keyword_category": of_lines(_count_by(
             product=keyword_category(desc, VOCAB.product_categories, VOCAB.other_product),
@@ -457,7 +455,7 @@ SELECT COUNT(NULLIF(fee, '')) AS fees,
        CAST(SUM(NULLIF(TRY_CAST(fee AS DECIMAL(18,4)), 0)) AS DOUBLE) AS v, COUNT(NULLIF(length(tip), 0)) AS tips
 FROM ({TX_RAW}) r""",
     "f3_casts": f"""
-SELECT CAST(created_at AS DATE) AS d, CAST(SUM(CAST(NULLIF(fee, '') AS DECIMAL(18,4))) AS DOUBLE) AS fee,
+SELECT TRY_CAST(created_at AS DATE) AS d, CAST(SUM(CAST(NULLIF(fee, '') AS DECIMAL(18,4))) AS DOUBLE) AS fee,
        CAST(SUM(TRUNC(CAST(total AS DOUBLE))) AS BIGINT) AS whole
 FROM ({TX_RAW}) r GROUP BY 1""",
     "f4_round_half_up": f"""
@@ -488,7 +486,7 @@ FROM orders GROUP BY 1, 2""",
 SELECT rpad(strftime(o_orderdate, '%B'), 9, ' ') AS month, rpad(strftime(o_orderdate, '%A'), 9, ' ') AS day, COUNT(*) AS n
 FROM orders GROUP BY 1, 2""",
     "f18_date_of_timestamp": "SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events GROUP BY 1",
-    "f19_days_since": "SELECT COUNT(CASE WHEN CAST(o_orderdate AS DATE) <= CURRENT_DATE THEN 1 END) AS past FROM orders",
+    "f19_days_since": "SELECT CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1996-02-29') AS INTEGER) AS days, COUNT(*) AS n FROM orders GROUP BY 1",
     "f20_weekend": "SELECT EXTRACT(DOW FROM ts) IN (0, 6) AS weekend, COUNT(*) AS n FROM events GROUP BY 1",
     "f21_keyword_category": _q(
         "lines",

@@ -73,3 +73,8 @@ def padded_name(day: Column, pattern: str) -> Column:
 
 def iso_date(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM-dd")
+
+
+def days_since(day: Column, today: Column | None = None) -> Column:
+    """Whole days from ``day`` to ``today``, by default the current date; negative before it."""
+    return F.date_diff(F.current_date() if today is None else today, day)

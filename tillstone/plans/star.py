@@ -157,7 +157,7 @@ _FACT_LINES = (
 )
 
 
-def fact_lines(
+def keyed_lines(
     lines: DataFrame,
     date_dim: DataFrame,
     product_dim: DataFrame,
@@ -165,8 +165,8 @@ def fact_lines(
     payment_dim: DataFrame,
     vocab: Vocabulary,
 ) -> DataFrame:
-    """Line fact with first-match lookups; an unmatched lookup leaves a NULL key. A row that
-    the export holds twice, line id included, counts once.
+    """Lines with their measures, dimension keys and what the keys were looked up by
+    (``busca_...``); an unmatched lookup leaves a NULL key.
 
     Two lookups miss on purpose, as in the source: a line without a tax type looks for the
     missing-value word while the dimension stores NULL, and a branch is looked up under
@@ -181,17 +181,37 @@ def fact_lines(
                 ("precio_neto", "net"), ("iva_monto", "vat"),
             )
         },
+        "busca_descripcion": F.col("description"),
+        "busca_tipo_iva": F.coalesce("tax_type", F.lit(vocab.missing)),
+        "busca_sede": branches.dimension_name(F.col("branch_norm"), vocab),
+        "busca_pago": F.col("pay_form"),
     })
-    tax_type = F.coalesce("tax_type", F.lit(vocab.missing))
     # Lookups first: the shuffle of the line numbering then carries keys, not texts.
     keyed = lookup.first_match(kept, date_dim, {"fecha_completa": F.to_date("sold_at")}, "fecha_key")
+    return looked_up(keyed, product_dim, branch_dim, payment_dim)
+
+
+def looked_up(lines: DataFrame, product_dim: DataFrame, branch_dim: DataFrame, payment_dim: DataFrame) -> DataFrame:
+    """Adds the product, branch and payment keys by the ``busca_...`` columns."""
     keyed = lookup.first_match(
-        keyed, product_dim, {"descripcion": F.col("description"), "tipo_iva": tax_type}, "producto_sk"
-    )
-    keyed = lookup.first_match(
-        keyed, branch_dim, {"nombre_sede": branches.dimension_name(F.col("branch_norm"), vocab)}, "sede_sk"
+        lines, product_dim,
+        {"descripcion": F.col("busca_descripcion"), "tipo_iva": F.col("busca_tipo_iva")}, "producto_sk",
     )
-    keyed = lookup.first_match(keyed, payment_dim, {"forma_pago": F.col("pay_form")}, "pago_sk")
+    keyed = lookup.first_match(keyed, branch_dim, {"nombre_sede": F.col("busca_sede")}, "sede_sk")
+    return lookup.first_match(keyed, payment_dim, {"forma_pago": F.col("busca_pago")}, "pago_sk")
+
+
+def fact_lines(
+    lines: DataFrame,
+    date_dim: DataFrame,
+    product_dim: DataFrame,
+    branch_dim: DataFrame,
+    payment_dim: DataFrame,
+    vocab: Vocabulary,
+) -> DataFrame:
+    """Line fact with first-match lookups; an unmatched lookup leaves a NULL key. A row that
+    the export holds twice, line id included, counts once."""
+    keyed = keyed_lines(lines, date_dim, product_dim, branch_dim, payment_dim, vocab)
     narrow = keyed.select(
         "tx_id", "line_id", F.col("tx_id").alias("id_transaccion"),
         *[c for c in _FACT_LINES if c not in ("id_transaccion", "linea_ticket")],
@@ -237,11 +257,17 @@ def fact_lines_strict(
     return number_lines(narrow).select(*_FACT_LINES)
 
 
-def fact_tx(
-    tx: DataFrame, date_dim: DataFrame, branch_dim: DataFrame, card_dim: DataFrame, vocab: Vocabulary
-) -> DataFrame:
-    """One row per payment id: the earliest row, then the smallest by the other columns."""
-    kept = present(tx, "tx_id", "created_at").select(
+_FACT_TX = (
+    "id_transaccion", "fecha_key", "sede_sk", "tarjeta_sk", "correo_electronico",
+    "codigo_autorizacion", "tipo_transaccion", "estado", "metodo_pago", "modo_captura",
+    "fecha_transaccion", "monto_total", "subtotal", "impuesto", "propina", "comision",
+    "depositos", "referencia",
+)
+
+
+def payment_rows(tx: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Payments under the fact's names, with the card they are looked up by (``busca_...``), several rows to an id."""
+    return present(tx, "tx_id", "created_at").select(
         F.col("tx_id").alias("id_transaccion"),
         F.col("created_at").cast("timestamp").alias("fecha_transaccion"),
         F.col("account_email").alias("correo_electronico"),
@@ -258,24 +284,30 @@ def fact_tx(
             )
         ],
         F.col("reference").alias("referencia"),
-        F.to_date("created_at").alias("_day"),
-        F.coalesce("card_type", F.lit(vocab.missing)).alias("_card_type"),
-        F.coalesce("card_last4", F.lit("")).alias("_last4"),
+        F.to_date("created_at").alias("busca_dia"),
+        F.coalesce("card_type", F.lit(vocab.missing)).alias("busca_tipo_tarjeta"),
+        F.coalesce("card_last4", F.lit("")).alias("busca_digitos"),
     )
-    unique = load.first_per_key(kept, ["id_transaccion"])
-    keyed = lookup.first_match(unique, date_dim, {"fecha_completa": F.col("_day")}, "fecha_key")
-    keyed = lookup.first_match(
+
+
+def keyed_payments(payments: DataFrame, date_dim: DataFrame, card_dim: DataFrame) -> DataFrame:
+    """Adds the date and card keys by the ``busca_...`` columns."""
+    keyed = lookup.first_match(payments, date_dim, {"fecha_completa": F.col("busca_dia")}, "fecha_key")
+    return lookup.first_match(
         keyed, card_dim,
-        {"tipo_tarjeta": F.col("_card_type"), "ultimos_4_digitos": F.col("_last4")}, "tarjeta_sk",
-    )
-    return lookup.with_single_row(keyed, any_branch(branch_dim)).select(
-        "id_transaccion", "fecha_key", "sede_sk", "tarjeta_sk", "correo_electronico",
-        "codigo_autorizacion", "tipo_transaccion", "estado", "metodo_pago", "modo_captura",
-        "fecha_transaccion", "monto_total", "subtotal", "impuesto", "propina", "comision",
-        "depositos", "referencia",
+        {"tipo_tarjeta": F.col("busca_tipo_tarjeta"), "ultimos_4_digitos": F.col("busca_digitos")}, "tarjeta_sk",
     )
 
 
+def fact_tx(
+    tx: DataFrame, date_dim: DataFrame, branch_dim: DataFrame, card_dim: DataFrame, vocab: Vocabulary
+) -> DataFrame:
+    """One row per payment id: the earliest row, then the smallest by the other columns."""
+    unique = load.first_per_key(payment_rows(tx, vocab), ["id_transaccion"])
+    keyed = keyed_payments(unique, date_dim, card_dim)
+    return lookup.with_single_row(keyed, any_branch(branch_dim)).select(*_FACT_TX)
+
+
 # --- jobs --------------------------------------------------------------------------------
 
 

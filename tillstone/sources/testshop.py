@@ -2,7 +2,8 @@
 
 The two statements below give the raw exports of an imaginary shop with four branches:
 every amount and date is text, with blanks, NULLs, alias spellings, tip and manual lines,
-and duplicate payment rows. They are ANSI SQL, so another engine can build the same
+duplicate payment rows, lines that the export holds twice, blank and missing tickets, dates in
+both spellings and in none, unreadable amounts and card numbers with blanks around them. They are ANSI SQL, so another engine can build the same
 input; tables are written as ``{name}``. Amounts become DECIMAL before any arithmetic.
 """
 
@@ -36,7 +37,8 @@ VOCABULARY = Vocabulary(
 )
 
 LINES_SQL = """
-SELECT CAST(l_orderkey AS STRING) AS tx_id,
+SELECT CASE WHEN l_partkey % 211 = 0 AND l_linenumber < 3 THEN '' WHEN l_partkey % 211 = 1 AND l_linenumber < 3 THEN NULL
+            ELSE CAST(l_orderkey AS STRING) END AS tx_id,
        l_orderkey * 10000000000
          + (CAST(l_linenumber AS BIGINT) * 7919 + l_partkey * 104729 + l_suppkey * 1299709
             + (EXTRACT(YEAR FROM l_shipdate) * 10000 + EXTRACT(MONTH FROM l_shipdate) * 100
@@ -67,17 +69,21 @@ SELECT CAST(l_orderkey AS STRING) AS tx_id,
             ELSE CONCAT('SN-', CAST(l_suppkey % 50 AS STRING)) END AS device_serial,
        CAST(CAST(l_quantity AS INT) AS STRING) AS quantity,
        CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS STRING) AS unit_price,
-       CASE WHEN l_returnflag = 'N' AND l_linenumber = 7 THEN ''
+       CASE WHEN l_returnflag = 'N' AND l_linenumber = 7 THEN '' WHEN l_partkey % 199 = 7 THEN 'n/a'
             ELSE CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING) END AS gross,
        CASE WHEN l_returnflag = 'N' AND l_linenumber = 7 THEN ''
             ELSE CAST(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(0.8 AS DECIMAL(2,1)) AS DECIMAL(14,3)) AS STRING) END AS net,
        CAST(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(0.2 AS DECIMAL(2,1)) AS DECIMAL(14,3)) AS STRING) AS vat,
-       CONCAT(LPAD(CAST(EXTRACT(DAY FROM l_shipdate) AS STRING), 2, '0'), '-',
+       CASE WHEN l_partkey % 197 = 0 THEN NULL WHEN l_partkey % 197 = 1 THEN '' WHEN l_partkey % 197 = 2 THEN 'pending'
+            WHEN l_partkey % 197 < 8
+            THEN CONCAT(CAST(CAST(l_shipdate AS DATE) AS STRING), ' ', LPAD(CAST(l_partkey % 24 AS STRING), 2, '0'), ':30:00')
+            ELSE CONCAT(LPAD(CAST(EXTRACT(DAY FROM l_shipdate) AS STRING), 2, '0'), '-',
               LPAD(CAST(EXTRACT(MONTH FROM l_shipdate) AS STRING), 2, '0'), '-',
               CAST(EXTRACT(YEAR FROM l_shipdate) AS STRING), ', ',
               LPAD(CAST(l_partkey % 24 AS STRING), 2, '0'), ':',
-              LPAD(CAST(l_suppkey % 60 AS STRING), 2, '0')) AS sold_at
+              LPAD(CAST(l_suppkey % 60 AS STRING), 2, '0')) END AS sold_at
 FROM {lineitem}
+JOIN (SELECT 1 AS copy UNION ALL SELECT 2 AS copy) c ON c.copy = 1 OR l_partkey % 97 = 5
 JOIN {part} ON l_partkey = p_partkey
 JOIN {supplier} ON l_suppkey = s_suppkey
 JOIN {nation} ON s_nationkey = n_nationkey
@@ -85,7 +91,7 @@ JOIN {region} ON n_regionkey = r_regionkey
 """
 
 TX_SQL = """
-SELECT CAST(o_orderkey AS STRING) AS tx_id,
+SELECT CASE WHEN o_custkey % 229 = 0 THEN '' WHEN o_custkey % 229 = 1 THEN NULL ELSE CAST(o_orderkey AS STRING) END AS tx_id,
        CASE o_orderstatus WHEN 'F' THEN 'successful' WHEN 'O' THEN 'paid' ELSE 'failed' END AS status,
        CASE WHEN o_orderpriority LIKE '1%' THEN 'DEBIT' WHEN o_orderpriority LIKE '2%' THEN 'CREDIT'
             WHEN o_orderpriority LIKE '3%' THEN 'debito' ELSE NULL END AS run_as,
@@ -99,6 +105,7 @@ SELECT CAST(o_orderkey AS STRING) AS tx_id,
        CASE o_custkey % 5 WHEN 0 THEN 'north@shop.example' WHEN 1 THEN 'south@shop.example'
             WHEN 2 THEN 'EAST@shop.example' WHEN 3 THEN 'west@shop.example' ELSE NULL END AS account_email,
        CASE WHEN o_custkey % 17 = 0 THEN NULL WHEN o_custkey % 17 = 1 THEN ''
+            WHEN o_custkey % 17 = 2 THEN CONCAT(' ', LPAD(CAST(o_custkey % 100 AS STRING), 4, '0'), ' ')
             ELSE LPAD(CAST(o_custkey % 100 AS STRING), 4, '0') END AS card_last4,
        CASE WHEN o_orderpriority LIKE '1%' THEN 'VISA' WHEN o_orderpriority LIKE '2%' THEN 'MASTERCARD'
             WHEN o_orderpriority LIKE '3%' THEN 'AMEX' ELSE NULL END AS card_type,
@@ -107,8 +114,10 @@ SELECT CAST(o_orderkey AS STRING) AS tx_id,
        CASE WHEN o_orderkey % 50 = 0 THEN 'refund' ELSE 'sale' END AS tx_type,
        CASE WHEN o_orderpriority LIKE '5%' THEN 'cash' ELSE 'card' END AS pay_method,
        CONCAT('R-', CAST(o_orderkey AS STRING)) AS reference,
-       CONCAT(CAST(CAST(o_orderdate AS DATE) AS STRING), ' ',
-              LPAD(CAST(o_custkey % 24 AS STRING), 2, '0'), ':15:00') AS created_at
+       CASE WHEN o_custkey % 223 = 0 THEN NULL WHEN o_custkey % 223 = 1 THEN '' WHEN o_custkey % 223 = 2 THEN 'soon'
+            WHEN o_custkey % 223 = 3 THEN CAST(CAST(o_orderdate AS DATE) AS STRING)
+            ELSE CONCAT(CAST(CAST(o_orderdate AS DATE) AS STRING), ' ',
+              LPAD(CAST(o_custkey % 24 AS STRING), 2, '0'), ':15:00') END AS created_at
 FROM {orders}
 UNION ALL
 SELECT CAST(o_orderkey AS STRING), 'paid', NULL, '0',
