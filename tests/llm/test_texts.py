@@ -335,7 +335,7 @@ def test_many_items_of_distinct_words():
     tables = decontaminate.Tables(items)
     found = [(t, k, edits) for t, k, edits, *_ in tables.search([b"before " + text + b" after" for _, text in items])]
     assert found == [(i, i, 0) for i in range(3000)]
-    assert tables.held.nbytes + tables.counts.nbytes == 16 * 90_000  # as many entries as words, not items by words
+    assert tables.held.nbytes + tables.counts.nbytes + tables.marks.nbytes < 50 * 90_000  # in proportion to words, not items by words
 
 
 def every_match(items, texts):
