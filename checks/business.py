@@ -92,13 +92,22 @@ SELECT sede_unificada,
 FROM baskets GROUP BY 1"""
 
 
-def _behavior(name: str) -> str:
-    baskets = f"""baskets AS (
+def _baskets(name: str) -> str:
+    return f"""baskets AS (
   SELECT {alias_case()} AS sede_unificada, t.tx_id, COUNT(*) AS items, SUM(gross) AS amount
   FROM tx t JOIN lines l ON t.tx_id = l.tx_id
   WHERE status = 'successful' AND lower({name}) NOT IN ('tip', 'custom amount') AND gross > 0
   GROUP BY 1, 2)"""
-    return with_(LINES, TX, baskets) + _BEHAVIOR
+
+
+def _behavior(name: str) -> str:
+    return with_(LINES, TX, _baskets(name)) + _BEHAVIOR
+
+
+#: The money behind the averages of the view.
+BASKET_SUMS = with_(LINES, TX, _baskets("COALESCE(description, '')")) + f"""
+SELECT sede_unificada, {money('SUM(CASE WHEN items = 1 THEN amount END)')} AS monto_solo,
+       {money('SUM(CASE WHEN items > 1 THEN amount END)')} AS monto_acompanado FROM baskets GROUP BY 1"""
 
 
 TOP5 = with_(LINES) + f"""

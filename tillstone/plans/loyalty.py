@@ -18,13 +18,18 @@ from tillstone.operators.cleanse import present
 from tillstone.vocab import Vocabulary
 
 
-def _monthly(visits: DataFrame) -> DataFrame:
-    """(branch, card, created_at) visits to the monthly loyalty buckets."""
+def monthly_cards(visits: DataFrame) -> DataFrame:
+    """(branch, month, card_last4, days): on how many days of the month each card was seen."""
     day_bit = F.expr("shiftleft(1L, dayofmonth(created_at) - 1)")
-    cards = visits.groupBy("branch", month_key(F.col("created_at")).alias("month"), "card_last4").agg(
+    return visits.groupBy("branch", month_key(F.col("created_at")).alias("month"), "card_last4").agg(
         F.coalesce(F.bit_count(F.bit_or(day_bit)), F.lit(0)).alias("days")
     )
 
+
+def _monthly(visits: DataFrame) -> DataFrame:
+    """(branch, card, created_at) visits to the monthly loyalty buckets."""
+    cards = monthly_cards(visits)
+
     def holders(condition: Column) -> Column:
         return F.count(F.when(condition, F.col("card_last4")))
 
@@ -58,10 +63,8 @@ def loyalty_raw(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> DataFrame
     return _monthly(visits.join(where, "tx_id"))
 
 
-def loyalty_view(
-    tx: DataFrame, lines: DataFrame, dim_branch: DataFrame, vocab: Vocabulary
-) -> DataFrame:
-    """Loyalty by the payment's e-mail, else by the branch dimension through the lines."""
+def placed_visits(tx: DataFrame, lines: DataFrame, dim_branch: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(branch, card_last4, created_at): visits by the payment's e-mail, else by the branch dimension through the lines."""
     visits = (
         present(grain.settled_any_case(tx, vocab, with_paid=False), "card_last4", "created_at")
         .select("tx_id", "account_email", "card_last4", F.to_date("created_at").alias("created_at"))
@@ -72,12 +75,18 @@ def loyalty_view(
         .join(dim_branch.select(F.col("nombre_sede").alias("branch"), "nombre_sede"), "branch", "left")
         .select("tx_id", "nombre_sede")
     )
-    placed = visits.join(named, "tx_id", "left").select(
+    return visits.join(named, "tx_id", "left").select(
         branches.by_email_or(F.col("account_email"), F.col("nombre_sede"), vocab).alias("branch"),
         "card_last4",
         "created_at",
     )
-    return _monthly(placed)
+
+
+def loyalty_view(
+    tx: DataFrame, lines: DataFrame, dim_branch: DataFrame, vocab: Vocabulary
+) -> DataFrame:
+    """Loyalty by the payment's e-mail, else by the branch dimension through the lines."""
+    return _monthly(placed_visits(tx, lines, dim_branch, vocab))
 
 
 def newest(loyalty: DataFrame, n: int = 20) -> DataFrame:

@@ -34,15 +34,25 @@ def payment_mix_raw(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> DataF
     return _mix(tickets.join(payments, "tx_id"), media, vocab)
 
 
-def payment_mix_view(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Same with any-case status, all card spellings, blank keys removed, lines without a
-    description kept, and 0 for an empty denominator."""
+def _view_tickets(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> tuple[DataFrame, Column]:
     payments = one_payment_per_ticket(present(grain.settled_any_case(tx, vocab), "tx_id"))
     described = F.coalesce("description", F.lit(""))
     tickets = _ticket_sales(lines, contains_none(described, vocab.tip_words))
     run_as = F.upper(F.coalesce("run_as", F.lit("")))
     media = _media(run_as.isin(*vocab.debit_words), run_as.isin(*vocab.credit_words), vocab)
-    mix = _mix(tickets.join(payments, "tx_id"), media, vocab)
+    return tickets.join(payments, "tx_id"), media
+
+
+def media_tickets(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(tx_id, medio_de_pago, gross, fee): one row per paid ticket, as the view counts them."""
+    tickets, media = _view_tickets(tx, lines, vocab)
+    return tickets.select("tx_id", media.alias("medio_de_pago"), "gross", or_zero(F.col("fee")).alias("fee"))
+
+
+def payment_mix_view(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Same with any-case status, all card spellings, blank keys removed, lines without a
+    description kept, and 0 for an empty denominator."""
+    mix = _mix(*_view_tickets(tx, lines, vocab), vocab)
     rates = (
         "participacion_transacciones_pct", "ventas_totales", "participacion_ventas_pct", "comision_total",
         "tasa_comision_pct",

@@ -68,6 +68,14 @@ def products_share_raw(lines: DataFrame, vocab: Vocabulary, k: int = 50) -> Data
     ).orderBy(F.desc_nulls_first("ventas_brutas"), "producto")
 
 
+def star_products(fact_lines: DataFrame, dim_product: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Positive lines with their product, which is NULL for tips, manual amounts and lines without one."""
+    wanted = dim_product.filter(
+        contains_none(F.col("descripcion"), (*vocab.tip_words, vocab.manual_amount))
+    ).select("producto_sk", F.col("descripcion").alias("producto"), "categoria")
+    return fact_lines.filter(F.col("precio_bruto") > 0).join(wanted, "producto_sk", "left")
+
+
 def products_share_star(
     fact_lines: DataFrame, dim_product: DataFrame, vocab: Vocabulary, k: int = 100
 ) -> DataFrame:

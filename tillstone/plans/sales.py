@@ -49,6 +49,17 @@ def overview_tickets(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> Data
     return _overview_columns(rolled, F.col("fee"))
 
 
+def star_tickets(fact_lines: DataFrame, dim_branch: DataFrame, fact_tx: DataFrame) -> DataFrame:
+    """(id_transaccion, sede_sk, nombre_sede, line_n, gross, net, comision): one row per ticket and branch."""
+    reduced = fact_lines.groupBy("id_transaccion", "sede_sk").agg(
+        F.count("*").alias("line_n"),
+        F.sum("precio_bruto").alias("gross"),
+        F.sum("precio_neto").alias("net"),
+    )
+    named = reduced.join(dim_branch.select("sede_sk", "nombre_sede"), "sede_sk")
+    return named.join(fact_tx.select("id_transaccion", "comision"), "id_transaccion", "left")
+
+
 def overview_star(
     fact_lines: DataFrame, dim_branch: DataFrame, fact_tx: DataFrame, vocab: Vocabulary
 ) -> DataFrame:
@@ -58,13 +69,7 @@ def overview_star(
     once per ticket as in ``overview_tickets``. Lines are reduced to (ticket, branch)
     first and the fee multiplied by their number, which gives the same sum.
     """
-    reduced = fact_lines.groupBy("id_transaccion", "sede_sk").agg(
-        F.count("*").alias("line_n"),
-        F.sum("precio_bruto").alias("gross"),
-        F.sum("precio_neto").alias("net"),
-    )
-    named = reduced.join(dim_branch.select("sede_sk", "nombre_sede"), "sede_sk")
-    priced = named.join(fact_tx.select("id_transaccion", "comision"), "id_transaccion", "left")
+    priced = star_tickets(fact_lines, dim_branch, fact_tx)
     flagged = grain.first_branch_flag(
         priced.withColumnRenamed("id_transaccion", "tx_id"), branch="sede_sk"
     )
@@ -158,9 +163,8 @@ def tips_raw(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> DataFrame:
     return _tip_columns(parts, F.col("tips"))
 
 
-def tips_view(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Tips per branch, the branch taken from the tip line, else from the payment's
-    e-mail. A ticket paid under two e-mails counts its tips under both."""
+def tip_tickets(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(tx_id, sede_unificada, tip, tip_n): one row per paid ticket and branch."""
     norm = F.col("branch_norm")
     tips = grain.per_ticket_branch(
         present(lines, "tx_id").filter(F.lower(F.trim("description")) == vocab.tip),
@@ -172,11 +176,17 @@ def tips_view(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> DataFrame:
         .select("tx_id", branches.by_email(F.col("account_email"), vocab).alias("email_branch"))
         .distinct()
     )
-    per_ticket = (
+    return (
         paid.join(tips, "tx_id", "left")
         .groupBy("tx_id", F.coalesce("tip_branch", "email_branch").alias("sede_unificada"))
         .agg(F.sum("tip").alias("tip"), F.count("tip_branch").alias("tip_n"))
     )
+
+
+def tips_view(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Tips per branch, the branch taken from the tip line, else from the payment's
+    e-mail. A ticket paid under two e-mails counts its tips under both."""
+    per_ticket = tip_tickets(tx, lines, vocab)
     parts = per_ticket.groupBy("sede_unificada").agg(
         F.count("*").alias("n"),
         F.count(F.when(F.col("tip_n") > 0, 1)).alias("n_tip"),
@@ -185,15 +195,8 @@ def tips_view(tx: DataFrame, lines: DataFrame, vocab: Vocabulary) -> DataFrame:
     return _tip_columns(parts, or_zero(F.col("tips"), "decimal(28,4)"))
 
 
-def purchase_behavior(
-    tx: DataFrame, lines: DataFrame, vocab: Vocabulary, keep_unnamed: bool = False
-) -> DataFrame:
-    """Single-item against multi-item tickets per branch.
-
-    Lines are joined to every successful payment row, so a ticket paid in two rows counts
-    each of its items twice; the number of payment rows enters as a factor.
-    ``keep_unnamed`` keeps lines without a description (the view variant).
-    """
+def basket_tickets(tx: DataFrame, lines: DataFrame, vocab: Vocabulary, keep_unnamed: bool = False) -> DataFrame:
+    """(sede_unificada, items, amount): one row per successfully paid ticket and branch."""
     description = F.col("description")
     name = F.lower(F.coalesce(description, F.lit("")) if keep_unnamed else description)
     reduced = grain.per_ticket_branch(
@@ -206,12 +209,24 @@ def purchase_behavior(
         grain.settled(tx, vocab, with_paid=False).groupBy("tx_id").agg(F.count("*").alias("pay_n"))
     )
     pay_n = F.col("pay_n")
-    tickets = reduced.join(payments, "tx_id").select(
+    return reduced.join(payments, "tx_id").select(
         F.col("branch").alias("sede_unificada"),
         (F.col("line_n") * pay_n).alias("items"),
         # A count has up to 19 digits; the product keeps the four decimals.
         (F.col("gross") * pay_n.cast("decimal(19,0)")).cast("decimal(38,4)").alias("amount"),
     )
+
+
+def purchase_behavior(
+    tx: DataFrame, lines: DataFrame, vocab: Vocabulary, keep_unnamed: bool = False
+) -> DataFrame:
+    """Single-item against multi-item tickets per branch.
+
+    Lines are joined to every successful payment row, so a ticket paid in two rows counts
+    each of its items twice; the number of payment rows enters as a factor.
+    ``keep_unnamed`` keeps lines without a description (the view variant).
+    """
+    tickets = basket_tickets(tx, lines, vocab, keep_unnamed)
     alone, together = F.col("items") == 1, F.col("items") > 1
     parts = tickets.groupBy("sede_unificada").agg(
         F.count("*").alias("n"),

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Collection
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstone.operators.load import upsert_update
-from tillstone.plans import hours, loyalty, payments, products, sales
+from tillstone.plans import guard, hours, loyalty, payments, products, sales
 from tillstone.plans.agentlog import EMPTY_RESULT, FORBIDDEN, READ_STARTS
+from tillstone.plans.guard import NotReadOnly
+from tillstone.plans.metrics import DEFINITIONS
 from tillstone.plans.star import Star
 from tillstone.sources.tables import capped_json_rows
 from tillstone.vocab import Vocabulary
@@ -156,8 +158,11 @@ GRAIN_KEYS = {
 
 
 def metric_dictionary(spark: SparkSession, owner: str = "BI") -> DataFrame:
-    """The dictionary as a table with one row per metric."""
-    rows = [(name, text, definition, grain, owner) for name, grain, _, _, text, definition in METRICS]
+    """The dictionary as a table with one row per metric; definitions are those that ``metrics`` computes from."""
+    rows = [
+        (name, text, DEFINITIONS[name].expression if name in DEFINITIONS else definition, grain, owner)
+        for name, grain, _, _, text, definition in METRICS
+    ]
     return spark.createDataFrame(rows, METRIC_COLUMNS)
 
 
@@ -267,10 +272,6 @@ def kpi(spark: SparkSession, name: str, vocab: Vocabulary) -> DataFrame:
 # --- ad-hoc SQL --------------------------------------------------------------------------
 
 
-class NotReadOnly(ValueError):
-    """The statement is not a plain read."""
-
-
 def check_readonly(text: str) -> None:
     """Accept statements that start with SELECT or WITH and hold no writing keyword as a
     whole word. (The log classifier matches substrings; here ``created_at`` may be read.)
@@ -286,9 +287,20 @@ def check_readonly(text: str) -> None:
         raise NotReadOnly("only published views may be read, not files")
 
 
-def readonly_sql(spark: SparkSession, text: str, cap: int = 50) -> DataFrame:
-    """Run a checked statement over the published views, at most ``cap`` rows."""
+def published_names() -> set[str]:
+    """Names that a read may use: the temporary views of ``publish`` and the catalog's qualified ones."""
+    tables = {"tx", "lines", *(f.name for f in fields(Star))}
+    return {*tables, *VIEWS, *RENAMED_VIEWS, *(f"semantic.{name}" for name in VIEWS), *(f"bi.{name}" for name in RENAMED_VIEWS)}
+
+
+def readonly_sql(spark: SparkSession, text: str, cap: int = 50, published: Collection[str] | None = None) -> DataFrame:
+    """Run a checked statement over the published views, at most ``cap`` rows.
+
+    Its relations and functions are taken from the statement as parsed, so only ``published`` names
+    (by default those of ``published_names``) can be read.
+    """
     check_readonly(text)
+    guard.check(spark, text, published_names() if published is None else published)
     return spark.sql(text).limit(cap)
 
 
