@@ -39,7 +39,7 @@ Tables = TypeVar("Tables")
 _stores: dict[tuple[str, str, str], object] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, part: str, store: Callable[[str], Tables]) -> Tables:
+def once(spark: SparkSession, sf_dir: str, part: str, store: Callable[[str], Tables]) -> Tables:
     """Tables derived from ``sf_dir``, stored on first use in this application.
 
     Queries read stored typed tables, as dashboards read a loaded database. The folder is
@@ -56,7 +56,7 @@ def clean_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     def store(out: str) -> tuple[DataFrame, DataFrame]:
         return store_clean(spark, testshop.raw_lines(spark, sf_dir), testshop.raw_tx(spark, sf_dir), out)
 
-    return _once(spark, sf_dir, "clean", store)
+    return once(spark, sf_dir, "clean", store)
 
 
 def stored_star(spark: SparkSession, sf_dir: str) -> Star:
@@ -64,7 +64,7 @@ def stored_star(spark: SparkSession, sf_dir: str) -> Star:
     def store(out: str) -> Star:
         return build_star(spark, *clean_tables(spark, sf_dir), out, VOCAB)
 
-    return _once(spark, sf_dir, "star", store)
+    return once(spark, sf_dir, "star", store)
 
 
 def two_exports(spark: SparkSession, sf_dir: str) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
@@ -82,7 +82,7 @@ def refreshed_star(spark: SparkSession, sf_dir: str) -> Star:
             refresh.load_increment(spark, lines, tx, out, VOCAB)
         return refresh.stored_star(spark, out)
 
-    return _once(spark, sf_dir, "refreshed", store)
+    return once(spark, sf_dir, "refreshed", store)
 
 
 def of_lines(build: Callable[[DataFrame], DataFrame]) -> Query:

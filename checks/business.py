@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from checks.base import (
-    LINES, STAR, TX, VOCAB, account_case, alias_case, broad_case, clean_tables, money, of_both, of_lines, of_star,
-    pct, per_quantity, per_unit, plain, stored_star, with_,
+    LINES, STAR, TX, VOCAB, account_case, alias_case, broad_case, clean_tables, money, of_both, of_lines, of_star, once,
+    pct, per_quantity, per_unit, plain, stored_star, two_exports, with_,
 )
 from checks.etl import spanish_export
 from tillstone.operators.cleanse import cleanse_lines
-from tillstone.plans import hours, loyalty, payments, products, sales
+from tillstone.plans import hours, loyalty, payments, products, sales, tickets
 from tillstone.sources.tables import LINE_HEADERS, rename_headers
 
 
@@ -25,6 +25,17 @@ def _top5_of_export(spark: SparkSession, sf: str) -> DataFrame:
     return plain(products.top_products(lines, VOCAB))
 
 
+def _bitmaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Bitmaps of two overlapping exports, stored once."""
+    return once(spark, sf, "tickets", lambda out: _filled(spark, sf, out))
+
+
+def _filled(spark: SparkSession, sf: str, out: str) -> DataFrame:
+    for lines, _ in two_exports(spark, sf):
+        tickets.add(spark, lines, out, VOCAB)
+    return tickets.read(spark, out)
+
+
 QUERIES = {
     "q01_overview_tickets": of_both(lambda t, l: sales.overview_tickets(t, l, VOCAB)),
     "q02_overview_star": of_star(lambda s: sales.overview_star(s.fact_lines, s.dim_branch, s.fact_tx, VOCAB)),
@@ -33,6 +44,8 @@ QUERIES = {
     "q05_tips_view": of_both(lambda t, l: sales.tips_view(t, l, VOCAB)),
     "q06_peak_hours_raw": of_lines(lambda l: hours.peak_hours_raw(l, VOCAB)),
     "q07_peak_hours_view": of_lines(lambda l: hours.peak_hours_view(l, VOCAB)),
+    "q07_peak_hours_bitmaps": lambda spark, sf: tickets.peak_hours(_bitmaps(spark, sf), VOCAB),
+    "q07_tickets_by_month": lambda spark, sf: tickets.distinct_tickets(_bitmaps(spark, sf), ["mes_key", "sede"]),
     "q08_loyalty_raw": of_both(lambda t, l: loyalty.loyalty_raw(t, l, VOCAB)),
     "q09_loyalty_view": lambda spark, sf: plain(_loyalty_view(spark, sf)),
     "q09_loyalty_newest": lambda spark, sf: plain(loyalty.newest(_loyalty_view(spark, sf))),
@@ -253,6 +266,11 @@ SELECT CAST(EXTRACT(HOUR FROM sold_at) AS INTEGER) AS hora_del_dia,
        {_distinct_when("branch_norm ILIKE '%west%hall%'", 'sede_west_hall')},
        COUNT(DISTINCT tx_id) AS total_transacciones
 FROM lines WHERE {_NO_MANUAL} AND sold_at IS NOT NULL AND gross > 0 GROUP BY 1""",
+    "q07_tickets_by_month": with_(LINES) + f"""
+SELECT CAST(EXTRACT(YEAR FROM sold_at) * 100 + EXTRACT(MONTH FROM sold_at) AS INTEGER) AS mes_key, sede, COUNT(DISTINCT tx_id) AS tickets
+FROM lines JOIN (VALUES ('total', '%'), ('north', '%north%'), ('south', '%south%'), ('east', '%east%'), ('west_hall', '%west%hall%')) b(sede, fits)
+  ON sede = 'total' OR branch_norm ILIKE fits
+WHERE {_NO_MANUAL} AND sold_at IS NOT NULL AND gross > 0 AND tx_id IS NOT NULL GROUP BY 1, 2""",
     "q08_loyalty_raw": with_(
         LINES, TX,
         f"""visits AS (SELECT {alias_case()} AS nombre_sede, card_last4 AS card, CAST(created_at AS DATE) AS day
@@ -315,4 +333,4 @@ FROM grouped CROSS JOIN totals t""",
     "q21_busy_hours_view": _busy("tx_id IS NOT NULL AND tx_id <> ''"),
     "e19_dates_to_iso": _busy("TRUE", "strftime(sold_at, '%Y-%m-%d')"),
 }
-
+ORACLE["q07_peak_hours_bitmaps"] = ORACLE["q07_peak_hours_view"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import and_
 
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 
 from checks.base import (
     DIMS, FACT_LINES, FACT_TX, LINES, LINES_RAW, STAR, TX, TX_RAW, VOCAB, cents, clean_tables, money, of_both, of_lines,
-    of_star, of_table, of_tx, plain, read, refreshed_star, sk, stored_star, with_,
+    of_star, of_table, of_tx, plain, read, refreshed_star, sk, stored_star, two_exports, with_,
 )
-from tillstone.operators import load, profile
+from tillstone.operators import load, parts, profile
 from tillstone.operators.cleanse import cleanse_lines, present
 from tillstone.plans import star
 from tillstone.session import scratch
@@ -49,6 +50,28 @@ def _prices(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return stored, sold.withColumn("source", F.lit("sold"))
 
 
+def _dense_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Products numbered in two loads; the second leaves the keys of the first alone."""
+    columns = ["description", "tax_type"]
+    first, second = (e[0].select(*columns) for e in two_exports(spark, sf))
+    none = spark.createDataFrame([], "description string, tax_type string, sk bigint")
+    stored, path = load.dense_keys(none, first.where("description LIKE '%a%'"), columns, "sk"), scratch(spark, "dense")
+    stored.write.parquet(path)
+    stored = spark.read.schema(stored.schema).parquet(path)
+    return stored.unionByName(load.dense_keys(stored, first.unionByName(second), columns, "sk"))
+
+
+def _upsert_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """List prices of small parts are stored in parts; prices of sold ones come in twice, cheap sales last."""
+    stored, sold = _prices(spark, sf)
+    small = read(spark, sf, "part").where("p_size <= 25").select("p_partkey")
+    name = f"tillstone_prices_{uuid.uuid4().hex}"
+    table = parts.create(stored.join(small, "p_partkey", "left_semi"), name, "p_partkey", parts=32, buckets=4)
+    parts.upsert(spark, sold, table)
+    parts.upsert(spark, sold.where("price < 50000").withColumn("source", F.lit("cheap")), table)
+    return plain(parts.read(spark, table))
+
+
 def _insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
     """Payment dates are stored; sale dates come in."""
     def days(column: str, source: str):
@@ -144,8 +167,10 @@ QUERIES = {
     "e11_surrogate_key": of_table("part", lambda p: p.select(
         "p_partkey", load.surrogate_key(F.col("p_name"), F.col("p_brand"), F.nullif("p_type", F.lit("SMALL"))).alias("sk")
     )),
+    "e11_dense_keys": _dense_keys,
     "e12_insert_ignore": _insert_ignore,
     "e13_upsert_update": lambda spark, sf: plain(load.upsert_update(*_prices(spark, sf), ["p_partkey"])),
+    "e13_upsert_parts": _upsert_parts,
     "e14_full_reload": _full_reload,
     "e15_row_count_report": _counts,
     "e15_unmatched_counts": of_star(
@@ -251,6 +276,12 @@ SELECT id_transaccion, fecha_key, sede_sk, tarjeta_sk, correo_electronico, codig
        {_TX_FACT_MONEY}, referencia FROM fact_tx""",
     "e11_surrogate_key": f"""
 SELECT p_partkey, {sk('p_name', 'p_brand', "NULLIF(p_type, 'SMALL')")} AS sk FROM part""",
+    "e11_dense_keys": with_(LINES, f"""p AS (
+  SELECT description, tax_type, {sk('description', 'tax_type')} % {load.KEY_RANGES} AS r,
+         max(CASE WHEN sold_at < TIMESTAMP '1996-06-01' AND line_id % 50 <> 0 AND description LIKE '%a%' THEN 1 ELSE 0 END) AS early
+  FROM lines WHERE sold_at IS NOT NULL OR line_id % 50 = 0 GROUP BY 1, 2, 3)""") + """
+SELECT description, tax_type,
+       row_number() OVER (ORDER BY early DESC, r, description NULLS FIRST, tax_type NULLS FIRST) AS sk FROM p""",
     "e12_insert_ignore": with_(LINES, TX) + """
 SELECT day, MAX(source) AS source
 FROM (SELECT CAST(created_at AS DATE) AS day, 'tx' AS source FROM tx
@@ -261,6 +292,12 @@ SELECT p_partkey, CAST(COALESCE(s.price, CAST(p_retailprice AS DECIMAL(12,2))) A
        CASE WHEN s.price IS NULL THEN 'list' ELSE 'sold' END AS source
 FROM part LEFT JOIN (SELECT l_partkey, MAX(CAST(l_extendedprice AS DECIMAL(12,2))) AS price
                      FROM lineitem GROUP BY 1) s ON l_partkey = p_partkey""",
+    "e13_upsert_parts": """
+SELECT p_partkey, CAST(COALESCE(s.price, CAST(p_retailprice AS DECIMAL(12,2))) AS DOUBLE) AS price,
+       CASE WHEN s.price IS NULL THEN 'list' WHEN s.price < 50000 THEN 'cheap' ELSE 'sold' END AS source
+FROM part LEFT JOIN (SELECT l_partkey, MAX(CAST(l_extendedprice AS DECIMAL(12,2))) AS price
+                     FROM lineitem GROUP BY 1) s ON l_partkey = p_partkey
+WHERE p_size <= 25 OR s.price IS NOT NULL""",
     "e14_full_reload": with_(LINES, TX, DIMS, FACT_LINES) + f"""
 SELECT id_transaccion, linea_ticket, fecha_key, producto_sk, sede_sk, pago_sk, {_FACT_MONEY} FROM fact_lines""",
     "e15_row_count_report": with_(*STAR) + _COUNTS,

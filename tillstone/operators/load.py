@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillstone.operators.lookup import with_single_row
+
+#: Ranges that dense keys are dealt from; a range is numbered by one task.
+KEY_RANGES = 4096
+
 
 def surrogate_key(*natural: Column) -> Column:
     """60-bit integer key from the natural key, NULL-safe.
@@ -46,6 +51,28 @@ def insert_ignore(target: DataFrame, incoming: DataFrame, keys: Sequence[str]) -
     return target.unionByName(new_rows(target, incoming, keys))
 
 
+def _key_range(keys: Sequence[str], ranges: int) -> Column:
+    """The range of a row's key: the first digits of its surrogate key."""
+    return (surrogate_key(*[F.col(k) for k in keys]) % ranges).cast("int")
+
+
+def dense_keys(target: DataFrame, incoming: DataFrame, keys: Sequence[str], alias: str, ranges: int = KEY_RANGES) -> DataFrame:
+    """Incoming rows with a new key, one per key, numbered on from the target's greatest ``alias`` without gaps.
+
+    Keys fall into hashed ranges. A range is numbered in order of the key by one task, and begins where the
+    ranges before it, counted in a first pass, end; so there is no global sort, and the numbers do not
+    depend on partitions. Stored keys stay as they are, whatever is loaded later.
+    """
+    fresh = new_rows(target.select(*keys), incoming.select(*keys).distinct(), keys).withColumn("_range", _key_range(keys, ranges))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = fresh.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    last = target.agg(F.coalesce(F.max(alias), F.lit(0)).cast("bigint").alias("_last"))
+    within = Window.partitionBy("_range").orderBy(*[F.asc_nulls_first(k) for k in keys])
+    placed = with_single_row(fresh.join(offsets, "_range"), last)
+    return placed.select(*keys, (F.col("_last") + F.col("_before") + F.row_number().over(within)).cast("bigint").alias(alias))
+
+
 def upsert_update(target: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Incoming rows replace target rows of the same key; other target rows stay.
 
