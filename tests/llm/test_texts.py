@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -47,10 +48,57 @@ def test_a_bad_host_is_strict_and_clean_documents_stay(spark):
     assert kept[2001]
 
 
+def planted(spark, bad_rate, seed=1):
+    """Twenty hosts that fail one rule in twelve, as in the given tables, the first of them more often."""
+    rnd, rows = random.Random(seed), []
+    for i in range(10_000):
+        host = i % 20
+        fails = rnd.random() < (bad_rate if host == 0 else 1 / 12)
+        rows.append((i, frames.text(rnd.randrange(40), 60) + (" ###" * 20 if fails else ""), f"src{host}", fails))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, fails boolean")
+
+
+@pytest.mark.parametrize("bad_rate", [1 / 12, 0.1, 0.25, 0.6])
+def test_a_bad_host_stands_out_and_chance_does_not(spark, bad_rate):
+    docs = planted(spark, bad_rate)
+    lost = {r["source"] for r in hosts.judged(docs).where("not kept").join(docs, "doc_id").select("source", "fails").collect()}
+    assert lost == ({"src0"} if bad_rate >= 0.25 else set())
+    kept = hosts.judged(docs).where("kept").join(docs, "doc_id")
+    assert kept.where("not fails").count() == docs.where("not fails").count()  # what passes every rule stays
+
+
+def test_the_prior_leaves_out_what_chance_spreads(spark):
+    same = hosts.host_rates(hosts.with_failures(hosts.measures(planted(spark, 1 / 12)))).collect()
+    assert max(abs(r["rate"] - r["common"]) for r in same) < 0.01
+    apart = {r["host"]: r for r in hosts.host_rates(hosts.with_failures(hosts.measures(planted(spark, 0.6)))).collect()}
+    assert abs(apart["src0"]["rate"] - apart["src0"]["bad"] / apart["src0"]["n"]) < 0.01
+
+
 # --- language ID -------------------------------------------------------------------------
 
+def grams_of(word):
+    """Letters, pairs and triples of the runs of letters, with marks around each run."""
+    out = []
+    for run in re.findall(r"[^\W\d_]+", word):
+        if any(c.isalpha() for c in run):
+            marked = f"_{run}_"
+            out += [*run, *(marked[i:i + n] for n in (2, 3) for i in range(len(marked) - n + 1))]
+    return out
+
+
+def test_packed_grams():
+    rnd = random.Random(6)
+    letters = "aBz éÉñß²³½ªΣσςﬁİ1_9-.日本ꙮ𝒜😀\n\t\u00a0_"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 80))) for _ in range(300)] + ["", "ΑΣ", "x" * 500, "²³", "İi"]
+    keys, sizes = langid.grams([t.encode() for t in texts])
+    parts = np.split(keys, np.cumsum(sizes)[:-1])
+    for text, part in zip(texts, parts):
+        assert [langid.unpacked(k) for k in part.tolist()] == sorted(g for w in text.lower().split() for g in grams_of(w))
+        assert [langid.packed(langid.unpacked(k)) for k in part.tolist()] == part.tolist()
+
+
 def profile_brute(texts, size):
-    counts = collections.Counter(g for t in texts for w in (t or "").split() for g in langid.grams_of(w.lower()))
+    counts = collections.Counter(g for t in texts for w in (t or "").split() for g in grams_of(w.lower()))
     return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]]
 
 

@@ -1,11 +1,13 @@
 """Host-level quality rules.
 
 Every document is measured against the rules. The rate of failing documents of a host (the
-``source`` column) is shrunk towards the rate of all hosts with a beta prior whose strength
-is fitted to the spread between hosts, so a host of two documents is not judged by two
-documents. The verdict comes back to documents: on a host whose shrunk rate is above
-``max_rate`` a document must pass every rule, elsewhere only the base rules. A document
-that passes all rules is kept wherever it is.
+``source`` column) is shrunk towards the rate of all hosts with a beta prior. The prior is
+fitted to how far hosts spread beyond what chance alone spreads them, so where hosts do not differ every
+rate is the common one, and a host of two documents is not judged by two documents. The
+verdict comes back to documents: on a bad host a document must pass every rule, elsewhere only
+the base rules. A host is bad if its rate, less ``DOUBTS`` standard deviations of what the prior and its
+documents leave open, is above ``MARGIN`` times the common rate. A document that passes all rules is
+kept wherever it is.
 
 Nulls: a null text has no words (and fails as too short); a null source is a host of its own.
 Rows are judged one by one, repeated ids included. An empty table gives no rows.
@@ -27,7 +29,7 @@ MAX_REPEAT_PCT = 30
 MAX_SYMBOLS_PER_100_WORDS = 10
 MAX_DUP_LINE_PCT = 30
 MEAN_WORD_CHARS = (2, 14)
-MAX_RATE = 0.5
+MARGIN, DOUBTS = 1.5, 2.0
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -106,29 +108,36 @@ def with_failures(measured: DataFrame) -> DataFrame:
 
 
 def host_rates(failures: DataFrame) -> DataFrame:
-    """(host, n, bad, rate): the shrunk failure rate of every host, one row per host."""
+    """(host, n, bad, rate, least, common): of every host the shrunk failure rate and the rate that it has at least.
+
+    The prior's variance is the spread between hosts less the part that counting so few documents
+    makes, both weighted by documents.
+    """
     hosts = failures.groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("bad"))
     total = hosts.agg(
-        F.sum("n").alias("n"), F.sum("bad").alias("bad"),
+        F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n"), F.sum("bad").alias("bad"),
         F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("squares"),
     ).first()
     n = total["n"] or 0
     mean = total["bad"] / n if n else 0.0
-    spread = max((total["squares"] or 0.0) / n - mean * mean, 0.0) if n else 0.0
+    chance = (total["hosts"] - 1) / n * (mean * (1 - mean)) if n else 0.0
+    spread = total["squares"] / n - mean * mean - chance if n else 0.0
     # Moments of a beta distribution: variance = mean (1 - mean) / (strength + 1).
     strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6) if spread > 1e-12 else 1e6
-    return hosts.withColumn("rate", (F.col("bad") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength)))
+    rate = (F.col("bad") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
+    open_ = F.sqrt(F.col("rate") * (F.lit(1.0) - F.col("rate")) / (F.col("n") + F.lit(strength + 1)))
+    return hosts.withColumn("rate", rate).withColumn("least", F.col("rate") - F.lit(DOUBTS) * open_).withColumn("common", F.lit(mean))
 
 
-def judged(df: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+def judged(df: DataFrame, margin: float = MARGIN) -> DataFrame:
     """(doc_id, counts, base_failed, kept) of every document.
 
     Only documents that pass the base rules and fail another one depend on their host, so
     only they meet the hosts, spread over 16 salts since one host may hold a third of them.
     """
     failures = common.stored(with_failures(measures(df)), "measures")
-    strict = (host_rates(failures).where(F.col("rate") > max_rate)
+    strict = (host_rates(failures).where(F.col("least") > margin * F.col("common"))
               .select(F.coalesce("host", F.lit("")).alias("key"), F.col("host").isNull().alias("none"))
               .withColumn("salt", F.explode(F.array(*map(F.lit, range(16))))))
     in_doubt = F.col("failed") & ~F.col("base_failed")

@@ -39,13 +39,14 @@ f AS (
          OR word_chars < {low} * n_words OR word_chars > {high} * n_words AS failed FROM b),
 h AS (SELECT source, count(*) AS n, CAST(sum(CAST(failed AS INT)) AS BIGINT) AS bad FROM f GROUP BY source),
 a AS (
-  SELECT sum(bad) / sum(n) AS mean,
-         greatest(sum(bad * bad / n) / sum(n) - (sum(bad) / sum(n)) * (sum(bad) / sum(n)), 0) AS spread FROM h),
+  SELECT sum(bad) / sum(n) AS mean, sum(bad * bad / n) / sum(n) AS squares, (count(*) - 1) / sum(n) AS share FROM h),
+v AS (SELECT mean, squares - mean * mean - share * (mean * (1 - mean)) AS spread FROM a),
 s AS (
   SELECT mean, CASE WHEN spread > 1e-12 THEN least(greatest(mean * (1 - mean) / spread - 1, 1.0), 1e6) ELSE 1e6 END AS strength
-  FROM a),
+  FROM v),
+r AS (SELECT source, n, strength, mean, (bad + mean * strength) / (n + strength) AS rate FROM h, s),
 strict AS (
-  SELECT source FROM h, s WHERE (bad + mean * strength) / (n + strength) > {hosts.MAX_RATE})
+  SELECT source FROM r WHERE rate - {hosts.DOUBTS} * sqrt(rate * (1.0 - rate) / (n + (strength + 1))) > {hosts.MARGIN} * mean)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
