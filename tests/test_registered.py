@@ -21,7 +21,7 @@ def test_every_query_has_sql():
     assert own <= set(QUERIES) and own <= set(ORACLE) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", [n for module in (business, etl, logs) for n in module.QUERIES])
+@pytest.mark.parametrize("name", [n for module in (business, etl, logs, semantic, primitives) for n in module.QUERIES])
 def test_matches_sql(spark, oracle, name):
     assert differences(QUERIES[name](spark, SF), oracle, ORACLE[name]) == ""
 
