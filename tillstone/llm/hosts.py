@@ -34,7 +34,7 @@ SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 
 SCHEMA = (
-    "id long, host string, n_words long, word_chars long, n_symbols long, n_lines long, "
+    "id long, row_key long, host string, n_words long, word_chars long, n_symbols long, n_lines long, "
     "n_dup_lines long, n_repeat_words long"
 )
 
@@ -68,7 +68,7 @@ def repeated_words(numbers: np.ndarray, sizes: np.ndarray, window: int = WINDOW)
 
 
 def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row of counts per document over its whole text."""
+    """One row of counts per document over its whole text; ``row_key`` tells rows that share an id apart."""
     def work(batch: pa.RecordBatch) -> dict[str, object]:
         texts = common.texts_of(batch)
         split = [x.split() for x in texts]
@@ -78,6 +78,7 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
         chars = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         return {
             "id": batch.column("id"),
+            "row_key": batch.column("row_key"),
             "host": batch.column("host"),
             "n_words": sizes,
             "word_chars": chars - np.array([sum(map(x.count, (_SPACE[i:i + 1] for i in range(6)))) for x in texts], np.int64),
@@ -88,7 +89,7 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
         }
 
     rows = df.select(
-        F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"),
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col, host_col).alias("row_key"), F.col(host_col).cast("string").alias("host"),
         F.col(text_col).cast("string").alias("text"),
     )
     return common.map_batches(rows, work, SCHEMA)
@@ -131,7 +132,12 @@ def host_rates(failures: DataFrame) -> DataFrame:
 
 
 def judged(df: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """(doc_id, counts, base_failed, kept) of every document.
+    """(doc_id, counts, base_failed, kept) of every document."""
+    return verdicts(df, margin).drop("row_key")
+
+
+def verdicts(df: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """The same with ``row_key``, a hash of text and host.
 
     Only documents that pass the base rules and fail another one depend on their host, so
     only they meet the hosts, spread over 16 salts since one host may hold a third of them.
@@ -145,7 +151,7 @@ def judged(df: DataFrame, margin: float = MARGIN) -> DataFrame:
         "*", F.coalesce("host", F.lit("")).alias("key"), F.col("host").isNull().alias("none"),
         F.pmod(F.xxhash64("id", "n_words", "word_chars"), F.lit(16)).cast("int").alias("salt"))
     found = doubtful.join(strict.withColumn("hit", F.lit(True)), ["key", "none", "salt"], "left")
-    columns = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    columns = ["id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return (
         failures.where(~in_doubt).select(*columns, (~F.col("base_failed")).alias("kept"))
         .unionByName(found.select(*columns, F.col("hit").isNull().alias("kept")))
