@@ -10,7 +10,7 @@ import corpus_pipeline
 from tests.llm import frames
 from tests.llm.test_jaccard import brute
 from tests.llm.test_texts import measured
-from tillstone.llm import bpe
+from tillstone.llm import bpe, common
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -74,3 +74,39 @@ def test_entry_registers_every_operator():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
     assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def staged(spark, tmp_path, rows, benchmark=((1, "no such passage of words in any of the texts here"),)):
+    """What each stage but the last keeps of rows with columns that clash with the stages' own."""
+    schema = SCHEMA + ", _number long, _nth int, key string, id long"
+    docs = spark.createDataFrame([(*r, "en", "h", 1, i, i, "k", i) for i, r in enumerate(rows)], schema)
+    spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, str(tmp_path)), "staged")
+        assert docs.columns[:2] == ["doc_id", "text"] and len(docs.columns) == 9
+        out.append(sorted(((r["doc_id"], r["text"], r["_number"], r["_nth"]) for r in docs.collect()), key=str))
+    return out
+
+
+def test_rows_that_share_an_id(spark, tmp_path):
+    one, two, bad = frames.text(1, 60), frames.text(2, 60), "a b " * 40
+    rows = [(5, one), (5, two), (5, bad), (7, two), (8, one), (8, one), (None, one), (None, bad), (9, frames.text(3, 60))]
+    language, quality, near, leaks = staged(spark, tmp_path, rows)
+    assert sum(r[1] == bad for r in quality) == 0  # both bad rows go, and no other row of their ids
+    assert len(quality) == 7 and sum(r[0] is None for r in quality) == 1
+    # of one text each id has a row; the least id keeps it, and the null id stays
+    by_text = {t: [r[0] for r in near if r[1] == t] for t in (one, two, rows[8][1])}
+    assert sorted(map(str, by_text[one])) == ["5", "None"] or sorted(map(str, by_text[one])) == ["8", "None"]
+    assert by_text[two] in ([5], [7]) and by_text[rows[8][1]] == [9]
+    assert all(r[2] == r[3] and rows[r[2]][:2] == r[:2] for r in near)  # further columns are those of the row
+    assert leaks == near
+
+
+def test_no_language_and_empty_tables(spark, tmp_path):
+    nothing = spark.createDataFrame([(1, frames.text(1, 60), None, "h", 1)], SCHEMA)
+    assert corpus_pipeline.language(spark, nothing, "").count() == 0
+    (tmp_path / "a").mkdir()
+    assert staged(spark, tmp_path / "a", [(1, frames.text(1, 60)), (2, None), (3, "")], benchmark=[(1, None)])[-1][0][0] == 1
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        assert stage(spark, nothing.limit(0), "").count() == 0, name
