@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,54 +24,98 @@ from pyspark.sql import functions as F
 
 from tillstone.llm import common
 
-ORDERS = (1, 2, 3)
+#: N-grams have up to three letters, so that one fits into 63 bits.
 PROFILE = 400
 UNDETERMINED = "und"
 #: Below this score a text shares next to nothing with any profile.
 MIN_SCORE = 0.1
-#: Bytes of text at a time; the n-grams of its words take some hundred times as many.
+#: Bytes of text at a time; its n-grams take some thirty times as many.
 SLICE_BYTES = 1 << 20
+#: Different n-grams of a language up to which a task holds its counts before it sends them on.
+HELD = 300_000
+_BITS, _MARK = 21, 0x5F
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
-def grams_of(word: str) -> list[str]:
-    """The n-grams of the runs of letters of a lower-cased word."""
-    out = []
-    for run in _RUNS.findall(word):
-        if any(c.isalpha() for c in run):
-            marked = f"_{run}_"
-            out += run
-            out += [marked[i:i + n] for n in ORDERS[1:] for i in range(len(marked) - n + 1)]
-    return out
-
+@lru_cache(maxsize=1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points runs are made of, and which of those are letters, of which a run needs one."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    every = "".join(map(chr, points))
+    runs, alpha = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    at = np.array(points)
+    for found in _RUNS.finditer(every):
+        runs[at[found.start():found.end()]] = True
+    alpha[at] = np.fromiter(map(str.isalpha, every), bool, len(every))
+    return runs, alpha
 
-class Grams:
-    """Numbers for n-grams and the n-grams of words as such numbers, both let go at a bound."""
 
-    def __init__(self, limit: int = 300_000) -> None:
-        self.limit = limit
-        self.reset()
+def packed(gram: str) -> int:
+    """An n-gram as a number; numbers are in the order of the n-grams."""
+    return sum(ord(c) << _BITS * (2 - i) for i, c in enumerate(gram))
 
-    def reset(self) -> None:
-        self.names: list[str] = []
-        self._at: dict[str, int] = {}
-        self.cache = common.WordCache(lambda words: [self._of(w) for w in words], limit=300_000)
 
-    def _of(self, word: bytes) -> list[int]:
-        out = []
-        for gram in grams_of(word.decode("utf-8", "replace").lower()):
-            if (at := self._at.get(gram)) is None:
-                at = self._at[gram] = len(self.names)
-                self.names.append(gram)
-            out.append(at)
-        return out
+def unpacked(number: int) -> str:
+    points = (number >> 2 * _BITS, number >> _BITS & (1 << _BITS) - 1, number & (1 << _BITS) - 1)
+    return "".join(chr(c) for c in points if c)
 
-    def full(self) -> bool:
-        return len(self.names) > self.limit
 
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The packed n-grams of all texts, sorted within each text, and how many each text has.
 
-def _grams() -> Grams:
-    return common.only("n-grams", Grams)
+    They are the letters of each run and, with a mark before and after it, its pairs and triples.
+    """
+    lowered = [x.decode("utf-8", "replace").lower() for x in texts]
+    points = np.frombuffer("\n".join(lowered).encode("utf-32-le"), np.uint32)
+    runs, alpha = _letters()
+    inside = np.concatenate(([False], runs[points], [False]))
+    start, end = (np.flatnonzero(x) for x in (inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]))
+    known = np.concatenate(([0], np.cumsum(alpha[points])))
+    some = known[end] > known[start]
+    start, length = start[some], (end - start)[some]
+    own = np.searchsorted(np.cumsum([len(x) + 1 for x in lowered]), start, "right")
+    # Runs one after another, each between two marks.
+    begin = np.cumsum(length + 2) - (length + 2)
+    marked = np.full(int((length + 2).sum()) + 2, _MARK, np.int64)
+    letters = common.spans(length, begin + 1)
+    marked[letters] = points[common.spans(length, start)]
+    pairs, triples = common.spans(length + 1, begin), common.spans(length, begin)
+    first, second = marked << 2 * _BITS, marked << _BITS
+    # Each text's letters, pairs and triples lie together.
+    n_letters = np.bincount(own, length, len(texts)).astype(np.int64)
+    n_pairs = n_letters + np.bincount(own, minlength=len(texts))
+    sizes = 2 * n_letters + n_pairs
+    at = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.int64)
+    out[common.spans(n_letters, at)] = first[letters]
+    out[common.spans(n_pairs, at + n_letters)] = first[pairs] | second[pairs + 1]
+    out[common.spans(n_letters, at + n_letters + n_pairs)] = first[triples] | second[triples + 1] | marked[triples + 2]
+    for a, b in zip(at.tolist(), (at + sizes).tolist()):
+        out[a:b].sort()
+    return out, sizes
+
+
+def counted(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, n-gram, how often): the different n-grams of each text in order."""
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
+    first = np.flatnonzero(new)
+    return own[first], keys[first], np.diff(first, append=len(keys))
+
+
+class Counts:
+    """Counts of n-grams of one language, added up as they come."""
+
+    def __init__(self) -> None:
+        self.keys, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        keys, n = np.concatenate((self.keys, keys)), np.concatenate((self.n, n))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+        self.keys, self.n = keys[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
 def profiles(df: DataFrame, size: int = PROFILE, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
@@ -80,41 +125,33 @@ def profiles(df: DataFrame, size: int = PROFILE, text_col: str = "text", lang_co
     driver is ``size`` n-grams per language.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _grams()
-        counts: dict[str, np.ndarray] = {}
+        held: dict[str, Counts] = {}
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            for lang, values in counts.items():
-                some = np.flatnonzero(values)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(some), pa.string()), pa.array([own.names[i] for i in some.tolist()], pa.string()),
-                    pa.array(values[some], pa.int64())], ["lang", "gram", "n"])
-            counts.clear()
+        def rows(lang: str) -> pa.RecordBatch:
+            own = held.pop(lang)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(own.keys), pa.string()), pa.array(own.keys), pa.array(own.n)], ["lang", "gram", "n"])
 
         for batch in batches:
             for part in common.slices(batch, "text", SLICE_BYTES):
-                if own.full():
-                    yield from rows()
-                    own.reset()
-                split = [x.split() for x in common.texts_of(part)]
-                flat, sizes = own.cache.values([w for words in split for w in words])
-                ends = np.cumsum(common.per_text(sizes, [len(words) for words in split]))
-                for lang, a, b in zip(part.column("lang").to_pylist(), np.concatenate(([0], ends[:-1])), ends):
-                    more = np.bincount(flat[a:b], minlength=len(own.names))
-                    if (held := counts.get(lang)) is not None:
-                        more[:len(held)] += held
-                    counts[lang] = more
-        yield from rows()
+                own, keys, n = counted(*grams(common.texts_of(part)))
+                langs, of = np.unique(part.column("lang").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+                for k, lang in enumerate(langs.tolist()):
+                    chosen = of[own] == k
+                    held.setdefault(lang, Counts()).add(keys[chosen], n[chosen])
+                    if len(held[lang].keys) > HELD:
+                        yield rows(lang)
+        for lang in list(held):
+            yield rows(lang)
 
     rows = df.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counted = common.in_arrow(rows, run, "lang string, gram string, n long")
+    counts = common.in_arrow(rows, run, "lang string, gram long, n long")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = (counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    top = (counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
            .withColumn("place", F.row_number().over(order)).where(F.col("place") <= size))
     out: dict[str, list[str]] = {}
     for lang, gram, _, _ in sorted(top.collect(), key=lambda r: (r[0], r[3])):
-        out.setdefault(lang, []).append(gram)
+        out.setdefault(lang, []).append(unpacked(gram))
     return out
 
 
@@ -123,54 +160,30 @@ class Ranker:
 
     def __init__(self, learned: dict[str, list[str]], size: int = PROFILE) -> None:
         self.size, self.langs = size, sorted(learned)
-        self._places = [{g: i for i, g in enumerate(learned[x])} for x in self.langs]
-        self.grams = Grams()
-        self._reset()
-
-    def _reset(self) -> None:
-        self._known = 0
-        self._rank = np.full((len(self.langs), 1 << 12), self.size, np.int32)
-        self._order = np.zeros(0, np.int64)
-
-    def _extend(self) -> None:
-        names = self.grams.names
-        while self._rank.shape[1] < len(names):
-            self._rank = np.concatenate([self._rank, np.full_like(self._rank, self.size)], axis=1)
-        for at in range(self._known, len(names)):
-            for row, places in enumerate(self._places):
-                if (place := places.get(names[at])) is not None:
-                    self._rank[row, at] = place
-        if self._known < len(names):
-            self._order = np.empty(len(names), np.int64)
-            self._order[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-        self._known = len(names)
+        self._grams = np.unique(np.array([packed(g) for own in learned.values() for g in own], np.int64))
+        # A place for each language and n-gram, the last column for n-grams of none.
+        self._place = np.full((len(self.langs), len(self._grams) + 1), size, np.int64)
+        for row, lang in zip(self._place, self.langs):
+            row[np.searchsorted(self._grams, [packed(g) for g in learned[lang]])] = np.arange(len(learned[lang]))
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
-        if self.grams.full():
-            self.grams.reset()
-            self._reset()
-        split = [x.split() for x in texts]
-        flat, sizes = self.grams.cache.values([w for words in split for w in words])
-        self._extend()
-        ends = np.cumsum(common.per_text(sizes, [len(words) for words in split])).tolist()
-        langs, scores, start = [], [], 0
-        for end in ends:
-            if end == start or not self.langs:
-                langs.append(UNDETERMINED)
-                scores.append(0.0)
-            else:
-                counts = np.bincount(flat[start:end])
-                some = np.flatnonzero(counts)
-                if len(some) > self.size:  # all that may be among the first, ties included
-                    counted = counts[some]
-                    some = some[counted >= np.partition(counted, -self.size)[-self.size]]
-                top = some[np.lexsort((self._order[some], -counts[some]))][: self.size]
-                away = np.abs(self._rank[:, top] - np.arange(len(top))).sum(axis=1)
-                best = int(np.argmin(away))
-                langs.append(self.langs[best])
-                scores.append(1.0 - float(away[best]) / (self.size * len(top)))
-            start = end
-        return langs, scores
+        keys, sizes = grams(texts)
+        if not self.langs or not len(keys):
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        own, keys, n = counted(keys, sizes)
+        order = np.argsort((own << 32) - n, kind="stable")  # within a text by count, then as they were
+        begin = np.searchsorted(own, np.arange(len(texts)))
+        place = np.arange(len(own)) - begin[own]
+        first = order[place < self.size]
+        own, keys, place = own[first], keys[first], place[place < self.size]
+        at = np.minimum(np.searchsorted(self._grams, keys), max(len(self._grams) - 1, 0))
+        at[self._grams[at] != keys] = len(self._grams)
+        kept = np.bincount(own, minlength=len(texts))
+        away = np.stack([np.bincount(own, np.abs(row[at] - place), len(texts)) for row in self._place])
+        best = np.argmin(away, axis=0)
+        nearest = away[best, np.arange(len(texts))]
+        langs = [self.langs[k] if has else UNDETERMINED for k, has in zip(best.tolist(), (kept > 0).tolist())]
+        return langs, np.where(kept > 0, 1.0 - nearest / (self.size * np.maximum(kept, 1)), 0.0).tolist()
 
 
 def _ranker(learned: dict[str, list[str]], size: int) -> Ranker:
