@@ -39,6 +39,8 @@ _MAGIC = b"S8B1"
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """The width of each value."""
+    if not len(values) or int(values.max()) < 1 << 53:  # exact as doubles, whose exponent is the width
+        return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
     out = np.zeros(len(values), np.uint8)
     most, width = int(values.max(initial=0)), 0
     while most >> width:
@@ -47,8 +49,8 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _plan(bits: np.ndarray, group: int) -> tuple[list[int], np.ndarray]:
-    """Where words begin and the selector at every place, each word taking all it can."""
+def _plan(bits: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the word that begins at each place ends, and its selector, a word taking all it can."""
     n = len(bits)
     place = np.arange(n, dtype=np.int32)
     end = np.minimum((place // group + 1) * group, n)
@@ -62,34 +64,40 @@ def _plan(bits: np.ndarray, group: int) -> tuple[list[int], np.ndarray]:
                 continue  # the next selector holds every value too, and more of them
             selector[:], step[:] = at, count
             continue
-        bad = np.flatnonzero(bits > width).astype(np.int32)
-        gaps = np.diff(bad, prepend=np.int32(-1), append=np.int32(n))
-        long = np.flatnonzero(gaps > min(count, n))  # runs of values that all fit, of count or more
-        if not len(long):
-            continue
-        stops = np.append(bad, np.int32(n))[long]
-        inside = common.spans(gaps[long] - count, stops - gaps[long] + 1)
-        selector[inside], step[inside] = at, count
-    step = np.minimum(place + step, end).tolist()
-    begins, at = [], 0
-    while at < n:
-        begins.append(at)
-        at = step[at]
-    return begins, selector
+        # The next value too wide for this selector; a word fits where count values come before it.
+        wide = np.minimum.accumulate(np.where(bits > width, place, np.int32(n))[::-1])[::-1]
+        fits = wide - place >= count
+        if not fits.any():
+            break  # a run for a selector of more and narrower values would be one for this
+        np.copyto(selector, np.uint8(at), where=fits)
+        np.copyto(step, np.int32(count), where=fits)
+    return np.minimum(place + step, end), selector
+
+
+def _begins(after: np.ndarray, group: int) -> np.ndarray:
+    """Where words begin, found in all groups at the same time: ``after`` tells where each place's word ends."""
+    n = len(after)
+    at = np.arange(0, n, group)
+    ends = np.minimum(at + group, n)
+    steps = []
+    while (open_ := at < ends).any():
+        steps.append(at)
+        at = np.where(open_, after[np.minimum(at, n - 1)], ends)
+    steps = np.stack(steps, axis=1) if steps else np.empty((0, 0), np.int64)
+    return steps[steps < ends[:, None]]  # group after group
 
 
 def pack(values: np.ndarray, group: int = GROUP) -> bytes:
     """A block of unsigned 64-bit values; none give a block without words."""
     values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
-    firsts, selectors = [], []
+    after, selectors = np.empty(n, np.int64), np.empty(n, np.uint8)
     for start in range(0, n, 16 * group):  # groups are independent; so many fit in the cache
-        begins, selector = _plan(_bits(values[start:start + 16 * group]), group)
-        own = np.array(begins, np.int64)
-        firsts.append(own + start)
-        selectors.append(selector[own])
-    first = np.concatenate([np.empty(0, np.int64), *firsts])
-    chosen = np.concatenate([np.empty(0, np.uint8), *selectors])
+        own = slice(start, start + 16 * group)
+        stop, selectors[own] = _plan(_bits(values[own]), group)
+        after[own] = stop + start
+    first = _begins(after, group)
+    chosen = selectors[first]
     end = np.minimum((first // group + 1) * group, n)
     words = chosen.astype(np.uint64) << np.uint64(60)
     for mode, (count, width) in enumerate(MODES, 1):
