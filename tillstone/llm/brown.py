@@ -21,10 +21,11 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -317,53 +318,75 @@ def paths(df: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id",
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
         own = shipped.value
-        known, logs, emit = _tables(own)
-        out: dict[str, list] = {x.split()[0]: [] for x in PATHS.split(", ")[1:]}
+        known, logs, emit, member = _tables(own)
         split = [words_of(x) for x in common.texts_of(batch)]
-        for key, held, words in zip(batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), split):
-            places = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))  # -1: beyond the head
-            inside, later = places[places >= 0], np.flatnonzero(places < 0)
-            path = np.zeros(len(words) + 1, np.uint8)
-            path[:-1][places >= 0] = own["member"][inside]
-            path[later] = _LATER
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        words = list(chain.from_iterable(split))
+        places = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))  # -1: beyond the head
+        row = np.repeat(np.arange(len(split)), sizes)
+        path = np.zeros(len(words) + len(split), np.uint8)  # an end after the words of each row
+        path[np.arange(len(words)) + row] = member[places]
+        later = np.flatnonzero(places < 0)
+        beyond, waiting = np.bincount(row[later], minlength=len(split)), iter([words[i] for i in later.tolist()])
+        tails, at = [], []
+        for n in beyond.tolist():
             tail = common.Interned()
-            at = tail.numbers([words[i] for i in later.tolist()])
-            n = len(words) + 1
-            out["id"].append(key)
-            out["held_out"].append(held)
-            out["n_tokens"].append(n)
-            out["n_known"].append(len(inside) + (own["tokens"] > 0))
-            out["base_score"].append(float(logs[inside].sum()) + own["end"] - n * own["base"])
-            out["emission"].append(float(emit[inside].sum()))
-            out["path"].append(path.tobytes())
-            out["tail"].append([x.decode("utf-8", "replace") for x in tail])
-            out["tail_at"].append(at)
-        return {**out, "row": [0] * len(split)}
+            at.append(tail.numbers(list(islice(waiting, n))))
+            tails.append([x.decode("utf-8", "replace") for x in tail])
+        n_tokens = sizes + 1
+        return {
+            "id": batch.column("id"), "held_out": batch.column("held_out"), "n_tokens": n_tokens,
+            "n_known": sizes - beyond + (own["tokens"] > 0),
+            "base_score": np.bincount(row, logs[places], len(split)) + own["end"] - n_tokens * own["base"],
+            "emission": np.bincount(row, emit[places], len(split)),
+            "path": _binaries(path, n_tokens), "tail": tails, "tail_at": at, "row": np.zeros(len(split), np.int64),
+        }
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words beyond the head, all rows of a batch at a time."""
         for batch in batches:
-            known, base, emission, filled = [], [], [], []
-            columns = ("n_known", "base_score", "emission", "path", "tail", "tail_at", "found")
-            for n_known, base_score, emitted, path, tail, tail_at, found in zip(*(batch.column(c).to_pylist() for c in columns)):
-                path, n, member = np.frombuffer(path, np.uint8).copy(), np.zeros(len(tail)), np.ones(len(tail), np.int64)
-                for x in found or ():
-                    n[x["k"]], member[x["k"]] = x["n"], x["class"]
-                at = np.array(tail_at, np.int64)
-                path[path == _LATER] = member[at]
-                known.append(n_known + int(np.count_nonzero(n[at])))
-                base.append(base_score + float(np.log10(n[at] + 1).sum()))
-                emission.append(emitted + float(np.log10(n[at] + (member[at] == 1)).sum()))
-                filled.append(path.tobytes())
+            rows, sizes = np.arange(batch.num_rows), batch.column("n_tokens").to_numpy()
+            path = np.frombuffer(b"".join(batch.column("path").to_pylist()), np.uint8).copy()
+            tails = batch.column("n_tail").to_numpy()
+            begin = np.cumsum(tails) - tails
+            n, member = np.zeros(int(tails.sum())), np.ones(int(tails.sum()), np.int64)
+            found = batch.column("found")
+            own = np.repeat(rows, _list_sizes(found))
+            k, own_n, own_class = (x.to_numpy() for x in found.flatten().flatten())
+            at = begin[own] + k
+            n[at], member[at] = own_n, own_class
+            places = batch.column("tail_at")
+            own = np.repeat(rows, _list_sizes(places))
+            at = begin[own] + places.flatten().to_numpy()
+            path[path == _LATER] = member[at]
+
+            def summed(values: np.ndarray, own: np.ndarray = own) -> np.ndarray:
+                return np.bincount(own, values, len(rows))
+
             yield pa.RecordBatch.from_arrays([
-                *(batch.column(c) for c in ("id", "held_out", "n_tokens")), pa.array(known, pa.int64()),
-                pa.array(base, pa.float64()), pa.array(emission, pa.float64()), pa.array(filled, pa.binary()),
+                *(batch.column(c) for c in ("id", "held_out", "n_tokens")),
+                pa.array(batch.column("n_known").to_numpy() + summed(n[at] > 0).astype(np.int64)),
+                pa.array(batch.column("base_score").to_numpy() + summed(np.log10(n[at] + 1))),
+                pa.array(batch.column("emission").to_numpy() + summed(np.log10(n[at] + (member[at] == 1)))),
+                _binaries(path, sizes),
             ], [x.split()[0] for x in _FULL.split(", ")])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     begun = common.stored(common.map_batches(rows, work, PATHS).withColumn("row", F.monotonically_increasing_id()), "paths")
     words = begun.select("row", F.posexplode("tail").alias("k", "word"))
     found = words.join(model.others, "word").groupBy("row").agg(F.collect_list(F.struct("k", "n", "class")).alias("found"))
-    return common.stored(common.in_arrow(begun.join(found, "row", "left"), fill, _FULL), "paths")
+    narrow = begun.withColumn("n_tail", F.size("tail").cast("long")).drop("tail")
+    return common.stored(common.in_arrow(narrow.join(found, "row", "left"), fill, _FULL), "paths")
+
+
+def _binaries(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive runs of bytes as an Arrow array."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _list_sizes(lists: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
 
 
 def class_pairs(walked: DataFrame, classes: int) -> np.ndarray:
@@ -417,9 +440,11 @@ def score(df: DataFrame, held_out: Column, vocabulary: int = VOCABULARY, classes
     return common.in_arrow(walked, run, schema), model.tokens
 
 
-def _tables(own: dict) -> tuple[dict, np.ndarray, np.ndarray]:
+def _tables(own: dict) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    """The head's numbers and, by number, log counts, emissions and classes; the last entry stands for words beyond it."""
     return common.only(("classes", own["id"]), lambda: (
-        dict(zip(own["head"], range(len(own["head"])))), np.log10(own["n"] + 1), np.log10(own["n"] + (own["member"] == 1))))
+        dict(zip(own["head"], range(len(own["head"])))), np.append(np.log10(own["n"] + 1), 0),
+        np.append(np.log10(own["n"] + (own["member"] == 1)), 0), np.append(own["member"], _LATER).astype(np.uint8)))
 
 
 def scored(df: DataFrame) -> DataFrame:
