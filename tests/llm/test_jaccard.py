@@ -102,6 +102,37 @@ def test_linked_sets_share_a_signature_when_what_differs_comes_first():
         assert not lost
 
 
+def test_common_shingles_are_counted_exactly_and_come_last(spark):
+    line = "one line that very many of the documents have"
+    rows = [(i, f"{line} " + " ".join(f"u{i}x{k}" for k in range(12))) for i in range(80)] + [(100 + i, "the same text again and again") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    levels = jaccard.common_levels(df, 1000, 8)
+    of = lambda text: jaccard.common_class(levels, jaccard.shingle_sets([text.encode()])[0])
+    assert len(levels) == 1 << jaccard.SKETCH_BITS
+    assert of(line).tolist() == [2] * 5  # 80 sets are over twice 32
+    assert not of("the same text again and again").any()  # equal sets of a slice are one
+    assert np.count_nonzero(levels) == 5
+    flat, sizes = jaccard.shingle_sets([rows[0][1].encode(), rows[1][1].encode()])
+    sigs, owners = jaccard.signatures(flat, sizes, levels)
+    assert not set(sigs[owners == 0].tolist()) & set(sigs[owners == 1].tolist())
+
+
+def test_levels_of_cells():
+    values = np.array([5, 5, 5, 1 << 31, 1 << 31, 9], np.uint32)
+    times = np.array([20, 20, 30, 16, 16, 33])
+    got = jaccard.levels_of(values, times, 4)
+    assert got.tolist() == [2] + [0] * 15  # 70 and 33 times fall on the first cell, 32 is not more than COMMON
+    assert not jaccard.levels_of(values[:0], times[:0], 4).any()
+
+
+def test_most_lacking_is_what_linked_sets_can_lack():
+    for a in range(1, 80):
+        for partner in range(1, 110):
+            lacking = [a - s for b in range(partner, 110) for s in range(min(a, b) + 1) if jaccard.linked(s, a, b)]
+            if lacking:
+                assert jaccard.most_lacking(a, max(partner, -(-3 * a // 4))) == max(lacking)
+
+
 def test_a_text_contained_in_a_longer_one_is_linked(spark):
     rnd = random.Random(12)
     rows = []

@@ -1,18 +1,19 @@
 """N-gram Jaccard join by PartEnum signatures, and the components of its links.
 
 A document's set is its distinct five-word shingles; two link at a Jaccard similarity of 75
-hundredths or more, which bounds how many shingles of sets of given sizes may differ (the
-Hamming distance). The shingle domain is cut into partitions. Sets fall into size bands so
-that linked sets lie in equal or neighbouring bands; a set makes signatures for its own band and
-for the next one. For each, let d be the largest distance it may have there. Of its
-non-empty partitions the first d + q, in an order common to all sets, are taken and all
-subsets of q of them are signatures (q is 2 in bands of short sets, where few subsets arise,
-else 1). At most d partitions differ, so linked sets share q undamaged partitions, and those
-first in order are within the first d + q of either set: they share a signature.
-
-Partitions of shingles that very many documents have come last in the order, so that such
-shingles make signatures only for sets that have little else. How common a shingle is comes
-from a count sketch of fixed size over all documents; it affects the order alone, not results.
+hundredths or more, which bounds how many shingles of sets of given sizes may differ. Every
+shingle is a partition of the domain. Sets fall into size bands so that linked sets lie in equal
+or neighbouring bands; a set makes signatures for its own band, where it meets sets of that
+band and the one below, and for the next one, where it meets larger sets only. For each, let d be
+the most shingles of its own that a linked set there may lack. Of its shingles the first
+d + q, in an order common to all sets, are taken and all subsets of q of them are signatures (q is 2
+in bands of short sets, where few subsets arise, else 1). The q shared shingles that come first
+are within the first d + q of either set: linked sets share a signature.
+
+Shingles that over ``COMMON`` distinct sets have come last in the order, so that they make
+signatures only for sets that have little else. They are counted exactly, by Spark. Which they are
+is held in cells, a byte for every eight shingles of the corpus between 2^20 and 2^26 cells; where
+two fall on a cell the other comes late too. It affects the order alone, not results.
 
 Sets of the documents with a signature in common are compared exactly. In a group that shares
 one, all members meet a hub first; what the links so far have joined need not meet again, and
@@ -41,18 +42,19 @@ from tillstone.llm import common
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
-SKETCH_BITS = 20
-_CHUNK_BITS = 13
+#: A shingle of more sets than this comes late in the order.
+COMMON = 32
+#: Least and most bits of a shingle that say its cell.
+SKETCH_BITS, MOST_SKETCH_BITS = 20, 26
 _FILTER_BITS = 24
 #: Cells of the smallest sets.
 CELLS = 128
 SHORT_BITS = 40
 #: Bands with sets of PAIRS_FROM to PAIRS_TO shingles take subsets of two partitions.
 PAIRS_FROM, PAIRS_TO = 5, 34
-#: Below this size a band gives every shingle a partition of its own.
-SINGLES_BELOW = 100
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SHORT_MASK = (1 << SHORT_BITS) - 1
+_PAIRS_OF = [np.array(list(combinations(range(n), 2)), np.int64).reshape(-1, 2).T for n in range(PAIRS_TO + 1)]
 
 
 class _Hashes(dict):
@@ -118,12 +120,9 @@ def largest_distance(size: int | np.ndarray, partner: int | np.ndarray) -> int |
     return total - 2 * -(-NUMERATOR * total // (NUMERATOR + DENOMINATOR))
 
 
-def distance_up_to(size: int | np.ndarray, partner: int | np.ndarray) -> int | np.ndarray:
-    """How many elements a set may differ in from linked sets of up to ``partner`` elements.
-
-    ``largest_distance`` is less for some larger partners (2 for sets of 8 and 6, 1 for 8 and 9).
-    """
-    return (size + partner) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+def most_lacking(size: int | np.ndarray, partner: int | np.ndarray) -> int | np.ndarray:
+    """How many elements of a set linked sets of ``partner`` elements or more may lack."""
+    return size + -NUMERATOR * (size + partner) // (NUMERATOR + DENOMINATOR)
 
 
 def bands(largest: int) -> list[tuple[int, int]]:
@@ -136,52 +135,35 @@ def bands(largest: int) -> list[tuple[int, int]]:
 
 
 _BANDS = bands(1 << 40)
-_LOWS = np.array([low for low, _ in _BANDS], np.int64)
+_LOWS, _HIGHS = np.array(_BANDS, np.int64).T
 
 
-def common_class(sketch: np.ndarray | None, hashed: np.ndarray) -> np.ndarray:
-    """0 for most shingles, more for each doubling of how often one is met beyond the usual."""
-    if sketch is None:
-        return np.zeros(len(hashed), np.uint64)
-    usual = 4.0 * max(float(sketch.mean()), 4.0)
-    level = np.log2(np.maximum(sketch / usual, 1.0)).astype(np.uint64)
-    level[sketch > usual] += np.uint64(1)
-    return level[(hashed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+def common_class(levels: np.ndarray | None, hashed: np.ndarray) -> np.ndarray:
+    """0 for most shingles, more for each doubling of how many sets have one of the cell's."""
+    if levels is None:
+        return np.zeros(len(hashed), np.uint8)
+    return levels[(hashed >> np.uint64(65 - len(levels).bit_length())).astype(np.int64)]
 
 
-def signatures(flat: np.ndarray, sizes: np.ndarray, sketch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def signatures(flat: np.ndarray, sizes: np.ndarray, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(signature, place of its set) for the sets given one after another."""
-    band_of = np.searchsorted(_LOWS, sizes, "right") - 1
+    band_of = np.maximum(np.searchsorted(_LOWS, sizes, "right") - 1, 0)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    level = common_class(sketch, flat)
-    spread = common.mixed(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    order = np.lexsort((common.mixed(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), common_class(levels, flat), owner))
+    inner = common.mixed(flat[order])
+    rank = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     found_sigs, found_owners = [], []
     for up in (0, 1):
-        instance = np.maximum(band_of, 0) + up
-        high = np.array([_BANDS[i][1] for i in instance.tolist()], np.int64)
-        low = _LOWS[instance]
-        distance = distance_up_to(sizes, np.minimum(high, largest_partner(sizes)))
+        instance = band_of + up
+        low, high = _LOWS[instance], _HIGHS[instance]
+        least = low if up else -(-sizes * NUMERATOR // DENOMINATOR)
         pairs = (low >= PAIRS_FROM) & (high <= PAIRS_TO)
-        take = distance + np.where(pairs, 2, 1)
-        parts = np.where(high < SINGLES_BELOW, 0, high)
-        per = parts[owner].astype(np.uint64)
-        single = (per == 0) | (level > 0)
-        place = np.where(single, spread >> np.uint64(6), spread % np.maximum(per, np.uint64(1)))
-        order = np.lexsort((place, level, owner))
-        o, p, lv, h = owner[order], place[order], level[order], flat[order]
-        new = np.ones(len(o), bool)
-        new[1:] = (o[1:] != o[:-1]) | (p[1:] != p[:-1]) | (lv[1:] != lv[:-1])
-        begin = np.flatnonzero(new)
-        if not len(begin):
-            continue
-        with np.errstate(over="ignore"):
-            content = np.add.reduceat(common.mixed(h), begin)
-        part_owner = o[begin]
-        rank = np.arange(len(begin)) - np.searchsorted(part_owner, part_owner)
-        kept = rank < take[part_owner]
-        part_owner, content = part_owner[kept], content[kept]
-        salt = common.mixed((instance[part_owner] + 1).astype(np.uint64))
-        content = common.mixed(content ^ salt)
+        take = most_lacking(sizes, least) + np.where(pairs, 2, 1)
+        if up:
+            take[largest_partner(sizes) < low] = 0
+        kept = rank < take[owner]
+        part_owner, content = owner[kept], inner[kept]
+        content = common.mixed(content ^ common.mixed((instance[part_owner] + 1).astype(np.uint64)))
         ones = ~pairs[part_owner]
         found_sigs.append(content[ones])
         found_owners.append(part_owner[ones])
@@ -189,12 +171,10 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, sketch: np.ndarray | None =
         if len(two):
             edges = np.flatnonzero(np.diff(part_owner[two])) + 1
             for own in np.split(two, edges):
-                left, right = np.array(list(combinations(range(len(own)), 2)), np.int64).reshape(-1, 2).T
+                left, right = _PAIRS_OF[len(own)]
                 with np.errstate(over="ignore"):
-                    found_sigs.append(common.mixed(content[own[left]] + content[own[right]] * np.uint64(3)) if len(left) else content[own])
-                found_owners.append(np.full(len(left) if len(left) else len(own), part_owner[own[0]]))
-    if not found_sigs:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+                    found_sigs.append(common.mixed(content[own[left]] + content[own[right]] * np.uint64(3)))
+                found_owners.append(np.full(len(left), part_owner[own[0]]))
     return np.concatenate(found_sigs), np.concatenate(found_owners)
 
 
@@ -203,78 +183,99 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _measured(rows: DataFrame) -> DataFrame:
-    """(id, n, node, cells) of every row, and rows with a chunk of the tasks' count sketches.
+    """(id, n, node, cells) of every row.
 
     ``cells`` counts the shingles of a set by classes: the sum of the lesser counts of two sets
     is the most they can share.
     """
-    schema = "id long, n long, node long, cells binary, chunk int"
-    names = ["id", "n", "node", "cells", "chunk"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+    def work(batch: pa.RecordBatch) -> dict[str, object]:
+        flat, sizes = shingle_sets(common.texts_of(batch))
+        own = np.split(flat, np.cumsum(sizes)[:-1])
+        return {
+            "id": batch.column("id"), "n": pa.array(sizes, pa.int64()),
+            "node": [node_of(x) if len(x) else None for x in own], "cells": [cells_of(x) if len(x) else None for x in own],
+        }
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        seen = False
-        for batch in batches:
-            for part in common.slices(batch, "text", common.SLICE_BYTES):
-                flat, sizes = shingle_sets(common.texts_of(part))
-                sketch += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-                own = np.split(flat, np.cumsum(sizes)[:-1])
-                seen = True
-                yield pa.RecordBatch.from_arrays([
-                    part.column("id").cast(pa.int64()), pa.array(sizes, pa.int64()),
-                    pa.array([node_of(x) if len(x) else None for x in own], pa.int64()),
-                    pa.array([cells_of(x) if len(x) else None for x in own], pa.binary()), pa.nulls(len(sizes), pa.int32()),
-                ], names)
-        if seen:
-            chunks = sketch.astype("<u4").reshape(-1, 1 << _CHUNK_BITS)
-            count = len(chunks)
-            yield pa.RecordBatch.from_arrays([
-                pa.nulls(count, types[0]), pa.nulls(count, types[1]), pa.nulls(count, types[2]),
-                pa.array([x.tobytes() for x in chunks], pa.binary()), pa.array(range(count), pa.int32()),
-            ], names)
-
-    return common.in_arrow(rows, run, schema)
-
-
-def _sketch(measured: DataFrame) -> np.ndarray | None:
-    """The tasks' sketches added up: 2^20 counts, whatever the corpus."""
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << _CHUNK_BITS, np.int64)
-        for x in table.column("cells").to_pylist():
-            total += np.frombuffer(x, "<u4")
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([total.astype("<i8").tobytes()], pa.binary())})
-
-    parts = (measured.where(F.col("chunk").isNotNull()).select("chunk", "cells")
-             .groupBy("chunk").applyInArrow(add, "chunk int, cells binary").collect())
-    if not parts:
-        return None
-    return np.concatenate([np.frombuffer(x, "<i8") for _, x in sorted(parts)])
+    return common.map_batches(rows, work, "id long, n long, node long, cells binary")
+
+
+def _distinct(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal sets and empty ones left out: elements, sizes and numbers of the others."""
+    ends = np.cumsum(sizes)
+    nodes: dict[int, int] = {}
+    for i, (s, b) in enumerate(zip(sizes.tolist(), ends.tolist())):
+        if s:
+            nodes.setdefault(node_of(flat[b - s:b]), i)
+    chosen = np.fromiter(nodes.values(), np.int64, len(nodes))
+    return flat[common.spans(sizes[chosen], ends[chosen] - sizes[chosen])], sizes[chosen], np.fromiter(nodes, np.int64, len(nodes))
+
+
+def levels_of(values: np.ndarray, times: np.ndarray, bits: int) -> np.ndarray:
+    """Classes of the cells, told by the first ``bits`` of the 32-bit values: 1 and more where one is met over ``COMMON`` times."""
+    out = np.zeros(1 << bits, np.uint8)
+    if len(values):
+        order = np.argsort(values, kind="stable")
+        values = values[order]
+        begin = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        total = np.add.reduceat(times[order], begin)
+        often = total > COMMON
+        np.maximum.at(out, (values[begin[often]] >> np.uint32(32 - bits)).astype(np.int64), (1 + np.log2(total[often] / COMMON)).astype(np.uint8))
+    return out
+
+
+def common_levels(rows: DataFrame, shingles: int, buckets: int) -> np.ndarray:
+    """The class of every cell, from exact counts of all shingles.
+
+    A shingle goes to the bucket of its first bits, its next 32 bits stand for it there; a slice of documents
+    sends it once with its count, so that one which all documents have makes no large bucket. What
+    reaches the driver and the workers is one byte for eight shingles, 64 MB at most; where over an eighth
+    of the cells would be late, only more common shingles are.
+    """
+    top = min(max((buckets - 1).bit_length(), 1), 16)
+    bits = min(max((shingles // 8).bit_length(), SKETCH_BITS), MOST_SKETCH_BITS)
 
+    def work(batch: pa.RecordBatch) -> dict[str, object] | None:
+        flat, _, _ = _distinct(*shingle_sets(common.texts_of(batch)))
+        values, times = np.unique(flat, return_counts=True)
+        edges = np.searchsorted(values >> np.uint64(64 - top), np.arange((1 << top) + 1, dtype=np.uint64)).tolist()
+        short, once = (values >> np.uint64(32 - top)).astype("<u4"), times == 1
+        some = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+        return {
+            "bucket": [k for k, _ in some], "once": [short[x][once[x]].tobytes() for _, x in some],
+            "again": [short[x][~once[x]].tobytes() + times[x][~once[x]].astype("<u4").tobytes() for _, x in some],
+        }
 
-def _packed_signatures(rows: DataFrame, sketch: np.ndarray | None, buckets: int) -> DataFrame:
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        once = np.frombuffer(b"".join(table.column("once").to_pylist()), "<u4")
+        again = [np.frombuffer(x, "<u4").reshape(2, -1) for x in table.column("again").to_pylist()]
+        values, times = np.concatenate(again, axis=1)
+        made = levels_of(np.concatenate((once, values)), np.concatenate((np.ones(len(once), np.int64), times.astype(np.int64))), bits - top)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([made.tobytes()], pa.binary())})
+
+    counted = common.map_batches(rows.where(F.col("id").isNotNull()), work, "bucket int, once binary, again binary")
+    out = np.zeros((1 << top, 1 << (bits - top)), np.uint8)
+    with common.shuffles_dropped(rows.sparkSession):
+        for bucket, made in counted.groupBy("bucket").applyInArrow(add, "bucket int, levels binary").collect():
+            out[bucket] = np.frombuffer(made, np.uint8)
+    while np.count_nonzero(out) > out.size // 8:
+        out -= out > 0
+    return out.ravel()
+
+
+def _packed_signatures(rows: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, packed): signatures of a bucket with their sets, packed per slice of documents.
 
     A signature is kept in 32 bits beside its bucket and a set in 40: what meets by chance is
     told apart when sets are compared.
     """
-    shipped = rows.sparkSession.sparkContext.broadcast(sketch)
+    shipped = rows.sparkSession.sparkContext.broadcast(levels)
 
     def work(batch: pa.RecordBatch) -> dict[str, object] | None:
-        flat, sizes = shingle_sets(common.texts_of(batch))
-        ends = np.cumsum(sizes)
-        nodes: dict[int, int] = {}
-        for i, (s, b) in enumerate(zip(sizes.tolist(), ends.tolist())):
-            if s:
-                nodes.setdefault(node_of(flat[b - s:b]), i)
-        chosen = np.array(sorted(nodes.values()), np.int64)  # equal sets once
-        if not len(chosen):
+        flat, sizes, nodes = _distinct(*shingle_sets(common.texts_of(batch)))
+        if not len(sizes):
             return None
-        short = np.zeros(len(sizes), np.uint64)
-        for node, i in nodes.items():
-            short[i] = node & _SHORT_MASK
-        sigs, owners = signatures(flat[common.spans(sizes[chosen], ends[chosen] - sizes[chosen])], sizes[chosen], shipped.value)
-        short = short[chosen][owners]
+        sigs, owners = signatures(flat, sizes, shipped.value)
+        short = (nodes & _SHORT_MASK).astype(np.uint64)[owners]
         bucket = (sigs >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         bucket, sigs, short = bucket[order], sigs[order].astype("<u4"), short[order].astype("<u8")
@@ -413,7 +414,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
              .select("a", "b", F.least("key_a", "key_b").alias("key")))
     sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / _PAIRS).alias("chunks"))
     keyed = common.stored(
-        keyed.join(sizes, "key").select("key", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), "a", "b"), "keyed")
+        keyed.join(sizes, "key").select("key", F.pmod(F.xxhash64("a", "b"), "chunks").alias("chunk"), "a", "b"), "keyed")
     needed = keyed.select("key", "chunk", F.col("a").alias("node")).union(keyed.select("key", "chunk", "b")).distinct()
     none = F.lit(None)
     rows = needed.join(sets, "node").select(
@@ -502,14 +503,14 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     """
     rows = _rows(df, id_col, text_col)
     spark = df.sparkSession
-    measured = common.stored(_measured(rows), "measured")
-    docs = measured.where(F.col("chunk").isNull())
+    docs = common.stored(_measured(rows), "measured")
     nodes = common.stored(
         docs.where(F.col("id").isNotNull() & F.col("node").isNotNull()).groupBy("node")
         .agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("cells").alias("cells"))
         .withColumn("short", F.col("node").bitwiseAND(F.lit(_SHORT_MASK))), "nodes")
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = common.stored(_groups(_packed_signatures(rows, _sketch(measured), buckets)), "groups")
+    levels = common_levels(rows, docs.agg(F.sum("n")).first()[0] or 0, buckets)
+    groups = common.stored(_groups(_packed_signatures(rows, levels, buckets)), "groups")
 
     first = common.stored(_plausible(
         groups.select(F.col("hub").alias("left"), F.explode("members").alias("right")).distinct(), nodes), "pairs")
