@@ -108,6 +108,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r
 SELECT t.conv_id, COUNT(*) AS attempts, COUNT(CASE WHEN contains(text, 'ERROR') THEN 1 END) AS failures,
        COUNT(CASE WHEN text = 'EMPTY_RESULT' THEN 1 END) AS empty_results,
        arg_max(NOT contains(text, 'ERROR'), turn) AS last_success,
+       arg_max_null(tool_query, turn) FILTER (tool_name = 'execute_sql') AS last_sql,
+       arg_max_null(CASE WHEN contains(text, 'ERROR') THEN NULL WHEN text = 'EMPTY_RESULT' THEN 0
+                         WHEN NOT json_valid(text) THEN NULL
+                         WHEN json_type(text) = 'ARRAY' THEN CAST(json_array_length(text) AS BIGINT) END, turn)
+         FILTER (tool_name = 'execute_sql') AS last_sql_rows,
        CAST(LEAST(COUNT(CASE WHEN tool_name = 'retrieve_documents' THEN 1 END), 3) AS BIGINT) AS retrieval_calls,
        COALESCE(MAX(q), '') AS retrieval_queries
 FROM tools t LEFT JOIN recent r ON t.conv_id = r.conv_id GROUP BY 1""",

@@ -58,4 +58,16 @@ def test_tool_outcomes(spark):
         (1, 10, "assistant", None, None, "ERROR"), (2, 1, "tool", "retrieve_documents", None, "SQL_ERROR: x"),
     ]
     got = rows(agentlog.tool_outcomes(log(spark, *calls)).orderBy("conv_id"))
-    assert got == [(1, 9, 1, 1, True, 3, ["q3", "q4", "q5", "q6", "q7"]), (2, 1, 1, 0, False, 1, [])]
+    assert got == [
+        (1, 9, 1, 1, True, 3, None, 0, ["q3", "q4", "q5", "q6", "q7"]), (2, 1, 1, 0, False, 1, None, None, []),
+    ]
+
+
+def test_last_sql_and_its_rows(spark):
+    results = ['[{"a": 1}, {"a": 2}]', "EMPTY_RESULT", "SQL_ERROR: no", '{"a": 1}', "[1, 2", None, "[]"]
+    calls = [(1, 1, "tool", "execute_sql", "select 0", "[1]"), (1, 3, "tool", "retrieve_documents", "q", "[1, 2, 3]")]
+    calls += [(c, 2, "tool", "execute_sql", f"select {c}", text) for c, text in enumerate(results, 1)]
+    calls += [(9, 1, "tool", "get_kpi_sql", None, "[1]"), (10, 1, "user", "execute_sql", "select 9", "[1]")]
+    got = rows(agentlog.tool_outcomes(log(spark, *calls)).orderBy("conv_id"), "conv_id", "last_sql", "last_sql_rows")
+    counts = [2, 0, None, None, None, None, 0]
+    assert got == [(c, f"select {c}", n) for c, n in enumerate(counts, 1)] + [(9, None, None)]

@@ -16,6 +16,7 @@ FORBIDDEN = (
 )
 ACTIONS = ("execute_sql", "get_kpi_sql", "retrieve_documents", "final_answer")
 EMPTY_RESULT = "EMPTY_RESULT"
+SQL_TOOL = "execute_sql"
 RETRIEVAL_TOOL = "retrieve_documents"
 RETRIEVAL_LIMIT = 3
 RETRIEVAL_HISTORY = 5
@@ -107,7 +108,8 @@ def last_valid_action(log: DataFrame) -> DataFrame:
 
 def tool_outcomes(log: DataFrame) -> DataFrame:
     """Per conversation: tool attempts, failures, empty results, whether the last attempt
-    succeeded, capped retrieval calls and the last retrieval queries in order.
+    succeeded, the SQL last executed and its number of rows (NULL where it failed or gave no
+    JSON list), capped retrieval calls and the last retrieval queries in order.
 
     The history keeps five queries per conversation by rank before collecting them, so a
     long conversation is never gathered whole.
@@ -115,13 +117,17 @@ def tool_outcomes(log: DataFrame) -> DataFrame:
     tools = log.filter(F.col("role") == "tool")
     failed = F.col("text").contains("ERROR")
     retrieval = F.col("tool_name") == RETRIEVAL_TOOL
+    n_rows = F.when(failed, None).when(F.col("text") == EMPTY_RESULT, 0).when(
+        _is_json(F.col("text")), F.json_array_length("text")).cast("long")
+    executed = F.when(F.col("tool_name") == SQL_TOOL, F.struct("turn", "tool_query", n_rows.alias("n_rows")))
     counts = tools.groupBy("conv_id").agg(
         F.count("*").alias("attempts"),
         F.count(F.when(failed, 1)).alias("failures"),
         F.count(F.when(F.col("text") == EMPTY_RESULT, 1)).alias("empty_results"),
         F.max_by(~failed, "turn").alias("last_success"),
+        F.max(executed).alias("sql"),
         F.least(F.count(F.when(retrieval, 1)), F.lit(RETRIEVAL_LIMIT)).alias("retrieval_calls"),
-    )
+    ).withColumns({"last_sql": F.col("sql.tool_query"), "last_sql_rows": F.col("sql.n_rows")}).drop("sql")
     latest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     queries = (
         tools.filter(retrieval & F.col("tool_query").isNotNull())
