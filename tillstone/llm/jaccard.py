@@ -10,9 +10,9 @@ d + q, in an order common to all sets, are taken and all subsets of q of them ar
 in bands of short sets, where few subsets arise, else 1). The q shared shingles that come first
 are within the first d + q of either set: linked sets share a signature.
 
-Shingles that over ``COMMON`` distinct sets have come last in the order, so that they make
-signatures only for sets that have little else. They are counted exactly, by Spark. Which they are
-is held in cells, a byte for every eight shingles of the corpus between 2^20 and 2^26 cells; where
+Shingles counted in over ``COMMON`` sets come last in the order, so that they make
+signatures only for sets that have little else. All are counted by Spark; equal sets of one slice of
+documents count once, those of several slices again. Which come late is held in cells, a byte for every eight shingles of the corpus between 2^20 and 2^26 cells; where
 two fall on a cell the other comes late too. It affects the order alone, not results.
 
 Sets of the documents with a signature in common are compared exactly. In a group that shares
@@ -224,7 +224,7 @@ def levels_of(values: np.ndarray, times: np.ndarray, bits: int) -> np.ndarray:
 
 
 def common_levels(rows: DataFrame, shingles: int, buckets: int) -> np.ndarray:
-    """The class of every cell, from exact counts of all shingles.
+    """The class of every cell, from counts of all shingles (equal sets of a slice count once).
 
     A shingle goes to the bucket of its first bits, its next 32 bits stand for it there; a slice of documents
     sends it once with its count, so that one which all documents have makes no large bucket. What
