@@ -5,7 +5,9 @@ A distinct count cannot be summed over days. Here ticket ids get dense numbers,
 union of stored bitmaps, exact, and a further day is added without reading older lines. A union of a
 bitmap with itself changes nothing, so exports may overlap and a load may be repeated.
 
-Bitmaps are Spark's, of 32,768 numbers each; dense numbers keep them few.
+A bitmap is an integer of 64 numbers. Tickets of one hour hold few of all numbers, so that longer bitmaps (Spark's
+binary ones hold 32,768) would be nearly all zeros, and the more of them the more tickets there are; short ones
+take at most one row for every ticket, place and hour.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from tillstone.session import scratch
 from tillstone.vocab import Vocabulary
 
 _NUMBERS = "tx_id string, numero bigint"
-_BITMAPS = "fecha date, hora_del_dia int, sede string, mapa bigint, bits binary, mes_key int"
+_BITMAPS = "fecha date, hora_del_dia int, sede string, mapa bigint, bits bigint, mes_key int"
+BITS = 64
 #: Stands for all branches, whether a line's branch is known or not.
 ALL = "total"
 
@@ -45,17 +48,17 @@ def add(spark: SparkSession, lines: DataFrame, root: str, vocab: Vocabulary) ->
         F.array(F.lit(ALL), *[F.when(branches.is_narrow_match(norm, b), F.lit(b.slug)) for b in vocab.branches]), lambda x: x.isNotNull())
     seen = kept.select("tx_id", F.to_date("sold_at").alias("fecha"), F.hour("sold_at").alias("hora_del_dia"), F.explode(places).alias("sede"))
     path = scratch(spark, "seen-tickets")
-    seen.distinct().write.parquet(path)
+    load.full_reload(seen.distinct(), path)
     seen = spark.read.schema(seen.schema).parquet(path)
     numbers = load.dense_keys(_stored(spark, f"{root}/numeros", _NUMBERS), seen.select("tx_id"), ["tx_id"], "numero")
     fresh = scratch(spark, "ticket-numbers")
-    numbers.write.parquet(fresh)
-    spark.read.schema(_NUMBERS).parquet(fresh).write.mode("append").parquet(f"{root}/numeros")
+    load.full_reload(numbers, fresh)
+    spark.read.schema(_NUMBERS).parquet(fresh).write.mode("append").option("compression", "zstd").parquet(f"{root}/numeros")
     numbered = seen.join(_stored(spark, f"{root}/numeros", _NUMBERS), "tx_id")
-    bitmaps = numbered.groupBy("fecha", "hora_del_dia", "sede", F.bitmap_bucket_number("numero").alias("mapa")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("numero")).alias("bits"))
+    bit = F.expr(f"shiftleft(1L, cast(numero % {BITS} as int))")
+    bitmaps = numbered.groupBy("fecha", "hora_del_dia", "sede", F.expr(f"numero div {BITS}").alias("mapa")).agg(F.bit_or(bit).alias("bits"))
     month = (F.year("fecha") * 100 + F.month("fecha")).alias("mes_key")
-    bitmaps.select("*", month).hint("rebalance", "mes_key").write.mode("append").partitionBy("mes_key").parquet(f"{root}/mapas")
+    bitmaps.select("*", month).hint("rebalance", "mes_key").write.mode("append").option("compression", "zstd").partitionBy("mes_key").parquet(f"{root}/mapas")
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
@@ -65,7 +68,7 @@ def read(spark: SparkSession, root: str) -> DataFrame:
 
 def distinct_tickets(bitmaps: DataFrame, by: Sequence[str], alias: str = "tickets") -> DataFrame:
     """Distinct tickets by any of the stored columns, over whatever rows are given."""
-    unions = bitmaps.groupBy(*by, "mapa").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    unions = bitmaps.groupBy(*by, "mapa").agg(F.bit_count(F.bit_or("bits")).alias("n"))
     return unions.groupBy(*by).agg(F.sum("n").cast("bigint").alias(alias))
 
 
