@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from checks.base import (
     LINES, STAR, TX, VOCAB, account_case, alias_case, broad_case, clean_tables, money, of_both, of_lines, of_star, once,
-    pct, per_quantity, per_unit, plain, stored_star, two_exports, with_,
+    pct, per_quantity, per_unit, plain, stored_dimensions, two_exports, with_,
 )
 from checks.etl import spanish_export
 from tillstone.operators.cleanse import cleanse_lines
@@ -16,7 +16,7 @@ from tillstone.sources.tables import LINE_HEADERS, rename_headers
 
 def _loyalty_view(spark: SparkSession, sf: str) -> DataFrame:
     lines, tx = clean_tables(spark, sf)
-    return loyalty.loyalty_view(tx, lines, stored_star(spark, sf).dim_branch, VOCAB)
+    return loyalty.loyalty_view(tx, lines, stored_dimensions(spark, sf)["dim_branch"], VOCAB)
 
 
 def _top5_of_export(spark: SparkSession, sf: str) -> DataFrame:

@@ -219,6 +219,28 @@ def test_line_numbers_split_a_hot_ticket_of_sparse_ids(spark):
         assert parts.filter("tx_id = 'hot'").count() > 100 and parts.agg(F.max("count")).first()[0] < 50
 
 
+def test_equal_rows_are_numbered_as_one(spark):
+    df = spark.range(2000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 40).cast("string"))).alias("tx_id"),
+        (F.col("id") * 13).alias("line_id"), F.when(F.col("id") % 5 > 0, F.col("id") % 7).alias("v"))
+    twice = df.union(df.where("line_id % 2 = 0")).union(df.where("line_id % 3 = 0")).repartition(7)
+    want = df.withColumn("want", F.row_number().over(Window.partitionBy("tx_id").orderBy("line_id")))
+    for target in (1, 100, 1_000_000):
+        got = number_lines(twice, target=target, distinct=True, sizes=twice.select("tx_id", "line_id"))
+        assert sorted(map(tuple, got.select("tx_id", "line_id", "linea_ticket").collect())) == sorted(
+            map(tuple, want.select("tx_id", "line_id", "want").collect()))
+    differ = spark.createDataFrame([("a", 1, "x"), ("a", 1, None), ("a", 1, None), ("a", 1, "x"), ("a", 2, "x")], "tx_id string, line_id bigint, v string")
+    assert sorted(r["linea_ticket"] for r in number_lines(differ, distinct=True).collect()) == [1, 2, 3]
+
+
+def test_lines_are_shuffled_once_to_be_numbered(spark):
+    stored = spark.range(5000).select((F.col("id") % 900).cast("string").alias("tx_id"), F.col("id").alias("line_id"), (F.col("id") % 9).alias("v"))
+    got = number_lines(stored, distinct=True)
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count(" Exchange hashpartitioning(tx_id") == 1, final
+
+
 def test_a_line_exported_twice_counts_once(spark):
     t, twice = tx(spark, pay("1")), line("1", line_id=7)
     s = star.star_of(lines(spark, twice, twice, line("1", line_id=8)), t, V)
