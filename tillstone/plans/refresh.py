@@ -55,7 +55,7 @@ def _existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` in a scratch folder, so that several readers do not each compute it."""
     path = scratch(spark, name)
-    df.write.parquet(path)
+    load.full_reload(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,7 +71,7 @@ def _in(months: Iterable[int]) -> Column:
 
 def _replace_months(df: DataFrame, path: str) -> None:
     (df.hint("rebalance", "mes_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("mes_key").parquet(path))
+     .option("compression", "zstd").partitionBy("mes_key").parquet(path))
 
 
 def load_dimensions(spark: SparkSession, lines: DataFrame, tx: DataFrame, root: str, vocab: Vocabulary) -> dict[str, DataFrame]:
@@ -121,9 +121,10 @@ def load_lines(spark: SparkSession, lines: DataFrame, dims: dict[str, DataFrame]
     """
     path = f"{root}/fact_lines"
     keyed = star.keyed_lines(lines, dims["dim_date"], dims["dim_product"], dims["dim_branch"], dims["dim_payment"], vocab)
-    incoming = _written(spark, _line_rows(keyed).distinct(), "incoming-lines")
+    incoming = _line_rows(keyed)  # a row that the export holds twice becomes one where tickets are numbered
     shape = incoming.withColumn("linea_ticket", F.lit(0).cast("bigint"))
-    stored = _repaired(_existing(spark, path, shape), dims)
+    table = _existing(spark, path, shape)
+    stored = _repaired(table, dims)
     print_ = F.xxhash64(*_VALUES, "line_id").alias("huella")
     own = ["mes_key", "id_transaccion", "line_id", "huella"]
     held = stored.where(_in(_months(incoming))).select("mes_key", "id_transaccion", "line_id", print_)
@@ -132,7 +133,10 @@ def load_lines(spark: SparkSession, lines: DataFrame, dims: dict[str, DataFrame]
     where = _months(stored.select("id_transaccion", "mes_key").join(gaining, "id_transaccion", "left_semi"))
     old = stored.where(_in(where)).join(gaining, "id_transaccion", "left_semi").withColumnRenamed("linea_ticket", "antes")
     again = old.drop("late").unionByName(new.withColumn("antes", F.lit(None).cast("bigint")))
-    numbered = _written(spark, number_lines(again.withColumn("tx_id", F.col("id_transaccion"))).drop("tx_id"), "numbered-lines")
+    ticket_lines = [F.col("id_transaccion").alias("tx_id"), "line_id"]
+    sizes = table.where(_in(where)).select(*ticket_lines).unionByName(new.select(*ticket_lines))
+    numbers = number_lines(again.withColumnRenamed("id_transaccion", "tx_id"), sizes=sizes, distinct=True)
+    numbered = _written(spark, numbers.withColumnRenamed("tx_id", "id_transaccion"), "numbered-lines")
     moved = numbered.where(F.col("antes").isNull() | (F.col("antes") != F.col("linea_ticket")))
     touched = sorted({*_months(moved), *_months(stored.where("late"))})
     if touched:
@@ -150,13 +154,12 @@ def load_payments(spark: SparkSession, tx: DataFrame, dims: dict[str, DataFrame]
     path = f"{root}/fact_tx"
     rows = star.payment_rows(tx, vocab)
     columns = rows.columns
-    incoming = _written(spark, load.first_per_key(rows, ["id_transaccion"]), "incoming-payments")
-    shape = star.keyed_payments(incoming, dims["dim_date"], dims["dim_card"]).withColumn("mes_key", month_of(F.col("fecha_key")))
+    shape = star.keyed_payments(rows, dims["dim_date"], dims["dim_card"]).withColumn("mes_key", month_of(F.col("fecha_key")))
     stored = _existing(spark, path, shape)
-    ids = incoming.select("id_transaccion")
+    ids = rows.select("id_transaccion")
     where = _months(stored.select("id_transaccion", "mes_key").join(ids, "id_transaccion", "left_semi"))
     old = stored.where(_in(where)).join(ids, "id_transaccion", "left_semi")
-    best = load.first_per_key(old.select(*columns).unionByName(incoming.select(*columns)), ["id_transaccion"])
+    best = load.first_per_key(old.select(*columns).unionByName(rows), ["id_transaccion"])
     keyed = star.keyed_payments(best, dims["dim_date"], dims["dim_card"]).withColumn("mes_key", month_of(F.col("fecha_key")))
     print_ = F.xxhash64(*shape.columns)
     before = old.select("id_transaccion", F.col("mes_key").alias("mes_antes"), print_.alias("antes"))
@@ -169,9 +172,10 @@ def load_payments(spark: SparkSession, tx: DataFrame, dims: dict[str, DataFrame]
     touched = sorted({*_months(changed), *_months(gone), *_months(repaired.where("late"))})
     if touched:
         rest = repaired.where(_in(touched)).join(changed.select("id_transaccion"), "id_transaccion", "left_anti")
-        written = _written(spark, rest.select(*shape.columns).unionByName(changed.select(*shape.columns)), "payments")
-        _replace_months(written, path)
-        _drop_emptied(spark, path, set(touched) - set(_months(written)))
+        kept = rest.select(*shape.columns).unionByName(changed.select(*shape.columns))
+        emptied = set(touched) - set(_months(kept))
+        _replace_months(kept, path)
+        _drop_emptied(spark, path, emptied)
     return touched
 
 
