@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks import business, etl, logs, primitives, semantic
+from checks.base import clean_lines
 from checks.compare import connect, differences
 from tests.shopdata import rows
 
@@ -40,3 +41,12 @@ def test_totals_and_shares(spark):
     for column in (0, 1):
         assert mix[-1][column] == 100.0
         assert sum(r[column] for r in mix[:-1]) == pytest.approx(100, abs=0.1)
+
+
+def test_dates_are_profiled_as_read_and_as_written(spark):
+    """Two spellings of a minute are one date among the clean lines and two texts in the export."""
+    profiles = [dict(rows(QUERIES[q](spark, SF), "info", "conteo")) for q in ("e16_distinct_profile", "e16_distinct_texts")]
+    clean = clean_lines(spark, SF)
+    assert profiles[0]["sold_at"] == clean.where("sold_at IS NOT NULL").select("sold_at").distinct().count() != profiles[1]["sold_at"]
+    assert {c: profiles[0][c] == profiles[1][c] for c in ("description", "branch_norm", "device_serial")} == dict.fromkeys(
+        ("description", "branch_norm", "device_serial"), True)
