@@ -74,6 +74,21 @@ def test_token_file(spark, library):
     assert simple8b.round_trip(frames.empty(spark)).count() == 0
 
 
+def test_words_of_letters_go_to_the_model_alone(library):
+    spec = open(simple8b.VOCABULARY, encoding="utf-8").read()
+    assert simple8b._letters_alone(library)
+    more = Tokenizer.from_str(spec)
+    more.add_special_tokens(["stop"])  # a token inside words of letters: the library has to look for it
+    assert not simple8b._letters_alone(more)
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcXYZst's.é<|1 \0"[:rnd.choice([6, 8, 18])]) for _ in range(rnd.randint(1, 30))) for _ in range(3000)]
+    words = [w for w in " ".join(words).split(" ") if w] + ["STOP", "unstoppable", "Ab" * 3000, "<|endoftext|>"]
+    for name, own in (("plain", library), ("more", more)):
+        flat, sizes = simple8b._encoder(f"test {name}", own.to_str()).values([w.encode() for w in words])
+        for word, got in zip(words, np.split(flat, np.cumsum(sizes)[:-1])):
+            assert got.tolist() == own.encode(word, add_special_tokens=False).ids, word
+
+
 def test_ids_are_read_back(spark, library):
     folder = common.shared_path(spark, "test")
     simple8b.write_token_file(frames.docs(spark), folder)

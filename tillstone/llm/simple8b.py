@@ -16,6 +16,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import public_tokenizers
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tillstone.llm import common
 
@@ -155,19 +157,41 @@ def unpack(block: bytes, only_group: int | None = None) -> np.ndarray:
 _encoders: dict[str, common.WordCache] = {}
 
 
+def _letters_alone(own: Tokenizer) -> bool:
+    """Whether a word of ASCII letters goes to the model as it is, but for lower case."""
+    if own.normalizer is None or own.pre_tokenizer is None or any(x.content.isalpha() for x in own.get_added_tokens_decoder().values()):
+        return False
+    return [x for x, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str("ABCxyz"))] == ["abcxyz"]
+
+
 def _encoder(path: str, spec: str) -> common.WordCache:
     """The library's ids of words; the vocabulary treats texts word by word."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         own = Tokenizer.from_str(spec)
         own.no_truncation()
         own.no_padding()
+        plain, piece = _letters_alone(own), own.model.tokenize
 
         def ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            # Nothing is normalised or split in a word of ASCII letters: the library's model takes it at once.
+            letters = np.fromiter((plain and w.isalpha() for w in words), bool, len(words))
+            values, counts = [], []
+            for w in compress(words, letters):
+                got = [t.id for t in piece(w.decode().lower())]
+                counts.append(len(got))
+                values += got
+            others, other_sizes = marked(list(compress(words, ~letters)))
+            sizes, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+            sizes[letters], sizes[~letters] = counts, other_sizes
+            starts[letters] = np.cumsum(sizes[letters]) - sizes[letters]
+            starts[~letters] = len(values) + np.cumsum(other_sizes) - other_sizes
+            flat = np.concatenate((np.array(values, np.uint32), others))
+            return flat[common.spans(sizes, starts)], sizes
+
+        def marked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             # Many words in one call, a mark between them; a word that holds the mark goes alone.
-            sizes, parts = np.empty(len(words), np.int64), []
+            sizes, parts = np.empty(len(words), np.int64), [np.empty(0, np.uint32)]
             for at in range(0, len(words), 1000):
                 some = words[at:at + 1000]
                 text = b" \0 ".join(some)
