@@ -155,6 +155,19 @@ def test_bands_and_distances():
                 assert a + b - 2 * least <= jaccard.largest_distance(a, b) and most == a
 
 
+def test_marks_never_part_linked_sets_and_part_most_others(spark):
+    rnd, rows, linked = random.Random(6), [], []
+    for k in range(300):
+        a = np.array(rnd.sample(range(1 << 62), rnd.choice([1, 3, 40, 300, 900, 2500])), np.uint64)
+        b = np.concatenate((a[rnd.randint(0, len(a) // (7 if k % 2 else 1)):], np.array(rnd.sample(range(1 << 62), rnd.randint(0, len(a) // 7)), np.uint64)))
+        rows.append((k, len(a), len(b), *jaccard.marks_of(a).tolist(), *jaccard.marks_of(b).tolist()))
+        linked.append(len(b) > 0 and jaccard.linked(len(np.intersect1d(a, b)), len(a), len(b)))
+    names = ["k", "n_a", "n_b", *[f"{m}_a" for m in jaccard.MARKS], *[f"{m}_b" for m in jaccard.MARKS]]
+    near = {r["k"] for r in spark.createDataFrame(rows, ", ".join(f"{x} long" for x in names)).where(jaccard._near_marks()).select("k").collect()}
+    assert {k for k, x in enumerate(linked) if x} <= near
+    assert sum(k not in near for k, x in enumerate(linked) if not x) > 0.8 * linked.count(False)
+
+
 def test_cells_never_promise_too_little():
     rnd = random.Random(5)
     for _ in range(200):

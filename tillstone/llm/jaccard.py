@@ -17,7 +17,8 @@ two fall on a cell the other comes late too. It affects the order alone, not res
 
 Sets of the documents with a signature in common are compared exactly. In a group that shares
 one, all members meet a hub first; what the links so far have joined need not meet again, and
-all pairs of a group still in different components are compared after that. So no link is lost and
+all pairs of a group still in different components are compared after that, those first whose marks
+(bits for odd counts of classes of shingles) differ too much to link going out. So no link is lost and
 a large group of copies costs little more than its size.
 
 Equal sets are one node throughout. Shingles are 64-bit hashes of their words.
@@ -35,7 +36,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillstone.llm import common
@@ -50,6 +51,8 @@ _FILTER_BITS = 24
 #: Cells of the smallest sets.
 CELLS = 128
 SHORT_BITS = 40
+#: Longs whose bits tell which of so many classes hold an odd number of a set's shingles.
+MARKS = [f"mark{k}" for k in range(32)]
 #: Bands with sets of PAIRS_FROM to PAIRS_TO shingles take subsets of two partitions.
 PAIRS_FROM, PAIRS_TO = 5, 34
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -106,6 +109,18 @@ def cells_of(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount((own & np.uint64(count - 1)).astype(np.int64), minlength=count), 255).astype(np.uint8).tobytes()
 
 
+def marks_of(own: np.ndarray) -> np.ndarray:
+    """A bit for each class of elements, by bits that ``cells_of`` does not look at: whether the set has an odd number of them."""
+    odd = np.bincount((own >> np.uint64(32)).astype(np.int64) & (64 * len(MARKS) - 1), minlength=64 * len(MARKS)) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def _near_marks() -> Column:
+    """Whether the marks of two sets, ``_a`` and ``_b``, leave them near enough to link: bits that differ are differing elements, one each at least."""
+    apart, total = sum(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MARKS), F.col("n_a") + F.col("n_b")
+    return (NUMERATOR + DENOMINATOR) * (total - apart) >= 2 * NUMERATOR * total
+
+
 def linked(shared: int, a: int, b: int) -> bool:
     return DENOMINATOR * shared >= NUMERATOR * (a + b - shared)
 
@@ -183,20 +198,22 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _measured(rows: DataFrame) -> DataFrame:
-    """(id, n, node, cells) of every row.
+    """(id, n, node, cells) of every row, and its marks.
 
     ``cells`` counts the shingles of a set by classes: the sum of the lesser counts of two sets
-    is the most they can share.
+    is the most they can share. Marks say less in less space, and Spark compares them in a join.
     """
     def work(batch: pa.RecordBatch) -> dict[str, object]:
         flat, sizes = shingle_sets(common.texts_of(batch))
         own = np.split(flat, np.cumsum(sizes)[:-1])
+        marks = np.stack([marks_of(x) for x in own], axis=1)
         return {
             "id": batch.column("id"), "n": pa.array(sizes, pa.int64()),
             "node": [node_of(x) if len(x) else None for x in own], "cells": [cells_of(x) if len(x) else None for x in own],
+            **{m: pa.array(x) for m, x in zip(MARKS, marks)},
         }
 
-    return common.map_batches(rows, work, "id long, n long, node long, cells binary")
+    return common.map_batches(rows, work, "id long, n long, node long, cells binary, " + ", ".join(f"{m} long" for m in MARKS))
 
 
 def _distinct(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -506,7 +523,7 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     docs = common.stored(_measured(rows), "measured")
     nodes = common.stored(
         docs.where(F.col("id").isNotNull() & F.col("node").isNotNull()).groupBy("node")
-        .agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+        .agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("cells").alias("cells"), *[F.first(m).alias(m) for m in MARKS])
         .withColumn("short", F.col("node").bitwiseAND(F.lit(_SHORT_MASK))), "nodes")
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     levels = common_levels(rows, docs.agg(F.sum("n")).first()[0] or 0, buckets)
@@ -520,16 +537,16 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
 
     # What is left: members of one group in different components, not compared yet.
     label = components(found)
-    named = nodes.join(label, "node", "left").select("short", "n", F.coalesce("label", "node").alias("label"))
+    named = nodes.join(label, "node", "left").select("short", "n", *MARKS, F.coalesce("label", "node").alias("label"))
     large = groups.where(F.col("size") > 2)
     member = (large.select("gid", F.explode("members").alias("short"))
               .union(large.select("gid", F.col("hub").alias("short"))).distinct().join(named, "short"))
     open_ = member.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gid")
     member = common.stored(member.join(open_, "gid", "left_semi"), "members")
-    one = member.select("gid", F.col("short").alias("left"), F.col("label").alias("label_a"), F.col("n").alias("n_a"))
-    two = member.select("gid", F.col("short").alias("right"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    one = member.select("gid", F.col("short").alias("left"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), *[F.col(m).alias(f"{m}_a") for m in MARKS])
+    two = member.select("gid", F.col("short").alias("right"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), *[F.col(m).alias(f"{m}_b") for m in MARKS])
     close = DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b")
-    rest = one.join(two, "gid").where((F.col("label_a") < F.col("label_b")) & close).select("left", "right").distinct()
+    rest = one.join(two, "gid").where((F.col("label_a") < F.col("label_b")) & close & _near_marks()).select("left", "right").distinct()
     more = common.stored(_plausible(rest, nodes).join(first, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         new = _ends(more).join(wanted, "node", "left_anti")
