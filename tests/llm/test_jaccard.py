@@ -177,3 +177,15 @@ def test_cells_never_promise_too_little():
         assert most is None or most >= len(np.intersect1d(a, b))
     same = np.array([8 * 1024 * k for k in range(1, 600)], np.uint64)
     assert jaccard.most_shared(jaccard.cells_of(same), jaccard.cells_of(same)) is None
+
+
+def test_near_copies_that_no_hub_joins_at_first_are_not_compared_in_all_pairs(spark, monkeypatch):
+    run = lambda tag, k: [f"{tag}{i}" for i in range(k)]
+    # Six families share a passage, the only shingles they are met by: what is a family's own, other texts make more common.
+    texts = [" ".join([*run("p", 40), f"u{f}x{c}", *run(f"q{f}x", 30)]) for f in range(6) for c in range(40)]
+    texts += [" ".join(w for f in range(6) for w in [*run(f"q{f}x", 30), *run(f"z{k}x{f}x", 16)]) for k in range(220)]
+    counts, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, sets: counts.append(pairs.count()) or verified(pairs, sets))
+    got = {r[0]: r[2] for r in jaccard.clustered(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()}
+    assert got == {k: k // 40 * 40 if k < 240 else k for k in range(460)}
+    assert sum(counts) < 2000, counts  # 240 near copies have 4,680 pairs

@@ -16,10 +16,11 @@ documents count once, those of several slices again. Which come late is held in
 two fall on a cell the other comes late too. It affects the order alone, not results.
 
 Sets of the documents with a signature in common are compared exactly. In a group that shares
-one, all members meet a hub first; what the links so far have joined need not meet again, and
-all pairs of a group still in different components are compared after that, those first whose marks
-(bits for odd counts of classes of shingles) differ too much to link going out. So no link is lost and
-a large group of copies costs little more than its size.
+one, all members meet a hub first. What the links so far have joined need not meet again; where a group is
+still in several components, its members meet further hubs, more in each turn, as long as a turn joins many.
+All pairs of a group in different components are compared after that. Of either only those are whose marks
+(bits for odd counts of classes of shingles) do not differ too much to link. So no link is lost and
+a large group of copies costs little more than its size, also where its first hub is none of them.
 
 Equal sets are one node throughout. Shingles are 64-bit hashes of their words.
 
@@ -52,7 +53,9 @@ _FILTER_BITS = 24
 CELLS = 128
 SHORT_BITS = 40
 #: Longs whose bits tell which of so many classes hold an odd number of a set's shingles.
-MARKS = [f"mark{k}" for k in range(32)]
+MARKS = [f"mark{k}" for k in range(16)]
+#: Hubs of a group in each further turn; a turn that links fewer than one in ``WORTH`` of its members is the last.
+HUBS, WORTH = (1, 4, 16), 100
 #: Bands with sets of PAIRS_FROM to PAIRS_TO shingles take subsets of two partitions.
 PAIRS_FROM, PAIRS_TO = 5, 34
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -513,6 +516,31 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _apart(member: DataFrame) -> DataFrame:
+    """The members of groups that are in several components."""
+    open_ = member.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gid")
+    return member.join(open_, "gid", "left_semi")
+
+
+def _near_pairs(one: DataFrame, two: DataFrame, apart: Column) -> DataFrame:
+    """(left, right) of members of one group whose sizes and marks let them link, where ``apart`` holds of their labels."""
+    one = one.select("gid", F.col("short").alias("left"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), *[F.col(m).alias(f"{m}_a") for m in MARKS])
+    two = two.select("gid", F.col("short").alias("right"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), *[F.col(m).alias(f"{m}_b") for m in MARKS])
+    close = DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b")
+    return one.join(two, "gid").where(apart & close & _near_marks()).select("left", "right").distinct()
+
+
+def _hub_pairs(member: DataFrame, turn: int, hubs: int) -> DataFrame:
+    """Pairs of up to ``hubs`` members of every group with its members in other components.
+
+    A hub is the member nearest to a number drawn from the group, the turn and its place among the hubs.
+    """
+    points = [F.xxhash64("gid", F.lit(turn), F.lit(k)).bitwiseAND(F.lit(_SHORT_MASK)) for k in range(hubs)]
+    least = member.groupBy("gid").agg(*[F.min(F.col("short").bitwiseXOR(x)).alias(f"least{k}") for k, x in enumerate(points)])
+    chosen = least.select("gid", F.explode(F.array_distinct(F.array(*[F.col(f"least{k}").bitwiseXOR(x) for k, x in enumerate(points)]))).alias("short"))
+    return _near_pairs(member.join(chosen, ["gid", "short"], "left_semi"), member, F.col("label_a") != F.col("label_b"))
+
+
 def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, nodes, links): the measured rows, the distinct sets, and linked pairs of nodes.
 
@@ -535,24 +563,33 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     sets = common.stored(_sets(rows, wanted, nodes), "sets")
     found = common.stored(_verified(first, sets), "links")
 
-    # What is left: members of one group in different components, not compared yet.
-    label = components(found)
-    named = nodes.join(label, "node", "left").select("short", "n", *MARKS, F.coalesce("label", "node").alias("label"))
-    large = groups.where(F.col("size") > 2)
-    member = (large.select("gid", F.explode("members").alias("short"))
-              .union(large.select("gid", F.col("hub").alias("short"))).distinct().join(named, "short"))
-    open_ = member.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gid")
-    member = common.stored(member.join(open_, "gid", "left_semi"), "members")
-    one = member.select("gid", F.col("short").alias("left"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), *[F.col(m).alias(f"{m}_a") for m in MARKS])
-    two = member.select("gid", F.col("short").alias("right"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), *[F.col(m).alias(f"{m}_b") for m in MARKS])
-    close = DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b")
-    rest = one.join(two, "gid").where((F.col("label_a") < F.col("label_b")) & close & _near_marks()).select("left", "right").distinct()
-    more = common.stored(_plausible(rest, nodes).join(first, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        new = _ends(more).join(wanted, "node", "left_anti")
+    def compared(pairs: DataFrame) -> int:
+        """Adds the links among pairs of short numbers that were not compared yet; how many there are."""
+        nonlocal done, wanted, sets, found
+        more = common.stored(_plausible(pairs, nodes).join(done, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            return 0
+        new = common.stored(_ends(more).join(wanted, "node", "left_anti"), "wanted")
         if not new.isEmpty():
-            sets = sets.union(common.stored(_sets(rows, new, nodes), "sets"))
-        found = found.union(common.stored(_verified(more, sets), "links"))
+            wanted, sets = wanted.union(new), sets.union(common.stored(_sets(rows, new, nodes), "sets"))
+        more_links = common.stored(_verified(more, sets), "links")
+        done, found = done.union(more), found.union(more_links)
+        return more_links.count()
+
+    # What is left: members of one group in different components, not compared yet.
+    named = nodes.join(components(found), "node", "left").select("short", "n", *MARKS, F.coalesce("label", "node").alias("label"))
+    large, done = groups.where(F.col("size") > 2), first
+    member = common.stored(_apart(
+        large.select("gid", F.explode("members").alias("short"))
+        .union(large.select("gid", F.col("hub").alias("short"))).distinct().join(named, "short")), "members")
+    for turn, hubs in enumerate(HUBS):
+        linked_now = compared(_hub_pairs(member, turn, hubs))
+        if linked_now:  # a label is a node of its component, so its own label is the new one
+            top = components(found).toDF("label", "top")
+            member = common.stored(_apart(member.join(top, "label", "left").withColumn("label", F.coalesce("top", "label")).drop("top")), "members")
+        if WORTH * linked_now < member.count():
+            break
+    compared(_near_pairs(member, member, F.col("label_a") < F.col("label_b")))
     return docs, nodes, found
 
 
