@@ -189,3 +189,31 @@ def test_near_copies_that_no_hub_joins_at_first_are_not_compared_in_all_pairs(sp
     got = {r[0]: r[2] for r in jaccard.clustered(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()}
     assert got == {k: k // 40 * 40 if k < 240 else k for k in range(460)}
     assert sum(counts) < 2000, counts  # 240 near copies have 4,680 pairs
+
+
+def test_a_task_packs_a_row_for_a_bucket_however_many_slices_it_reads(spark, monkeypatch):
+    seen, groups, counted = {}, jaccard._groups, jaccard._counted
+    monkeypatch.setattr(jaccard, "_groups", lambda packed, *a: seen.update(packed=packed.count()) or groups(packed, *a))
+    monkeypatch.setattr(jaccard, "_counted", lambda rows, top: seen.update(top=top, counted=counted(rows, top).count()) or counted(rows, top))
+    rows = [*copies(8), (None, "a row without an id"), (10**6, None), (10**6 + 1, " ")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")  # a slice is of one batch
+    try:
+        got = {r[0]: (r[1], r[2]) for r in jaccard.clustered(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect() if r[0] is not None}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(rows)
+    assert seen["packed"] <= 4 * 8 and seen["top"] == 3 and seen["counted"] <= 4 * 8, seen
+
+
+def test_what_a_task_holds_is_handed_out_in_parts_with_the_same_result(spark, monkeypatch):
+    rows = copies(10)
+    parts, groups = [], jaccard._groups
+    monkeypatch.setattr(jaccard, "_groups", lambda packed, *a: parts.append(packed.where("bucket = 0").count()) or groups(packed, *a))
+    monkeypatch.setattr(jaccard, "HELD_BYTES", 1 << 12)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = {r[0]: (r[1], r[2]) for r in jaccard.clustered(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(rows)
+    assert parts[0] > 2, parts

@@ -12,7 +12,8 @@ are within the first d + q of either set: linked sets share a signature.
 
 Shingles counted in over ``COMMON`` sets come last in the order, so that they make
 signatures only for sets that have little else. All are counted by Spark; equal sets of one slice of
-documents count once, those of several slices again. Which come late is held in cells, a byte for every eight shingles of the corpus between 2^20 and 2^26 cells; where
+documents count once, those of several slices again. Counts and signatures leave a task packed, a row
+for each bucket that has some, so that rows are as few as the blocks of the shuffle that follows. Which come late is held in cells, a byte for every eight shingles of the corpus between 2^20 and 2^26 cells; where
 two fall on a cell the other comes late too. It affects the order alone, not results.
 
 Sets of the documents with a signature in common are compared exactly. In a group that shares
@@ -31,7 +32,7 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -52,6 +53,8 @@ _FILTER_BITS = 24
 #: Cells of the smallest sets.
 CELLS = 128
 SHORT_BITS = 40
+#: Bytes of shingles or signatures that a task holds before it hands them out by buckets, and shingles of a bucket that is counted at once.
+HELD_BYTES, BUCKET_SHINGLES = 16 << 20, 1 << 20
 #: Longs whose bits tell which of so many classes hold an odd number of a set's shingles.
 MARKS = [f"mark{k}" for k in range(16)]
 #: Hubs of a group in each further turn; a turn that links fewer than one in ``WORTH`` of its members is the last.
@@ -243,19 +246,45 @@ def levels_of(values: np.ndarray, times: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def common_levels(rows: DataFrame, shingles: int, buckets: int) -> np.ndarray:
-    """The class of every cell, from counts of all shingles (equal sets of a slice count once).
+def _gathered(
+    rows: DataFrame, work: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]], packed: Callable[..., dict[str, list]], schema: pa.Schema,
+) -> DataFrame:
+    """``packed`` of what ``work`` makes of slices of rows with an id, joined while a task holds less than ``HELD_BYTES``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
-    A shingle goes to the bucket of its first bits, its next 32 bits stand for it there; a slice of documents
-    sends it once with its count, so that one which all documents have makes no large bucket. What
-    reaches the driver and the workers is one byte for eight shingles, 64 MB at most; where over an eighth
-    of the cells would be late, only more common shingles are.
+        def out() -> pa.RecordBatch:
+            arrays = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            made = packed(*arrays)
+            return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in schema], schema=schema)
+
+        for batch in batches:
+            for part in common.slices(batch, "text", common.SLICE_BYTES):
+                made = work(part)
+                if len(made[0]):
+                    held.append(made)
+                    size += sum(x.nbytes for x in made)
+                if size >= HELD_BYTES:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    kinds = {pa.int32(): "int", pa.binary(): "binary"}
+    return common.in_arrow(rows.where(F.col("id").isNotNull()), run, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
+
+
+def _counted(rows: DataFrame, top: int) -> DataFrame:
+    """(bucket, once, again): the shingles of a bucket that a task has once, and others with their counts.
+
+    A shingle goes to the bucket of its first ``top`` bits, its next 32 bits stand for it there.
     """
-    top = min(max((buckets - 1).bit_length(), 1), 16)
-    bits = min(max((shingles // 8).bit_length(), SKETCH_BITS), MOST_SKETCH_BITS)
+    def work(batch: pa.RecordBatch) -> tuple[np.ndarray]:
+        return _distinct(*shingle_sets(common.texts_of(batch)))[:1]
 
-    def work(batch: pa.RecordBatch) -> dict[str, object] | None:
-        flat, _, _ = _distinct(*shingle_sets(common.texts_of(batch)))
+    def packed(flat: np.ndarray) -> dict[str, list]:
         values, times = np.unique(flat, return_counts=True)
         edges = np.searchsorted(values >> np.uint64(64 - top), np.arange((1 << top) + 1, dtype=np.uint64)).tolist()
         short, once = (values >> np.uint64(32 - top)).astype("<u4"), times == 1
@@ -265,6 +294,19 @@ def common_levels(rows: DataFrame, shingles: int, buckets: int) -> np.ndarray:
             "again": [short[x][~once[x]].tobytes() + times[x][~once[x]].astype("<u4").tobytes() for _, x in some],
         }
 
+    return _gathered(rows, work, packed, pa.schema([("bucket", pa.int32()), ("once", pa.binary()), ("again", pa.binary())]))
+
+
+def common_levels(rows: DataFrame, shingles: int, buckets: int) -> np.ndarray:
+    """The class of every cell, from counts of all shingles (equal sets of a slice count once).
+
+    A task sends a shingle with its count, so that one which all documents have makes no large bucket. What
+    reaches the driver and the workers is one byte for eight shingles, 64 MB at most; where over an eighth
+    of the cells would be late, only more common shingles are.
+    """
+    top = min(max((max(buckets, shingles // BUCKET_SHINGLES) - 1).bit_length(), 1), 16)
+    bits = min(max((shingles // 8).bit_length(), SKETCH_BITS), MOST_SKETCH_BITS)
+
     def add(key: tuple, table: pa.Table) -> pa.Table:
         once = np.frombuffer(b"".join(table.column("once").to_pylist()), "<u4")
         again = [np.frombuffer(x, "<u4").reshape(2, -1) for x in table.column("again").to_pylist()]
@@ -272,10 +314,9 @@ def common_levels(rows: DataFrame, shingles: int, buckets: int) -> np.ndarray:
         made = levels_of(np.concatenate((once, values)), np.concatenate((np.ones(len(once), np.int64), times.astype(np.int64))), bits - top)
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([made.tobytes()], pa.binary())})
 
-    counted = common.map_batches(rows.where(F.col("id").isNotNull()), work, "bucket int, once binary, again binary")
     out = np.zeros((1 << top, 1 << (bits - top)), np.uint8)
     with common.shuffles_dropped(rows.sparkSession):
-        for bucket, made in counted.groupBy("bucket").applyInArrow(add, "bucket int, levels binary").collect():
+        for bucket, made in _counted(rows, top).groupBy("bucket").applyInArrow(add, "bucket int, levels binary").collect():
             out[bucket] = np.frombuffer(made, np.uint8)
     while np.count_nonzero(out) > out.size // 8:
         out -= out > 0
@@ -283,19 +324,19 @@ def common_levels(rows: DataFrame, shingles: int, buckets: int) -> np.ndarray:
 
 
 def _packed_signatures(rows: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, packed): signatures of a bucket with their sets, packed per slice of documents.
+    """(bucket, packed): signatures of a bucket with their sets, packed for many documents of a task.
 
     A signature is kept in 32 bits beside its bucket and a set in 40: what meets by chance is
     told apart when sets are compared.
     """
     shipped = rows.sparkSession.sparkContext.broadcast(levels)
 
-    def work(batch: pa.RecordBatch) -> dict[str, object] | None:
+    def work(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         flat, sizes, nodes = _distinct(*shingle_sets(common.texts_of(batch)))
-        if not len(sizes):
-            return None
         sigs, owners = signatures(flat, sizes, shipped.value)
-        short = (nodes & _SHORT_MASK).astype(np.uint64)[owners]
+        return sigs, (nodes & _SHORT_MASK).astype(np.uint64)[owners]
+
+    def packed(sigs: np.ndarray, short: np.ndarray) -> dict[str, list]:
         bucket = (sigs >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         bucket, sigs, short = bucket[order], sigs[order].astype("<u4"), short[order].astype("<u8")
@@ -306,7 +347,7 @@ def _packed_signatures(rows: DataFrame, levels: np.ndarray, buckets: int) -> Dat
             "packed": [sigs[a:b].tobytes() + np.ascontiguousarray(short[a:b].view(np.uint8).reshape(-1, 8)[:, :SHORT_BITS // 8].T).tobytes() for a, b in zip(begin, stops)],
         }
 
-    return common.map_batches(rows.where(F.col("id").isNotNull()), work, "bucket int, packed binary")
+    return _gathered(rows, work, packed, pa.schema([("bucket", pa.int32()), ("packed", pa.binary())]))
 
 
 def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -322,7 +363,7 @@ _MEMBERS = 512
 _PAIRS = 256
 
 
-def _groups(packed: DataFrame) -> DataFrame:
+def _groups(packed: DataFrame, buckets: int) -> DataFrame:
     """(gid, size, hub, members): the sets that share a signature, in rows of 512 members.
 
     Equal groups of a task are given once. The hub is the member whose number, scrambled in one of
@@ -383,7 +424,7 @@ def _groups(packed: DataFrame) -> DataFrame:
         if out["gid"]:
             yield rows()
 
-    return common.in_arrow(packed.repartition("bucket"), run, _GROUP_SCHEMA)
+    return common.in_arrow(packed.repartitionById(buckets, "bucket"), run, _GROUP_SCHEMA)
 
 
 def most_shared(x: bytes, y: bytes) -> int | None:
@@ -553,9 +594,9 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
         docs.where(F.col("id").isNotNull() & F.col("node").isNotNull()).groupBy("node")
         .agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("cells").alias("cells"), *[F.first(m).alias(m) for m in MARKS])
         .withColumn("short", F.col("node").bitwiseAND(F.lit(_SHORT_MASK))), "nodes")
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     levels = common_levels(rows, docs.agg(F.sum("n")).first()[0] or 0, buckets)
-    groups = common.stored(_groups(_packed_signatures(rows, levels, buckets)), "groups")
+    groups = common.stored(_groups(_packed_signatures(rows, levels, buckets), buckets), "groups")
 
     first = common.stored(_plausible(
         groups.select(F.col("hub").alias("left"), F.explode("members").alias("right")).distinct(), nodes), "pairs")
