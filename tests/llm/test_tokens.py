@@ -89,6 +89,49 @@ def test_words_of_letters_go_to_the_model_alone(library):
             assert got.tolist() == own.encode(word, add_special_tokens=False).ids, word
 
 
+def test_plain_words_go_to_the_model_in_pieces(library, monkeypatch):
+    spec, calls = open(simple8b.VOCABULARY, encoding="utf-8").read(), []
+
+    class Counted:
+        def __init__(self, own):
+            self.own = own
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def encode_batch_fast(self, texts, **kw):
+            calls.extend(texts)
+            return self.own.encode_batch_fast(texts, **kw)
+
+    monkeypatch.setattr(simple8b, "Tokenizer", type("T", (), {"from_str": staticmethod(lambda x: Counted(Tokenizer.from_str(x)))}))
+    monkeypatch.setattr(simple8b, "KEPT_PIECES", 500)
+    latin = "".join(chr(c) for c in [*range(33, 127), *range(0xC0, 0x100)] if chr(c) not in "'\u00D7\u00F7")
+    rnd = random.Random(11)
+    plain = [*latin, *(a + b for a in latin for b in "aZ\u00E9\u00DF7.<|"), *("".join(rnd.choice(latin[:rnd.choice([60, 92, len(latin)])]) for _ in range(rnd.randint(2, 20))) for _ in range(3000))]
+    odd = ["it's", "<|endoftext|>", "x<|EndOfText|>y", "\u00D7", "\u00F7a", "\u00B5m", "1\u00B2", "e\u0301", "\u0130x", "\u03A3\u0391\u03A3", "a\x7fb", "\xad", "\u4E2D1a", "a\0b"]
+    encoder = simple8b._encoder("test pieces", spec)
+    asked = len(calls)
+    for words in (plain, odd + plain[:50] + odd):
+        flat, sizes = encoder.make([w.encode() for w in words])
+        for word, got in zip(words, np.split(flat, np.cumsum(sizes)[:-1])):
+            assert got.tolist() == library.encode(word, add_special_tokens=False).ids, word
+        if words is plain:
+            assert len(calls) == asked  # the library cut none of them
+
+
+def test_words_of_a_block_take_all_they_can():
+    rnd = np.random.default_rng(5)
+    for n in (1, 2, 7, 119, 120, 121, 300, 1000):
+        for top in (1, 2, 3, 8, 16, 40, 64):
+            bits = rnd.integers(0, top + 1, n).astype(np.uint8) * (rnd.random(n) < rnd.choice([0.02, 0.5, 1]))
+            end, selector = simple8b._plan(bits, 128)
+            widest = int(bits.max())
+            for p in range(n):
+                fit = [at for at, (count, width) in enumerate(simple8b.MODES, 1) if width >= widest or p + count <= n and bits[p:p + count].max() <= width]
+                at = min(fit, default=0)
+                assert selector[p] == at and end[p] == min(p + simple8b._COUNTS[at], (p // 128 + 1) * 128, n)
+
+
 def test_ids_are_read_back(spark, library):
     folder = common.shared_path(spark, "test")
     simple8b.write_token_file(frames.docs(spark), folder)

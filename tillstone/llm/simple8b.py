@@ -12,11 +12,12 @@ executor is lost and its task runs again. A block holds whole documents.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import public_tokenizers
@@ -59,6 +60,14 @@ def _plan(bits: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray]:
     selector = np.zeros(n, np.uint8)
     step = np.ones(n, np.int32)
     widest = int(bits.max(initial=0))
+    windows = [bits]  # the widest of the next 1, 2, 4 ... values; 255 where there are fewer
+
+    def both(most: np.ndarray, apart: int) -> np.ndarray:
+        out = np.full(n, 255, np.uint8)
+        if n > apart:
+            np.maximum(most[:-apart], most[apart:], out=out[:-apart])
+        return out
+
     for at in range(len(MODES), 0, -1):  # the most values per word come last and win
         count, width = MODES[at - 1]
         if width >= widest:
@@ -66,9 +75,11 @@ def _plan(bits: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray]:
                 continue  # the next selector holds every value too, and more of them
             selector[:], step[:] = at, count
             continue
-        # The next value too wide for this selector; a word fits where count values come before it.
-        wide = np.minimum.accumulate(np.where(bits > width, place, np.int32(n))[::-1])[::-1]
-        fits = wide - place >= count
+        power = count.bit_length() - 1
+        while len(windows) <= power:
+            windows.append(both(windows[-1], 1 << len(windows) - 1))
+        more = count - (1 << power)
+        fits = (both(windows[power], more) if more else windows[power]) <= width
         if not fits.any():
             break  # a run for a selector of more and narrower values would be one for this
         np.copyto(selector, np.uint8(at), where=fits)
@@ -157,6 +168,27 @@ def unpack(block: bytes, only_group: int | None = None) -> np.ndarray:
 _encoders: dict[str, common.WordCache] = {}
 
 
+#: How a vocabulary file says that words are lower-cased and cut into letters, single digits and signs, in bytes.
+_CUT = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+#: ASCII but the apostrophe and letters of Latin-1: NFC leaves them, and letters, digits and signs are told apart at sight.
+_PLAIN = re.compile("[!-&(-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+_PIECES = re.compile("[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^0-9a-z\u00DF-\u00F6\u00F8-\u00FF]+")
+#: Characters that stand for bytes without one of their own, of those that such letters have.
+_BYTES = {**{128 + k: 290 + k for k in range(33)}, 173: 323}
+#: Pieces whose ids a worker keeps.
+KEPT_PIECES = 300_000
+
+
+def _shown(piece: str) -> str:
+    """A piece as the model takes it, a character for each byte."""
+    return piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+
+
 def _letters_alone(own: Tokenizer) -> bool:
     """Whether a word of ASCII letters goes to the model as it is, but for lower case."""
     if own.normalizer is None or own.pre_tokenizer is None or any(x.content.isalpha() for x in own.get_added_tokens_decoder().values()):
@@ -171,22 +203,43 @@ def _encoder(path: str, spec: str) -> common.WordCache:
         own = Tokenizer.from_str(spec)
         own.no_truncation()
         own.no_padding()
-        plain, piece = _letters_alone(own), own.model.tokenize
+        plain, model, pieces = _letters_alone(own), own.model.tokenize, {}
+        cut = plain and {k: json.loads(spec).get(k) for k in _CUT} == _CUT
+        special = [x.content.lower() for x in own.get_added_tokens_decoder().values()]
+
+        def pieces_of(word: bytes) -> list[str] | None:
+            """The pieces that the file cuts a word into; None where the library has to tell."""
+            if plain and word.isalpha():
+                return [word.decode().lower()]
+            if not cut or not _PLAIN.fullmatch(text := word.decode("utf-8", "replace")):
+                return None
+            text = text.lower()
+            return None if any(x in text for x in special) else _PIECES.findall(text)
 
         def ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            # Nothing is normalised or split in a word of ASCII letters: the library's model takes it at once.
-            letters = np.fromiter((plain and w.isalpha() for w in words), bool, len(words))
-            values, counts = [], []
-            for w in compress(words, letters):
-                got = [t.id for t in piece(w.decode().lower())]
-                counts.append(len(got))
-                values += got
-            others, other_sizes = marked(list(compress(words, ~letters)))
-            sizes, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-            sizes[letters], sizes[~letters] = counts, other_sizes
-            starts[letters] = np.cumsum(sizes[letters]) - sizes[letters]
-            starts[~letters] = len(values) + np.cumsum(other_sizes) - other_sizes
-            flat = np.concatenate((np.array(values, np.uint32), others))
+            # The library's model takes the pieces of plain words at once, each once while it is kept.
+            values, counts, others = [], [], []
+            for w in words:
+                before = len(values)
+                if (found := pieces_of(w)) is None:
+                    others.append(w)
+                    counts.append(-1)
+                    continue
+                for piece in found:
+                    if (got := pieces.get(piece)) is None:
+                        if len(pieces) >= KEPT_PIECES:
+                            pieces.clear()
+                        got = pieces[piece] = tuple([t.id for t in model(_shown(piece))])
+                    values += got
+                counts.append(len(values) - before)
+            other_ids, other_sizes = marked(others)
+            sizes = np.array(counts, np.int64)
+            own_words = sizes >= 0
+            sizes[~own_words] = other_sizes
+            starts = np.empty(len(words), np.int64)
+            starts[own_words] = np.cumsum(sizes[own_words]) - sizes[own_words]
+            starts[~own_words] = len(values) + np.cumsum(other_sizes) - other_sizes
+            flat = np.concatenate((np.array(values, np.uint32), other_ids))
             return flat[common.spans(sizes, starts)], sizes
 
         def marked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
