@@ -10,6 +10,10 @@ per character reaches a threshold calibrated on ruled URLs that the models have
 DataFrame operations only. Log-ratios are integers (micro-nats), so sums are exact and do not
 depend on the order of rows.
 
+Tables of grams are joined by merging, never by a broadcast: Spark takes a table of URLs for as
+small as its compressed files, and the grams made from it for no larger, so it would send far
+more through the driver than its threshold says.
+
 Nulls: a null URL or one without ``://`` has an empty host and path, no score, and is blocked.
 Pages are judged row by row, repeated ids included. Where rules accept nothing or reject
 nothing, the threshold is 0. An empty table gives no rows.
@@ -83,7 +87,7 @@ def log_ratios(rows: DataFrame, order: int = ORDER) -> DataFrame:
         if lower is None:
             table = table.withColumn("below_good", F.lit(1.0 / ALPHABET)).withColumn("below_bad", F.lit(1.0 / ALPHABET))
         else:
-            table = table.withColumn("shorter", F.expr(f"right(gram, {n})")).join(lower, "shorter")
+            table = table.withColumn("shorter", F.expr(f"right(gram, {n})")).join(lower.hint("merge"), "shorter")
         for side in ("good", "bad"):
             seen = F.sum(side).over(context)
             kinds = F.sum((F.col(side) > 0).cast("long")).over(context)
@@ -102,7 +106,7 @@ def scored(rows: DataFrame, ratios: DataFrame) -> DataFrame:
     """
     salted = with_grams(rows.select("row", "rest")).withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
     copies = ratios.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return salted.join(copies, ["gram", "salt"]).groupBy("row").agg(
+    return salted.join(copies.hint("merge"), ["gram", "salt"]).groupBy("row").agg(
         F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("places"))
 
 
